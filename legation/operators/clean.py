@@ -25,24 +25,31 @@ def conform_types(df: DataFrame, schema: StructType, errors: str = "_cast_errors
     """Convert columns to the types of ``schema`` in one projection.
 
     A value that does not convert becomes null, and its column name is
-    listed in the array column ``errors`` (empty when the row converted
-    cleanly). Columns not in ``schema`` pass through unchanged.
+    listed in the text column ``errors`` (names joined by commas, empty
+    when the row converted cleanly). Columns not in ``schema``, and columns
+    already of the wanted type, pass through unchanged. Everything stays in
+    one generated-code projection (no higher-order functions).
     """
+    current = {f.name: f.dataType for f in df.schema.fields}
     typed: dict[str, Column] = {}
     failures = []
     for field in schema.fields:
+        if current.get(field.name) == field.dataType:
+            continue
         raw = F.col(field.name)
         value = raw.try_cast(field.dataType)
         typed[field.name] = value
         failures.append(F.when(cast_failed(raw, value), F.lit(field.name)))
     out = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]
-    return df.select(*out, F.array_compact(F.array(*failures)).alias(errors))
+    return df.select(*out, F.concat_ws(",", *failures).alias(errors))
 
 
 def count_cast_failures(df: DataFrame, errors: str = "_cast_errors") -> DataFrame:
-    """Failures per column from the ``errors`` array of ``conform_types``."""
+    """Failures per column from the ``errors`` column of ``conform_types``."""
+    names = F.explode(F.split(F.col(errors), ",")).alias("column_name")
     return (
-        df.select(F.explode(errors).alias("column_name"))
+        df.where(F.col(errors) != F.lit(""))
+        .select(names)
         .groupBy("column_name")
         .agg(F.count(F.lit(1)).alias("n_failed"))
     )
@@ -80,7 +87,7 @@ def decode(
     side = labels.select(
         F.col(label_key).alias("__code"), F.col(label_col).alias(label)
     )
-    side = bounded_broadcast(side, max_rows)
+    side = bounded_broadcast(side, max_rows, source=labels)
     return df.join(side, df[col] == side["__code"], "left").drop("__code")
 
 
@@ -127,34 +134,47 @@ def profile(
 ) -> DataFrame:
     """Q1: one row per column with row, null, distinct and pattern-miss counts.
 
-    All counts come from a single aggregation over ``df``. With ``key``, a
-    row named ``key(a,b)`` gives the number of distinct key tuples (rows
-    with a null key part are not counted as a key). ``n_pattern_miss``
-    counts non-null values not matching the column's regular expression
-    (null when no pattern is given). ``approx`` swaps exact distinct counts
-    for HyperLogLog++ sketches.
+    Row, null and pattern counts come from one aggregation over ``df``. Each
+    exact distinct count is a scalar subquery over that column alone
+    (de-duplicated map-side, then counted): this shuffles one narrow column
+    at a time, where a multi-distinct aggregate would expand every row once
+    per column. ``approx`` uses HyperLogLog++ sketches in the single pass
+    instead. With ``key``, a row named ``key(a,b)`` gives the number of
+    distinct key tuples without a null part. ``n_pattern_miss`` counts
+    non-null values not matching the column's regular expression (null when
+    no pattern is given).
     """
     cols = list(columns or df.columns)
     patterns = dict(patterns or {})
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    keys = [key] if isinstance(key, str) else list(key or [])
+
+    def exact_distinct(names: list[str]) -> Column:
+        present = F.lit(True)
+        for n in names:
+            present = present & F.col(n).isNotNull()
+        return df.where(present).select(*names).distinct().select(F.count(F.lit(1))).scalar()
+
     aggs = [F.count(F.lit(1)).alias("__rows")]
+    distincts: dict[str, Column] = {}
     for i, c in enumerate(cols):
         aggs.append(F.count(F.col(c)).alias(f"__nn{i}"))
-        aggs.append(distinct(F.col(c)).alias(f"__d{i}"))
         if c in patterns:
             miss = F.count_if(~F.col(c).cast("string").rlike(patterns[c]))
         else:
             miss = F.lit(None).cast("bigint")
         aggs.append(miss.alias(f"__m{i}"))
-    keys = [key] if isinstance(key, str) else list(key or [])
+        if approx:
+            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"__d{i}"))
+        else:
+            distincts[f"__d{i}"] = exact_distinct([c])
     if keys:
-        kd = (
-            F.approx_count_distinct(F.struct(*keys))
-            if approx
-            else F.count_distinct(*[F.col(k) for k in keys])
-        )
-        aggs.append(kd.alias("__kd"))
+        if approx:
+            aggs.append(F.approx_count_distinct(F.struct(*keys)).alias("__kd"))
+        else:
+            distincts["__kd"] = exact_distinct(keys)
     wide = df.agg(*aggs)
+    if distincts:
+        wide = wide.withColumns(distincts)
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),

@@ -29,7 +29,7 @@ def _dim_side(
         F.col(dim_key).alias(key_alias),
         *[F.col(c).alias(prefix + c) for c in cols],
     )
-    return bounded_broadcast(side, max_rows), key_alias
+    return bounded_broadcast(side, max_rows, source=dim), key_alias
 
 
 def enrich(

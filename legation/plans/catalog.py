@@ -135,14 +135,14 @@ def _text_orders(star: Star) -> DataFrame:
 
 
 def s1_read_delimited(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     customer = star.t("customer")
     path = export_feed(customer, shared_dir(spark, "s1-customer"))
     return read_delimited(spark, path, customer.schema)
 
 
 def s2_read_with_rejects(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     path = export_feed(_text_orders(star), shared_dir(spark, "s2-orders"))
     good, bad = read_with_rejects(spark, path, star.t("orders").schema)
     rows = good.select("o_orderstatus", F.lit(None).cast("string").alias("_reject_reason"))
@@ -151,7 +151,7 @@ def s2_read_with_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s3_load_table(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     appts = star.t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", _period())
     path = load_table(appts, shared_dir(spark, "s3-orders"), partition_by=["period", "o_orderstatus"])
     table = read_table(spark, path)
@@ -160,7 +160,7 @@ def s3_load_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s4_export_feed(spark: SparkSession, d: str) -> DataFrame:
-    tab = _crosstab(Star(spark, d))
+    tab = _crosstab(Star.of(spark, d))
     path = export_feed(tab, shared_dir(spark, "s4-feed"))
     return read_delimited(spark, path, tab.schema)
 
@@ -169,7 +169,7 @@ def s4_export_feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_assign_names(spark: SparkSession, d: str) -> DataFrame:
-    orders = Star(spark, d).t("orders").drop("o_totalprice")
+    orders = Star.of(spark, d).t("orders").drop("o_totalprice")
     return assign_names(
         orders,
         {
@@ -183,13 +183,13 @@ def p1_assign_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_conform_types(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     typed = conform_types(_text_orders(star), star.t("orders").schema)
-    return typed.withColumn("cast_errors", F.array_join("_cast_errors", ",")).drop("_cast_errors")
+    return typed.withColumnRenamed("_cast_errors", "cast_errors")
 
 
 def p3_normalise_keys(spark: SparkSession, d: str) -> DataFrame:
-    customer = Star(spark, d).t("customer")
+    customer = Star.of(spark, d).t("customer")
     messy = customer.select(
         "c_custkey",
         F.regexp_replace("c_name", "#", "  #").alias("c_name"),
@@ -199,13 +199,13 @@ def p3_normalise_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_decode(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     customer = star.t("customer").select("c_custkey", "c_nationkey")
     return decode(customer, "c_nationkey", star.t("nation"), "country_name", "n_nationkey", "n_name")
 
 
 def p5_filter_appointments(spark: SparkSession, d: str) -> DataFrame:
-    orders = Star(spark, d).t("orders").select(
+    orders = Star.of(spark, d).t("orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
     )
     return filter_appointments(
@@ -218,7 +218,7 @@ def p5_filter_appointments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q1_profile(spark: SparkSession, d: str) -> DataFrame:
-    lines = Star(spark, d).t("lineitem")
+    lines = Star.of(spark, d).t("lineitem")
     return profile(
         lines,
         key=["l_orderkey", "l_linenumber"],
@@ -228,11 +228,11 @@ def q1_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q2_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_keys(Star(spark, d).t("lineitem"), ["l_orderkey", "l_linenumber"])
+    return duplicate_keys(Star.of(spark, d).t("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 def q3_unmatched_codes(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     return unmatched_codes(star.t("orders"), _customers_before(star), "o_custkey", "c_custkey")
 
 
@@ -240,13 +240,13 @@ def q3_unmatched_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j1_enrich(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     orders = star.t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return star.by_sender(orders).select("o_orderkey", "o_orderstatus", "n_name", "r_name")
 
 
 def j2_enrich_both(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     lines = star.bilateral_lines()
     named = enrich_both(lines, star.countries(), "sender", "receiver", "n_nationkey", ["n_name", "r_name"])
     return named.select(
@@ -260,19 +260,19 @@ def j2_enrich_both(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j3_active_members(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     urgent = F.col("o_orderpriority") == F.lit(URGENT)
     return active_members(star.t("customer"), star.t("orders"), "c_custkey", "o_custkey", urgent)
 
 
 def j4_inactive_members(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     urgent = F.col("o_orderpriority") == F.lit(URGENT)
     return inactive_members(star.t("customer"), star.t("orders"), "c_custkey", "o_custkey", urgent)
 
 
 def j5_complete(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     orders = star.t("orders")
     per_customer = orders.groupBy("o_custkey", _period()).agg(
         F.count_if(F.col("o_orderstatus") == F.lit("P")).alias("n_pending"),
@@ -296,46 +296,46 @@ def j5_complete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a1_count_by(spark: SparkSession, d: str) -> DataFrame:
-    counted = _sender_counts(Star(spark, d), "o_orderstatus")
+    counted = _sender_counts(Star.of(spark, d), "o_orderstatus")
     return count_by(counted, "n_name", "o_orderstatus", weight="n")
 
 
 def a2_share_by(spark: SparkSession, d: str) -> DataFrame:
-    return _nation_shares(Star(spark, d))
+    return _nation_shares(Star.of(spark, d))
 
 
 def a3_parity_ratio(spark: SparkSession, d: str) -> DataFrame:
-    counted = _sender_counts(Star(spark, d), "o_orderstatus")
+    counted = _sender_counts(Star.of(spark, d), "o_orderstatus")
     return parity_ratio(counted, "n_name", "o_orderstatus", CATEGORY, OTHER, weight="n")
 
 
 def a4_distinct_partners(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     partners = distinct_partners(star.bilateral_pairs(), "receiver", "sender")
     named = enrich(partners, star.countries(), "receiver", "n_nationkey", ["n_name"], prefix="receiver_")
     return named.select("receiver_n_name", "n_partners")
 
 
 def a5_rollup_counts(spark: SparkSession, d: str) -> DataFrame:
-    return rollup_counts(_sender_counts(Star(spark, d)), ["r_name", "n_name"], weight="n")
+    return rollup_counts(_sender_counts(Star.of(spark, d)), ["r_name", "n_name"], weight="n")
 
 
 def a6_marginals(spark: SparkSession, d: str) -> DataFrame:
-    counted = _sender_counts(Star(spark, d), "o_orderstatus", "o_orderpriority")
+    counted = _sender_counts(Star.of(spark, d), "o_orderstatus", "o_orderpriority")
     sets = [["r_name", "o_orderstatus"], ["o_orderpriority", "o_orderstatus"], ["o_orderstatus"]]
     return marginals(counted, sets, weight="n")
 
 
 def a7_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    return _crosstab(Star(spark, d))
+    return _crosstab(Star.of(spark, d))
 
 
 def a8_melt(spark: SparkSession, d: str) -> DataFrame:
-    return melt(_crosstab(Star(spark, d)), "o_orderpriority", CATEGORIES, "o_orderstatus", "n")
+    return melt(_crosstab(Star.of(spark, d)), "o_orderpriority", CATEGORIES, "o_orderstatus", "n")
 
 
 def a9_bilateral_matrix(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     return bilateral_matrix(
         star.bilateral_pairs(), star.countries(), "sender", "receiver", "n_nationkey", "r_name", weight="n"
     )
@@ -345,36 +345,36 @@ def a9_bilateral_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w1_share_of_total(spark: SparkSession, d: str) -> DataFrame:
-    return share_of_total(_nation_counts(Star(spark, d)), "n", parent="r_name")
+    return share_of_total(_nation_counts(Star.of(spark, d)), "n", parent="r_name")
 
 
 def w1_share_of_grand_total(spark: SparkSession, d: str) -> DataFrame:
-    return share_of_total(count_by(Star(spark, d).t("orders"), "o_orderstatus"), "n")
+    return share_of_total(count_by(Star.of(spark, d).t("orders"), "o_orderstatus"), "n")
 
 
 def w2_rank_within(spark: SparkSession, d: str) -> DataFrame:
-    return rank_within(_nation_counts(Star(spark, d)), "r_name", "n")
+    return rank_within(_nation_counts(Star.of(spark, d)), "r_name", "n")
 
 
 def w3_top_n_per_group(spark: SparkSession, d: str) -> DataFrame:
-    return top_n_per_group(_nation_counts(Star(spark, d)), "r_name", "n", 2, tie_break="n_name")
+    return top_n_per_group(_nation_counts(Star.of(spark, d)), "r_name", "n", 2, tie_break="n_name")
 
 
 def w4_change_over(spark: SparkSession, d: str) -> DataFrame:
-    counted = _sender_counts(Star(spark, d), "period", "o_orderstatus")
+    counted = _sender_counts(Star.of(spark, d), "period", "o_orderstatus")
     shares = share_by(counted, ["r_name", "period"], "o_orderstatus", CATEGORY, weight="n")
     return change_over(shares, "period", "share", partition="r_name")
 
 
 def l1_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return top_k(_nation_shares(Star(spark, d)), "share", 10, tie_break="n_name")
+    return top_k(_nation_shares(Star.of(spark, d)), "share", 10, tie_break="n_name")
 
 
 # ---------------------------------------------------------------- U: versions
 
 
 def u1_merge_versions(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     updates = _rebalanced(star, active_members(
         star.t("customer"), star.t("orders"), "c_custkey", "o_custkey",
         F.col("o_orderstatus") == F.lit(OTHER),
@@ -383,13 +383,13 @@ def u1_merge_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u2_diff_versions(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     new = _rebalanced(star, _customers_since(star))
     return diff_versions(_customers_before(star), new, "c_custkey")
 
 
 def u2_whole_row_changes(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     new = _rebalanced(star, _customers_since(star))
     return whole_row_changes(_customers_before(star), new)
 
@@ -398,7 +398,7 @@ def u2_whole_row_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f1_category_share_ranking(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
+    star = Star.of(spark, d)
     return category_share_ranking(
         star.t("orders"),
         star.countries(),

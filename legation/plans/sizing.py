@@ -4,10 +4,16 @@ A side is broadcast only after a bounded count proves it small; otherwise it
 is returned untouched and Spark plans a shuffled join (sort-merge, or a
 broadcast chosen by AQE from runtime sizes). The count reads at most
 ``max_rows + 1`` rows, so the check costs little even on a large input.
+
+The outcome is remembered per DataFrame object: a DataFrame fixes its plan
+and its file listing when it is created, so repeated joins against the same
+dimension in one query check it once.
 """
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +22,32 @@ from pyspark.sql import functions as F
 # typically below a few tens of MB.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
+# DataFrame -> (rows counted, cap used); rows == cap + 1 means "more than cap".
+_counted: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    known = _counted.get(df)
+    if known is not None:
+        n, cap = known
+        if n <= cap:  # exact count
+            return n <= max_rows
+        if max_rows <= cap:  # more than cap rows, so more than max_rows
+            return False
+    n = df.limit(max_rows + 1).count()
+    _counted[df] = (n, max_rows)
+    return n <= max_rows
+
+
+def bounded_broadcast(
+    df: DataFrame,
+    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
+
+    ``source`` is the frame whose row count equals ``df``'s (``df`` being a
+    projection of it); the check and its memo then apply to ``source``.
+    """
+    probe = df if source is None else source
+    return F.broadcast(df) if row_count_at_most(probe, max_rows) else df

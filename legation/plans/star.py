@@ -18,6 +18,8 @@ aggregation in each map task.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +27,50 @@ from legation.operators.joins import enrich
 from legation.sources.tables import read_parquet_table
 
 
+_SHARED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 class Star:
+    """Handles on the driver tables of one scale, plus derived building blocks.
+
+    ``Star.of`` shares one instance per session and folder, like a catalog:
+    table handles (with their file listings) and the size checks of the
+    dimensions are then made once per session rather than once per query.
+    """
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Star:
+        per_session = _SHARED.setdefault(spark, {})
+        if sf_dir not in per_session:
+            per_session[sf_dir] = cls(spark, sf_dir)
+        return per_session[sf_dir]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
+        self._countries: DataFrame | None = None
+        self._customer_link: DataFrame | None = None
 
     def t(self, name: str) -> DataFrame:
-        return read_parquet_table(self.spark, self.sf_dir, name)
+        """The table ``name``; the same DataFrame object for every call."""
+        if name not in self._tables:
+            self._tables[name] = read_parquet_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     def countries(self) -> DataFrame:
         """Country dimension: ``n_nationkey, n_name, r_name`` (continent)."""
-        nation = self.t("nation").select("n_nationkey", "n_name", "n_regionkey")
-        named = enrich(nation, self.t("region"), "n_regionkey", "r_regionkey", ["r_name"])
-        return named.drop("n_regionkey")
+        if self._countries is None:
+            nation = self.t("nation").select("n_nationkey", "n_name", "n_regionkey")
+            named = enrich(nation, self.t("region"), "n_regionkey", "r_regionkey", ["r_name"])
+            self._countries = named.drop("n_regionkey")
+        return self._countries
+
+    def customer_link(self) -> DataFrame:
+        """``c_custkey, c_nationkey``: the customer-to-state bridge."""
+        if self._customer_link is None:
+            self._customer_link = self.t("customer").select("c_custkey", "c_nationkey")
+        return self._customer_link
 
     def appointments(self) -> DataFrame:
         """Orders with the appointment reading of their columns (row grain)."""
@@ -52,15 +85,13 @@ class Star:
 
     def by_sender(self, counted: DataFrame, cust_col: str = "o_custkey") -> DataFrame:
         """Add the sending state (``c_nationkey, n_name, r_name``) to customer-grain rows."""
-        customer = self.t("customer").select("c_custkey", "c_nationkey")
-        linked = enrich(counted, customer, cust_col, "c_custkey", ["c_nationkey"])
+        linked = enrich(counted, self.customer_link(), cust_col, "c_custkey", ["c_nationkey"])
         return enrich(linked, self.countries(), "c_nationkey", "n_nationkey", ["n_name", "r_name"])
 
     def order_senders(self) -> DataFrame:
         """``o_orderkey, sender`` (nation key of the ordering customer)."""
-        customer = self.t("customer").select("c_custkey", "c_nationkey")
         orders = self.t("orders").select("o_orderkey", "o_custkey")
-        linked = enrich(orders, customer, "o_custkey", "c_custkey", ["c_nationkey"])
+        linked = enrich(orders, self.customer_link(), "o_custkey", "c_custkey", ["c_nationkey"])
         return linked.select("o_orderkey", F.col("c_nationkey").alias("sender"))
 
     def line_receivers(self) -> DataFrame:

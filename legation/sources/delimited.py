@@ -81,7 +81,7 @@ def read_with_rejects(
         problems.append(F.when(cast_failed(f.name, typed[f.name]), F.lit(f"bad {f.name}")))
         if not f.nullable:
             problems.append(F.when(F.col(f.name).isNull(), F.lit(f"missing {f.name}")))
-    reason = F.array_join(F.array_compact(F.array(*problems)), "; ")
+    reason = F.concat_ws("; ", *problems)  # skips the nulls: "" when the row is clean
     checked = raw.withColumn("_reject_reason", F.nullif(reason, F.lit("")))
     ok = F.col("_reject_reason").isNull()
     good = checked.where(ok).select(*[typed[f.name].alias(f.name) for f in schema.fields])
