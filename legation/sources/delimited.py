@@ -65,16 +65,29 @@ def read_with_rejects(
     The reject test reads every field, so the split does not change when a
     caller later selects only a few columns of ``good``.
     """
-    text = StructType(
-        [StructField(f.name, StringType(), True) for f in schema.fields]
-        + [StructField(CORRUPT, StringType(), True)]
-    )
     raw = (
-        _reader(spark, text, sep, header, encoding)
+        _reader(spark, text_with_corrupt(schema), sep, header, encoding)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
+    return split_rejects(raw, schema)
+
+
+def text_with_corrupt(schema: StructType) -> StructType:
+    """Every field of ``schema`` as nullable text, plus the corrupt-record column."""
+    return StructType(
+        [StructField(f.name, StringType(), True) for f in schema.fields]
+        + [StructField(CORRUPT, StringType(), True)]
+    )
+
+
+def split_rejects(raw: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Type the text columns of ``raw`` and split good rows from rejected ones.
+
+    Works on batch and streaming frames alike (``raw`` read with
+    ``text_with_corrupt(schema)``).
+    """
     typed: dict[str, Column] = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields}
     problems = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed row"))]
     for f in schema.fields:
