@@ -1,10 +1,11 @@
 """Shares of a parent, rankings, top-n, period changes and top-k.
 
 These run on counts that were already aggregated per state (or per state and
-period), so a window partition holds at most the members of one continent or
-the periods of one state. Nothing here uses a window without a partition
-key: grand totals come from a scalar subquery and period changes from an
-equi join on the shifted period, so no step funnels all rows into one task.
+period), so a window partition holds at most the members of one continent.
+Nothing here uses a window without a partition key: grand totals come from
+a scalar subquery, parent totals from an aggregation joined back, and
+period changes from a shift-and-group pass, so no step funnels all rows
+into one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from legation.functions.exprs import safe_ratio
 
@@ -102,20 +104,41 @@ def change_over(
 ) -> DataFrame:
     """``measure`` against its value ``step`` periods earlier.
 
-    ``df`` has one row per (partition, period). The earlier value is found
-    by an equi join on ``period - step``; a missing earlier period gives
-    null rather than a comparison with an older, non-adjacent one.
+    ``df`` has one row per (partition, period). Each row is emitted twice in
+    one pass (``explode``): once at its own period carrying the row, once at
+    ``period + step`` carrying its measure as the earlier value; grouping by
+    (partition, period) then pairs every row with its predecessor. This reads
+    ``df`` once, needs no join and no window, and a missing earlier period
+    gives null rather than a comparison with an older, non-adjacent one.
+    Null partition keys form a group of their own; a null period has no
+    predecessor.
     """
     keys = _cols(partition)
-    earlier = df.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        (F.col(period) + F.lit(step)).alias("__period"),
-        F.col(measure).alias(previous),
+    others = [c for c in df.columns if c not in keys and c != period]
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    row_type = StructType([StructField(c, fields[c], True) for c in others])
+    here = F.struct(
+        F.col(period).alias("p"),
+        F.struct(*[F.col(c) for c in others]).alias("row"),
+        F.lit(None).cast(fields[measure]).alias("prev"),
     )
-    cond = [df[k].eqNullSafe(earlier[f"__k_{k}"]) for k in keys]
-    cond.append(df[period] == earlier["__period"])
-    joined = df.join(earlier, cond, "left").drop("__period", *[f"__k_{k}" for k in keys])
-    return joined.withColumn(change, F.col(measure) - F.col(previous))
+    later = F.struct(
+        (F.col(period) + F.lit(step)).alias("p"),
+        F.lit(None).cast(row_type).alias("row"),
+        F.when(F.col(period).isNotNull(), F.col(measure)).alias("prev"),
+    )
+    shifted = df.select(*keys, F.explode(F.array(here, later)).alias("__e"))
+    paired = shifted.groupBy(*keys, F.col("__e.p").alias("__p")).agg(
+        F.first("__e.row", ignorenulls=True).alias("__row"),
+        F.first("__e.prev", ignorenulls=True).alias(previous),
+    )
+    present = paired.where(F.col("__row").isNotNull())
+    cols = [
+        F.col("__p").alias(c) if c == period else F.col(c) if c in keys else F.col(f"__row.{c}").alias(c)
+        for c in df.columns
+    ]
+    out = present.select(*cols, F.col(previous))
+    return out.withColumn(change, F.col(measure) - F.col(previous))
 
 
 def top_k(

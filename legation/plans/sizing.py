@@ -1,9 +1,12 @@
 """Size-checked broadcasting.
 
-A side is broadcast only after a bounded count proves it small; otherwise it
+A side is broadcast only after a bounded probe proves it small; otherwise it
 is returned untouched and Spark plans a shuffled join (sort-merge, or a
-broadcast chosen by AQE from runtime sizes). The count reads at most
-``max_rows + 1`` rows, so the check costs little even on a large input.
+broadcast chosen by AQE from runtime sizes). The probe asks whether any row
+exists past the first ``max_rows`` (``offset(max_rows).isEmpty()``): Spark
+runs it as an incremental take that scans a few partitions at a time and
+stops once it has ``max_rows + 1`` rows, and no column is read, so the
+check stays cheap on a 100 TB input instead of launching a task per file.
 
 The outcome is remembered per DataFrame object: a DataFrame fixes its plan
 and its file listing when it is created, so repeated joins against the same
@@ -22,21 +25,20 @@ from pyspark.sql import functions as F
 # typically below a few tens of MB.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
-# DataFrame -> (rows counted, cap used); rows == cap + 1 means "more than cap".
-_counted: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+# DataFrame -> {cap: whether the frame has at most cap rows}.
+_probed: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    known = _counted.get(df)
-    if known is not None:
-        n, cap = known
-        if n <= cap:  # exact count
-            return n <= max_rows
-        if max_rows <= cap:  # more than cap rows, so more than max_rows
+    known = _probed.setdefault(df, {})
+    for cap, small in known.items():
+        if small and cap <= max_rows:
+            return True
+        if not small and cap >= max_rows:
             return False
-    n = df.limit(max_rows + 1).count()
-    _counted[df] = (n, max_rows)
-    return n <= max_rows
+    small = df.offset(max_rows).isEmpty()
+    known[max_rows] = small
+    return small
 
 
 def bounded_broadcast(
