@@ -41,15 +41,20 @@ def enrich(
     prefix: str = "",
     how: str = "left",
     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    collation: str | None = None,
 ) -> DataFrame:
     """Add dimension columns to each fact row by an equi join.
 
     ``how="left"`` keeps facts whose code has no dimension row (their new
     columns are null; report them with ``unmatched_codes``). The dimension
-    key must be unique, or facts multiply.
+    key must be unique, or facts multiply. Keys compare exactly; pass
+    ``collation="UTF8_LCASE"`` for a case-blind match of string codes.
     """
     side, key_alias = _dim_side(dim, dim_key or key, columns, prefix, max_rows)
-    joined = fact.join(side, fact[key] == side[key_alias], how)
+    left, right = fact[key], side[key_alias]
+    if collation:
+        left, right = F.collate(left, collation), F.collate(right, collation)
+    joined = fact.join(side, left == right, how)
     return joined.drop(key_alias)
 
 
@@ -63,6 +68,7 @@ def enrich_both(
     prefixes: tuple[str, str] = ("sender_", "receiver_"),
     how: str = "left",
     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    collation: str | None = None,
 ) -> DataFrame:
     """The same dimension joined twice, for the sending and receiving side.
 
@@ -70,8 +76,8 @@ def enrich_both(
     to (sender, receiver) first when only counts are wanted: the lookups then
     touch one row per pair instead of one per appointment.
     """
-    out = enrich(fact, dim, sender, dim_key, columns, prefixes[0], how, max_rows)
-    return enrich(out, dim, receiver, dim_key, columns, prefixes[1], how, max_rows)
+    out = enrich(fact, dim, sender, dim_key, columns, prefixes[0], how, max_rows, collation)
+    return enrich(out, dim, receiver, dim_key, columns, prefixes[1], how, max_rows, collation)
 
 
 def _fact_keys(fact: DataFrame, fact_key: str, where: Column | str | None) -> DataFrame:

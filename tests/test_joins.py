@@ -80,3 +80,11 @@ def test_complete_fills_grid(spark):
     assert ("Italy", 2001, 3) in got and ("France", 2003, 1) in got and ("Kenya", 2002, 0) in got
     seq = complete(counts, {"period": F.sequence(F.lit(2001), F.lit(2002)), "name": ["Italy"]}, ["n"])
     assert rows(seq) == [(2001, "Italy", 3), (2002, "Italy", 0)]
+
+
+def test_enrich_case_blind_only_when_asked(spark):
+    fact = spark.createDataFrame([(1, "ita"), (2, "FRA")], "id int, sender string")
+    exact = enrich(fact, _dim(spark), "sender", "code", ["name"])
+    assert rows(exact, "id", "name") == [(1, None), (2, "France")]
+    blind = enrich(fact, _dim(spark), "sender", "code", ["name"], collation="UTF8_LCASE")
+    assert rows(blind, "id", "name") == [(1, "Italy"), (2, "France")]
