@@ -1,9 +1,19 @@
 """Scans and sinks."""
 
+from legation.sources.countries import (
+    CONTINENT_CODES,
+    COUNTRY_FILE_SCHEMA,
+    country_issues,
+    read_countries,
+)
 from legation.sources.delimited import export_feed, read_delimited, read_with_rejects
 from legation.sources.tables import load_table, read_parquet_table, read_table
 
 __all__ = [
+    "CONTINENT_CODES",
+    "COUNTRY_FILE_SCHEMA",
+    "country_issues",
+    "read_countries",
     "export_feed",
     "load_table",
     "read_delimited",
