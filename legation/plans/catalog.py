@@ -51,7 +51,16 @@ from legation.operators import (
 from legation.plans.flagship import category_share_ranking
 from legation.plans.star import Star
 from legation.session import shared_dir
-from legation.sources import export_feed, load_table, read_delimited, read_table, read_with_rejects
+from legation.sources import (
+    export_feed,
+    good_rows,
+    load_table,
+    load_with_rejects,
+    read_delimited,
+    read_table,
+    read_with_rejects,
+    rejected_rows,
+)
 
 # Fixed parameters of the stand-in questions.
 CATEGORY = "F"  # the category whose share is measured
@@ -150,6 +159,15 @@ def s2_read_with_rejects(spark: SparkSession, d: str) -> DataFrame:
     return count_by(rows, "o_orderstatus", "_reject_reason")
 
 
+def s2_load_with_rejects(spark: SparkSession, d: str) -> DataFrame:
+    star = Star.of(spark, d)
+    src = export_feed(_text_orders(star), shared_dir(spark, "s2-orders"))
+    table = load_with_rejects(spark, src, star.t("orders").schema, shared_dir(spark, "s2-loaded"))
+    rows = good_rows(spark, table).select("o_orderstatus", F.lit(None).cast("string").alias("_reject_reason"))
+    rows = rows.unionByName(rejected_rows(spark, table).select("o_orderstatus", "_reject_reason"))
+    return count_by(rows, "o_orderstatus", "_reject_reason")
+
+
 def s3_load_table(spark: SparkSession, d: str) -> DataFrame:
     star = Star.of(spark, d)
     appts = star.t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", _period())
@@ -415,6 +433,7 @@ def f1_category_share_ranking(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "s1_read_delimited": s1_read_delimited,
     "s2_read_with_rejects": s2_read_with_rejects,
+    "s2_load_with_rejects": s2_load_with_rejects,
     "s3_load_table": s3_load_table,
     "s4_export_feed": s4_export_feed,
     "p1_assign_names": p1_assign_names,
@@ -498,6 +517,11 @@ ORACLE: dict[str, str] = {
 SELECT o_orderstatus,
        CASE WHEN o_orderstatus = 'P' THEN 'bad o_totalprice' END AS _reject_reason,
        count(*) AS n
+FROM orders GROUP BY ALL""",
+    "s2_load_with_rejects": """
+SELECT o_orderstatus,
+       CASE WHEN o_orderstatus = 'P' THEN 'bad o_totalprice' END AS _reject_reason,
+       count(*) AS n
 FROM orders GROUP BY ALL""",
     "s3_load_table": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS period, o_orderstatus, o_orderpriority, count(*) AS n

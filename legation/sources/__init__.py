@@ -6,7 +6,14 @@ from legation.sources.countries import (
     country_issues,
     read_countries,
 )
-from legation.sources.delimited import export_feed, read_delimited, read_with_rejects
+from legation.sources.delimited import (
+    export_feed,
+    good_rows,
+    load_with_rejects,
+    read_delimited,
+    read_with_rejects,
+    rejected_rows,
+)
 from legation.sources.tables import load_table, read_parquet_table, read_table
 
 __all__ = [
@@ -15,6 +22,9 @@ __all__ = [
     "country_issues",
     "read_countries",
     "export_feed",
+    "good_rows",
+    "load_with_rejects",
+    "rejected_rows",
     "load_table",
     "read_delimited",
     "read_parquet_table",

@@ -1,5 +1,5 @@
 """Structured Streaming form of the load step (S1-S3 for arriving files)."""
 
-from legation.streaming.incremental import LoadQueries, incremental_load
+from legation.streaming.incremental import incremental_load
 
-__all__ = ["LoadQueries", "incremental_load"]
+__all__ = ["incremental_load"]

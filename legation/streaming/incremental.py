@@ -1,39 +1,25 @@
 """Incremental load: the extract-transform-load step (S1-S3) for files that keep arriving.
 
 Delimited files landing in a folder are typed and checked exactly as
-``read_with_rejects`` does, and appended to a Parquet table (good rows) and
-a rejects table. Each output is its own Structured Streaming query with its
-own checkpoint, and Spark's file sink commits every micro-batch through its
-metadata log: a file is loaded exactly once even when executors are lost or
-the job is restarted. ``availableNow`` processes what is present and stops,
-so the same code serves a scheduled batch run and a continuous one.
+``read_with_rejects`` does and appended, in one pass, to a Parquet table
+partitioned by ``_rejected`` (the layout of ``load_with_rejects``; read it
+back with ``good_rows`` and ``rejected_rows``). Spark's file sink commits
+every micro-batch through its metadata log and the query keeps its progress
+in a checkpoint, so a file is loaded exactly once even when executors are
+lost or the job is restarted. ``availableNow`` processes what is present and
+stops, so the same code serves a scheduled batch run and a continuous one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from legation.session import shared_dir
-from legation.sources.delimited import CORRUPT, split_rejects, text_with_corrupt
-
-
-@dataclass
-class LoadQueries:
-    good: StreamingQuery
-    bad: StreamingQuery
-
-    def wait(self) -> None:
-        self.good.awaitTermination()
-        self.bad.awaitTermination()
-
-    def stop(self) -> None:
-        self.good.stop()
-        self.bad.stop()
+from legation.sources.delimited import CORRUPT, checked_rows, text_with_corrupt
 
 
 def incremental_load(
@@ -41,20 +27,19 @@ def incremental_load(
     source_dir: str,
     schema: StructType,
     table_path: str,
-    rejects_path: str,
     checkpoint_dir: str | None = None,
     partition_by: Sequence[str] | None = None,
     sep: str = ";",
     header: bool = True,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
-) -> LoadQueries:
-    """Start the two load queries; read the outputs with ``spark.read.parquet``.
+) -> StreamingQuery:
+    """Start the load query; ``awaitTermination()`` waits for an ``availableNow`` run.
 
     ``checkpoint_dir`` defaults to a folder under the session's shared
     checkpoint folder; pass a fixed one to resume a load after a restart.
     """
-    ckpt = (checkpoint_dir or shared_dir(spark, "incremental-load")).rstrip("/")
+    ckpt = checkpoint_dir or shared_dir(spark, "incremental-load")
     reader = (
         spark.readStream.schema(text_with_corrupt(schema))
         .option("sep", sep)
@@ -64,16 +49,12 @@ def incremental_load(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    good, bad = split_rejects(reader.csv(source_dir), schema)
-
-    def start(df, path: str, name: str, parts: Sequence[str] | None) -> StreamingQuery:
-        writer = df.writeStream.format("parquet").option("checkpointLocation", f"{ckpt}/{name}")
-        if parts:
-            writer = writer.partitionBy(*parts)
-        writer = writer.trigger(availableNow=True) if available_now else writer
-        return writer.start(path)
-
-    return LoadQueries(
-        good=start(good, table_path, "good", partition_by),
-        bad=start(bad, rejects_path, "bad", None),
+    checked = checked_rows(reader.csv(source_dir), schema)
+    writer = (
+        checked.writeStream.format("parquet")
+        .option("checkpointLocation", ckpt)
+        .partitionBy("_rejected", *(partition_by or []))
     )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(table_path)

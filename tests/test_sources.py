@@ -115,3 +115,16 @@ def test_schema_types_kept(spark, workdir):
     df = read_delimited(spark, path, schema)
     assert df.schema["id"].dataType == LongType()
     assert rows(df) == [(1, "a"), (2, "b")]
+
+
+def test_load_with_rejects_one_pass(spark, workdir):
+    from legation.sources import good_rows, load_with_rejects, rejected_rows
+
+    lines = GOOD_LINES + ["EEE;Epsilon;x", "GGG;Gamma"]
+    path = _write(f"{workdir}/mixed.csv", lines)
+    table = load_with_rejects(spark, path, COUNTRY_SCHEMA, f"{workdir}/loaded", partition_by=["column3"])
+    assert {"_rejected=false", "_rejected=true"} <= set(os.listdir(table))
+    good = good_rows(spark, table)
+    assert rows(good, "column1", "column3") == [("AAA", 2), ("BBB", 5), ("CCC", 2), ("DDD", 6)]
+    bad = dict(rows(rejected_rows(spark, table), "column1", "_reject_reason"))
+    assert bad["EEE"] == "bad column3" and "GGG" in bad
