@@ -86,7 +86,8 @@ def rollup_counts(
     """A5: counts along a hierarchy (e.g. continent > country) with subtotals.
 
     ``g_<level>`` is 1 on rows where that level is rolled up (a subtotal),
-    which tells a subtotal apart from a genuine null member.
+    which tells a subtotal apart from a genuine null member. An empty input
+    gives no rows, not even a grand total (Spark's rule).
     """
     return df.rollup(*levels).agg(
         count_rows(weight).alias(name),
