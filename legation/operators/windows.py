@@ -64,12 +64,69 @@ def rank_within(
     by: str | Sequence[str],
     ascending: bool = False,
     name: str = "rank",
+    large_groups: bool = False,
 ) -> DataFrame:
-    """Rank inside each partition; equal values share a rank (dense)."""
-    w = Window.partitionBy(*_cols(partition)).orderBy(*_order(_cols(by), ascending, []))
+    """Rank inside each partition; equal values share a rank (dense).
+
+    The default is a window per partition, which sorts each group inside one
+    task: right for aggregated rows such as states within a continent. With
+    ``large_groups`` the rank is computed without ever holding a group in
+    one task (see ``_dense_rank_split``); that path runs a checkpoint job
+    when called.
+    """
+    parts, keys = _cols(partition), _cols(by)
+    if large_groups:
+        return _dense_rank_split(df, parts, keys, ascending, name)
+    w = Window.partitionBy(*parts).orderBy(*_order(keys, ascending, []))
     return df.withColumn(name, F.dense_rank().over(w).cast("int"))
 
 
+def _dense_rank_split(
+    df: DataFrame, parts: list[str], by: list[str], ascending: bool, name: str
+) -> DataFrame:
+    """Dense rank by range slices: no group is ever held by one task.
+
+    1. The distinct (partition, value) pairs are taken (map-side
+       de-duplication collapses repeated values of a hot group).
+    2. They are range-partitioned in rank order, so one large group spans
+       many consecutive slices, and checkpointed to the shared checkpoint
+       folder: every later step sees the same slices, also after an
+       executor loss.
+    3. Inside a slice each group gets a local dense rank; the number of
+       distinct values per (group, slice) gives, summed over the earlier
+       slices of the group, the offset to add. That sum runs over at most
+       one row per slice.
+    4. The ranks are joined back to ``df`` on (partition, value), null-safe.
+    """
+    from legation.session import shared_dir
+
+    spark = df.sparkSession
+    shared_dir(spark, "rank")  # makes sure a checkpoint folder is set
+    order = [F.col(p).asc_nulls_first() for p in parts] + _order(by, ascending, [])
+    values = df.select(*parts, *by).distinct()
+    sliced = (
+        values.repartitionByRange(*order)
+        .withColumn("__slice", F.spark_partition_id())
+        .checkpoint(eager=True)
+    )
+    local_w = Window.partitionBy("__slice", *parts).orderBy(*_order(by, ascending, []))
+    local = sliced.withColumn("__local", F.dense_rank().over(local_w))
+    sizes = sliced.groupBy("__slice", *parts).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*parts).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    offsets = offsets.select(
+        F.col("__slice").alias("__o_slice"), *[F.col(p).alias(f"__o_{p}") for p in parts], "__offset"
+    )
+    cond = [local["__slice"] == offsets["__o_slice"]]
+    cond += [local[p].eqNullSafe(offsets[f"__o_{p}"]) for p in parts]
+    ranked = local.join(offsets, cond).select(
+        *[F.col(p).alias(f"__r_{p}") for p in parts + by],
+        (F.col("__local") + F.col("__offset")).cast("int").alias(name),
+    )
+    back = [df[c].eqNullSafe(ranked[f"__r_{c}"]) for c in parts + by]
+    return df.join(ranked, back, "left").drop(*[f"__r_{c}" for c in parts + by])
+
+
 def top_n_per_group(
     df: DataFrame,
     partition: str | Sequence[str],

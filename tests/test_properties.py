@@ -108,6 +108,8 @@ def test_rank_and_top_n(spark, scores, n):
         higher = {w for h, _, w in scores if h == g and w > v}
         want[(g, name)] = len(higher) + 1
     assert got == want
+    split = {(r["g"], r["name"]): r["rank"] for r in rank_within(df, "g", "v", large_groups=True).collect()}
+    assert split == want
     got_top = {(r["g"], r["name"]) for r in top_n_per_group(df, "g", "v", n, tie_break="name").collect()}
     want_top = set()
     for g in {s[0] for s in scores}:

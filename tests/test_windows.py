@@ -66,3 +66,20 @@ def test_top_k_total_order(counts):
     assert [r["name"] for r in out.collect()] == ["France", "Italy", "Nowhere"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_rank_large_groups_matches_window(spark):
+    from pyspark.sql import functions as F
+
+    # one group with many distinct values (it spans several range slices),
+    # a small one, a null group and repeated values
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 == 0, F.lit("small")).when(F.col("id") % 10 == 1, F.lit(None))
+        .otherwise(F.lit("big")).alias("g"),
+        (F.col("id") % 4_000).alias("v"),
+    )
+    split = rank_within(df, "g", "v", large_groups=True)
+    plain = rank_within(df, "g", "v")
+    assert split.count() == df.count()
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+    assert split.where("g = 'big'").agg(F.max("rank")).first()[0] == 3_200
