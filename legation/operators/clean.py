@@ -119,9 +119,10 @@ def filter_appointments(
         cond = cond & F.col(period_col).between(period[0], period[1])
     if dates is not None:
         c = F.col(date_col)
-        cond = cond & (c >= F.lit(dates[0]).cast("timestamp_ntz")) & (
-            c < F.lit(dates[1]).cast("timestamp_ntz")
-        )
+        # The bounds take the column's own type, so the column is compared
+        # as stored and the range stays a pushed filter.
+        kind = df.schema[date_col].dataType
+        cond = cond & (c >= F.lit(dates[0]).cast(kind)) & (c < F.lit(dates[1]).cast(kind))
     return df.where(cond)
 
 

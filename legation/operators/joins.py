@@ -131,7 +131,8 @@ def complete(
       Column (for example ``F.sequence(lo, hi)`` over scalar subqueries).
 
     The grid is generated with ``explode`` over the bounded value lists; the
-    observed counts are then left-joined onto it on all keys.
+    observed counts are then left-joined onto it on all keys (null-safe, so
+    a null member of a domain still finds its counts).
     """
     names = list(keys)
     first = names[0]
@@ -147,9 +148,11 @@ def complete(
         if isinstance(dom, DataFrame):
             raise ValueError("only the first key may take a DataFrame domain")
         grid = grid.withColumn(name, F.explode(_as_array(dom)))
-    joined = grid.join(counts.select(*names, *measures), names, "left")
+    observed = counts.select(*[F.col(k).alias(f"__c_{k}") for k in names], *measures)
+    cond = [grid[k].eqNullSafe(observed[f"__c_{k}"]) for k in names]
+    joined = grid.join(observed, cond, "left")
     return joined.select(
-        *names, *[F.coalesce(F.col(m), F.lit(fill)).alias(m) for m in measures]
+        *[grid[k] for k in names], *[F.coalesce(F.col(m), F.lit(fill)).alias(m) for m in measures]
     )
 
 

@@ -138,8 +138,13 @@ def melt(
     variable: str = "variable",
     value: str = "value",
 ) -> DataFrame:
-    """A cross-tab back to tidy rows (one row per id and column)."""
-    return df.unpivot(_keys(ids), list(values), variable, value)
+    """A cross-tab back to tidy rows (one row per id and column).
+
+    Column names are quoted, so cross-tab columns named after values with
+    dots or dashes work.
+    """
+    cols = [F.col(f"`{v}`").alias(v) for v in values]
+    return df.unpivot([F.col(f"`{i}`") for i in _keys(ids)], cols, variable, value)
 
 
 def bilateral_matrix(

@@ -115,3 +115,14 @@ def test_unmatched_codes_reports_orphans_and_nulls(spark):
     assert rows(unmatched_codes(fact, dim, "sender", "code")) == sorted(
         [("XKX", 2), (None, 1)], key=lambda r: (r[0] is not None, r)
     )
+
+
+def test_filter_dates_on_a_date_column(spark, workdir):
+    path = f"{workdir}/d"
+    spark.createDataFrame(
+        [(1, dt.date(2019, 12, 31)), (2, dt.date(2020, 1, 1)), (3, dt.date(2021, 1, 1))], "id int, day date"
+    ).write.parquet(path)
+    df = filter_appointments(spark.read.parquet(path), dates=("2020-01-01", "2021-01-01"), date_col="day")
+    assert rows(df, "id") == [(2,)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(day,2020-01-01)" in plan

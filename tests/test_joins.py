@@ -88,3 +88,10 @@ def test_enrich_case_blind_only_when_asked(spark):
     assert rows(exact, "id", "name") == [(1, None), (2, "France")]
     blind = enrich(fact, _dim(spark), "sender", "code", ["name"], collation="UTF8_LCASE")
     assert rows(blind, "id", "name") == [(1, "Italy"), (2, "France")]
+
+
+def test_complete_null_member_keeps_counts(spark):
+    counts = spark.createDataFrame([(None, 1, 4), ("a", 1, 2)], "name string, period int, n bigint")
+    dom = spark.createDataFrame([(None,), ("a",)], "name string")
+    out = rows(complete(counts, {"name": dom, "period": [1, 2]}, ["n"]))
+    assert out == [(None, 1, 4), (None, 2, 0), ("a", 1, 2), ("a", 2, 0)]

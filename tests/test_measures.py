@@ -105,3 +105,9 @@ def test_empty_input(facts):
     empty = facts.limit(0)
     assert share_by(empty, "sender", "category", "W").count() == 0
     assert crosstab(empty, "posting", "category", ["W"]).count() == 0
+
+
+def test_melt_odd_column_names(spark):
+    tab = spark.createDataFrame([("x", 1, 2)], "`row.id` string, `1-URGENT` bigint, `a.b` bigint")
+    out = melt(tab, "row.id", ["1-URGENT", "a.b"], "priority", "n")
+    assert rows(out) == [("x", "1-URGENT", 1), ("x", "a.b", 2)]
