@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 ColumnLike = str | Column
 
@@ -57,7 +56,3 @@ def normalised_code(c: ColumnLike) -> Column:
 def cast_failed(raw: ColumnLike, typed: Column) -> Column:
     """True where a non-null input did not convert (the typed value is null)."""
     return to_col(raw).isNotNull() & typed.isNull()
-
-
-def try_cast(c: ColumnLike, data_type: DataType | str) -> Column:
-    return to_col(c).try_cast(data_type)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legation.operators import (
@@ -75,7 +75,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---------------------------------------------------------------- shared parts
 
 
-def _period() -> F.Column:
+def _period() -> Column:
     return F.year("o_orderdate").alias("period")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -77,11 +76,3 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     leaf = f"{name or 'work'}-{uuid.uuid4().hex[:12]}"
     return base.rstrip("/") + "/" + leaf
 
-
-def as_local_path(path: str) -> str:
-    """Strip a ``file:`` scheme, for tests that inspect written files."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.normpath(path)
