@@ -374,10 +374,24 @@ def w2_rank_within(spark: SparkSession, d: str) -> DataFrame:
     return rank_within(_nation_counts(Star.of(spark, d)), "r_name", "n")
 
 
+def _customer_orders(star: Star) -> DataFrame:
+    """Orders per customer with the customer's nation name (customer grain)."""
+    return star.by_sender(count_by(star.t("orders"), "o_custkey")).select("o_custkey", "n_name", "n")
+
+
+def w2_rank_within_large_groups(spark: SparkSession, d: str) -> DataFrame:
+    # customers within their nation: a group that grows with the data
+    return rank_within(_customer_orders(Star.of(spark, d)), "n_name", "n", large_groups=True)
+
+
 def w3_top_n_per_group(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(_nation_counts(Star.of(spark, d)), "r_name", "n", 2, tie_break="n_name")
 
 
+def w3_top_customers_per_nation(spark: SparkSession, d: str) -> DataFrame:
+    return top_n_per_group(_customer_orders(Star.of(spark, d)), "n_name", "n", 3, tie_break="o_custkey")
+
+
 def w4_change_over(spark: SparkSession, d: str) -> DataFrame:
     counted = _sender_counts(Star.of(spark, d), "period", "o_orderstatus")
     shares = share_by(counted, ["r_name", "period"], "o_orderstatus", CATEGORY, weight="n")
@@ -461,7 +475,9 @@ QUERIES: dict[str, Query] = {
     "w1_share_of_total": w1_share_of_total,
     "w1_share_of_grand_total": w1_share_of_grand_total,
     "w2_rank_within": w2_rank_within,
+    "w2_rank_within_large_groups": w2_rank_within_large_groups,
     "w3_top_n_per_group": w3_top_n_per_group,
+    "w3_top_customers_per_nation": w3_top_customers_per_nation,
     "w4_change_over": w4_change_over,
     "l1_top_k": l1_top_k,
     "u1_merge_versions": u1_merge_versions,
@@ -665,6 +681,20 @@ FROM orders GROUP BY o_orderstatus""",
 SELECT r_name, n_name, n,
        CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY n DESC) AS INTEGER) AS rank
 FROM c""",
+    "w2_rank_within_large_groups": f"""
+WITH {_COUNTRIES},
+c AS (SELECT o_custkey, n_name, count(*) AS n FROM {_BY_SENDER} GROUP BY o_custkey, n_name)
+SELECT o_custkey, n_name, n,
+       CAST(dense_rank() OVER (PARTITION BY n_name ORDER BY n DESC) AS INTEGER) AS rank
+FROM c""",
+    "w3_top_customers_per_nation": f"""
+WITH {_COUNTRIES},
+c AS (SELECT o_custkey, n_name, count(*) AS n FROM {_BY_SENDER} GROUP BY o_custkey, n_name)
+SELECT * FROM (
+  SELECT o_custkey, n_name, n,
+         CAST(row_number() OVER (PARTITION BY n_name ORDER BY n DESC, o_custkey) AS INTEGER) AS position
+  FROM c)
+WHERE position <= 3""",
     "w3_top_n_per_group": f"""
 {_NATION_COUNTS}
 SELECT * FROM (
