@@ -82,12 +82,21 @@ def diff_versions(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> D
 
 
 def whole_row_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows present in one version and not the other, with multiplicity.
+    """Rows present more often in one version than in the other (EXCEPT ALL, both ways).
 
-    ``side`` is ``old`` for rows only in ``old`` and ``new`` for rows only in
-    ``new`` (``EXCEPT ALL`` in both directions).
+    One row per distinct differing row: ``side`` is ``old`` when the row has
+    more copies in ``old``, ``new`` otherwise, and ``n`` is the surplus of
+    copies. The multiplicity stays a number instead of being re-emitted as
+    copies, so a row repeated a billion times is still one output row and no
+    task has to generate its copies. Nulls compare equal.
     """
-    new = new.select(*old.columns)
-    gone = old.exceptAll(new).withColumn("side", F.lit("old"))
-    came = new.exceptAll(old).withColumn("side", F.lit("new"))
-    return gone.unionByName(came)
+    cols = list(old.columns)
+    tagged = old.withColumn("__d", F.lit(1)).unionByName(
+        new.select(*cols).withColumn("__d", F.lit(-1))
+    )
+    net = tagged.groupBy(*cols).agg(F.sum("__d").alias("__net")).where(F.col("__net") != 0)
+    return net.select(
+        *cols,
+        F.when(F.col("__net") > 0, F.lit("old")).otherwise(F.lit("new")).alias("side"),
+        F.abs(F.col("__net")).cast("bigint").alias("n"),
+    )

@@ -734,9 +734,9 @@ WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL
    OR o.c_acctbal IS DISTINCT FROM n.c_acctbal OR o.c_mktsegment IS DISTINCT FROM n.c_mktsegment""",
     "u2_whole_row_changes": f"""
 WITH {_VERSIONS}
-SELECT *, 'old' AS side FROM (SELECT * FROM old_v EXCEPT ALL SELECT * FROM new_v)
+SELECT *, 'old' AS side, count(*) AS n FROM (SELECT * FROM old_v EXCEPT ALL SELECT * FROM new_v) GROUP BY ALL
 UNION ALL
-SELECT *, 'new' AS side FROM (SELECT * FROM new_v EXCEPT ALL SELECT * FROM old_v)""",
+SELECT *, 'new' AS side, count(*) AS n FROM (SELECT * FROM new_v EXCEPT ALL SELECT * FROM old_v) GROUP BY ALL""",
     "f1_category_share_ranking": f"""
 WITH {_COUNTRIES},
 sh AS (SELECT r_name, n_name, {_SHARE} FROM {_BY_SENDER} GROUP BY r_name, n_name)

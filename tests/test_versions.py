@@ -55,5 +55,11 @@ def test_diff_versions_nulls_compare_equal(spark):
 
 
 def test_whole_row_changes(old, new):
-    out = rows(whole_row_changes(old, new), "code", "side")
-    assert out == [("SCG", "old"), ("SRB", "new"), ("TUR", "new"), ("TUR", "old"), ("XXX", "new")]
+    out = rows(whole_row_changes(old, new), "code", "side", "n")
+    assert out == [("SCG", "old", 1), ("SRB", "new", 1), ("TUR", "new", 1), ("TUR", "old", 1), ("XXX", "new", 1)]
+
+
+def test_whole_row_changes_counts_copies(spark):
+    a = spark.createDataFrame([("K", 1)] * 5 + [("L", None)] * 2, "k string, v int")
+    b = spark.createDataFrame([("K", 1)] * 2 + [("L", None)] * 2 + [("M", 3)], "k string, v int")
+    assert rows(whole_row_changes(a, b)) == [("K", 1, "old", 3), ("M", 3, "new", 1)]
