@@ -8,6 +8,7 @@ from legation.functions.exprs import (
     normalised_name,
     safe_ratio,
     to_col,
+    to_type,
 )
 
 __all__ = [
@@ -18,4 +19,5 @@ __all__ = [
     "normalised_name",
     "safe_ratio",
     "to_col",
+    "to_type",
 ]

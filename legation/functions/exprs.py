@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 ColumnLike = str | Column
 
@@ -56,3 +57,17 @@ def normalised_code(c: ColumnLike) -> Column:
 def cast_failed(raw: ColumnLike, typed: Column) -> Column:
     """True where a non-null input did not convert (the typed value is null)."""
     return to_col(raw).isNotNull() & typed.isNull()
+
+
+def to_type(c: ColumnLike, data_type: DataType, fmt: str | None = None) -> Column:
+    """Text converted to ``data_type``; null where it does not convert.
+
+    ``fmt`` is a datetime pattern (for example ``dd/MM/yyyy``) for date and
+    timestamp targets; other types use ``try_cast``.
+    """
+    col = to_col(c)
+    if fmt is not None and isinstance(data_type, DateType):
+        return F.try_to_date(col, fmt)
+    if fmt is not None and isinstance(data_type, (TimestampType, TimestampNTZType)):
+        return F.try_to_timestamp(col, F.lit(fmt)).cast(data_type)
+    return col.try_cast(data_type)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from legation.functions.exprs import cast_failed, normalised_code, normalised_name
+from legation.functions.exprs import to_type
 from legation.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
 
 
@@ -21,15 +22,22 @@ def assign_names(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
-def conform_types(df: DataFrame, schema: StructType, errors: str = "_cast_errors") -> DataFrame:
+def conform_types(
+    df: DataFrame,
+    schema: StructType,
+    errors: str = "_cast_errors",
+    formats: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Convert columns to the types of ``schema`` in one projection.
 
     A value that does not convert becomes null, and its column name is
     listed in the text column ``errors`` (names joined by commas, empty
     when the row converted cleanly). Columns not in ``schema``, and columns
-    already of the wanted type, pass through unchanged. Everything stays in
-    one generated-code projection (no higher-order functions).
+    already of the wanted type, pass through unchanged. ``formats`` maps a
+    date or timestamp column to its pattern (e.g. ``dd/MM/yyyy``). Everything
+    stays in one generated-code projection (no higher-order functions).
     """
+    formats = dict(formats or {})
     current = {f.name: f.dataType for f in df.schema.fields}
     typed: dict[str, Column] = {}
     failures = []
@@ -37,7 +45,7 @@ def conform_types(df: DataFrame, schema: StructType, errors: str = "_cast_errors
         if current.get(field.name) == field.dataType:
             continue
         raw = F.col(field.name)
-        value = raw.try_cast(field.dataType)
+        value = to_type(raw, field.dataType, formats.get(field.name))
         typed[field.name] = value
         failures.append(F.when(cast_failed(raw, value), F.lit(field.name)))
     out = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from legation.functions.exprs import cast_failed
+from legation.functions.exprs import to_type
 
 CORRUPT = "_corrupt_record"
 
@@ -53,17 +54,20 @@ def read_with_rejects(
     sep: str = ";",
     header: bool = True,
     encoding: str = "UTF-8",
+    formats: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The same scan, split into good rows and rejected rows.
 
-    Every field is read as text, then converted with ``try_cast``. A row is
+    Every field is read as text, then converted (``try_cast``, or the given
+    date format). A row is
     rejected when a field does not convert, a non-nullable field is empty,
     or the parser saw the wrong number of fields. ``good`` has ``schema``;
     ``bad`` has the raw text of each field plus ``_reject_reason`` (the
     problems, joined by ``"; "``).
 
     The reject test reads every field, so the split does not change when a
-    caller later selects only a few columns of ``good``.
+    caller later selects only a few columns of ``good``. ``formats`` maps
+    date or timestamp fields to their pattern (e.g. ``dd/MM/yyyy``).
     """
     raw = (
         _reader(spark, text_with_corrupt(schema), sep, header, encoding)
@@ -71,7 +75,7 @@ def read_with_rejects(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    return split_rejects(raw, schema)
+    return split_rejects(raw, schema, formats)
 
 
 def text_with_corrupt(schema: StructType) -> StructType:
@@ -82,7 +86,7 @@ def text_with_corrupt(schema: StructType) -> StructType:
     )
 
 
-def checked_rows(raw: DataFrame, schema: StructType) -> DataFrame:
+def checked_rows(raw: DataFrame, schema: StructType, formats: dict[str, str] | None = None) -> DataFrame:
     """Typed columns of ``schema`` plus the reject verdict, in one projection.
 
     ``raw`` holds every field as text plus the corrupt-record column (read
@@ -90,7 +94,10 @@ def checked_rows(raw: DataFrame, schema: StructType) -> DataFrame:
     fields, ``_reject_reason`` (null for a good row), ``_raw`` (the text
     fields of a rejected row, null for a good one) and ``_rejected``.
     """
-    typed: dict[str, Column] = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+    formats = formats or {}
+    typed: dict[str, Column] = {
+        f.name: to_type(f.name, f.dataType, formats.get(f.name)) for f in schema.fields
+    }
     problems = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed row"))]
     for f in schema.fields:
         problems.append(F.when(cast_failed(f.name, typed[f.name]), F.lit(f"bad {f.name}")))
@@ -106,14 +113,16 @@ def checked_rows(raw: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
-def split_rejects(raw: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+def split_rejects(
+    raw: DataFrame, schema: StructType, formats: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Type the text columns of ``raw`` and split good rows from rejected ones.
 
     Works on batch and streaming frames alike (``raw`` read with
     ``text_with_corrupt(schema)``). Each output is its own pass over
     ``raw``; ``load_with_rejects`` writes both in one pass.
     """
-    checked = checked_rows(raw, schema)
+    checked = checked_rows(raw, schema, formats)
     good = checked.where(~F.col("_rejected")).select(*[f.name for f in schema.fields])
     bad = checked.where(F.col("_rejected")).select(
         *[F.col(f"_raw.{f.name}").alias(f.name) for f in schema.fields], "_reject_reason"
@@ -131,6 +140,7 @@ def load_with_rejects(
     header: bool = True,
     encoding: str = "UTF-8",
     mode: str = "overwrite",
+    formats: dict[str, str] | None = None,
 ) -> str:
     """S2 with S3 in one pass: parse once, write good and rejected rows together.
 
@@ -149,7 +159,7 @@ def load_with_rejects(
         .csv(path)
     )
     parts = ["_rejected", *(partition_by or [])]
-    return load_table(checked_rows(raw, schema), table_path, partition_by=parts, mode=mode)
+    return load_table(checked_rows(raw, schema, formats), table_path, partition_by=parts, mode=mode)
 
 
 def good_rows(spark: SparkSession, table_path: str) -> DataFrame:

@@ -33,6 +33,7 @@ def incremental_load(
     header: bool = True,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    formats: dict[str, str] | None = None,
 ) -> StreamingQuery:
     """Start the load query; ``awaitTermination()`` waits for an ``availableNow`` run.
 
@@ -49,7 +50,7 @@ def incremental_load(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    checked = checked_rows(reader.csv(source_dir), schema)
+    checked = checked_rows(reader.csv(source_dir), schema, formats)
     writer = (
         checked.writeStream.format("parquet")
         .option("checkpointLocation", ckpt)

@@ -126,3 +126,20 @@ def test_filter_dates_on_a_date_column(spark, workdir):
     assert rows(df, "id") == [(2,)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(day,2020-01-01)" in plan
+
+
+def test_conform_types_with_date_format(spark):
+    from pyspark.sql.types import DateType
+
+    df = spark.createDataFrame([("31/12/2020",), ("2020-12-31",), (None,)], "d string")
+    out = conform_types(df, StructType([StructField("d", DateType())]), formats={"d": "dd/MM/yyyy"})
+    assert rows(out) == [(None, ""), (None, "d"), (dt.date(2020, 12, 31), "")]
+
+
+def test_conform_types_with_timestamp_format(spark):
+    from pyspark.sql.types import TimestampNTZType
+
+    df = spark.createDataFrame([("31/12/2020 10:30",), ("bad",)], "t string")
+    schema = StructType([StructField("t", TimestampNTZType())])
+    out = conform_types(df, schema, formats={"t": "dd/MM/yyyy HH:mm"})
+    assert rows(out) == [(None, "t"), (dt.datetime(2020, 12, 31, 10, 30), "")]

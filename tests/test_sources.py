@@ -128,3 +128,15 @@ def test_load_with_rejects_one_pass(spark, workdir):
     assert rows(good, "column1", "column3") == [("AAA", 2), ("BBB", 5), ("CCC", 2), ("DDD", 6)]
     bad = dict(rows(rejected_rows(spark, table), "column1", "_reject_reason"))
     assert bad["EEE"] == "bad column3" and "GGG" in bad
+
+
+def test_read_with_rejects_date_format(spark, workdir):
+    from pyspark.sql.types import DateType
+
+    schema = StructType([StructField("code", StringType()), StructField("day", DateType())])
+    path = _write(f"{workdir}/days.csv", ["code;day", "A;31/12/2020", "B;2020-12-31"])
+    good, bad = read_with_rejects(spark, path, schema, formats={"day": "dd/MM/yyyy"})
+    import datetime as dt
+
+    assert rows(good) == [("A", dt.date(2020, 12, 31))]
+    assert rows(bad) == [("B", "2020-12-31", "bad day")]
