@@ -81,7 +81,7 @@ def decode(
     label: str,
     label_key: str | None = None,
     label_col: str | None = None,
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Add column ``label`` holding the label of the code in ``col``.
 

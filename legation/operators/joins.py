@@ -21,7 +21,7 @@ def _dim_side(
     dim_key: str,
     columns: Sequence[str] | None,
     prefix: str,
-    max_rows: int,
+    max_rows: int | None,
 ) -> tuple[DataFrame, str]:
     cols = [c for c in (columns or dim.columns) if c != dim_key]
     key_alias = f"__{prefix}key"
@@ -40,7 +40,7 @@ def enrich(
     columns: Sequence[str] | None = None,
     prefix: str = "",
     how: str = "left",
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
     collation: str | None = None,
 ) -> DataFrame:
     """Add dimension columns to each fact row by an equi join.
@@ -49,6 +49,9 @@ def enrich(
     columns are null; report them with ``unmatched_codes``). The dimension
     key must be unique, or facts multiply. Keys compare exactly; pass
     ``collation="UTF8_LCASE"`` for a case-blind match of string codes.
+    ``max_rows`` bounds the broadcast probe of ``dim``; ``None`` skips the
+    probe when ``dim`` is itself an aggregate or a join (see
+    ``plans.sizing``).
     """
     side, key_alias = _dim_side(dim, dim_key or key, columns, prefix, max_rows)
     left, right = fact[key], side[key_alias]
@@ -67,7 +70,7 @@ def enrich_both(
     columns: Sequence[str] | None = None,
     prefixes: tuple[str, str] = ("sender_", "receiver_"),
     how: str = "left",
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
     collation: str | None = None,
 ) -> DataFrame:
     """The same dimension joined twice, for the sending and receiving side.

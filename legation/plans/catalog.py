@@ -95,7 +95,8 @@ def _rebalanced(star: Star, customers: DataFrame) -> DataFrame:
     open_orders = count_by(
         star.t("orders").where(F.col("o_orderstatus") == F.lit(OTHER)), "o_custkey", name="n_open"
     )
-    joined = enrich(customers, open_orders, "c_custkey", "o_custkey", ["n_open"])
+    # open_orders is an aggregate: no size probe, AQE picks the join at run time
+    joined = enrich(customers, open_orders, "c_custkey", "o_custkey", ["n_open"], max_rows=None)
     new_bal = F.when(
         F.col("n_open").isNotNull(),
         F.col("c_acctbal") - (F.col("n_open") * F.lit(100)).cast("double"),

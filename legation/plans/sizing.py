@@ -11,6 +11,13 @@ check stays cheap on a 100 TB input instead of launching a task per file.
 The outcome is remembered per DataFrame object: a DataFrame fixes its plan
 and its file listing when it is created, so repeated joins against the same
 dimension in one query check it once.
+
+Probe inputs that are cheap to read, such as dimension tables. A side that
+is itself computed through a shuffle (an aggregate, a join) would have that
+shuffle run once for the probe and again for the query; pass
+``max_rows=None`` for such sides: no probe, no hint, and AQE still turns
+the join into a broadcast when the side's materialized shuffle output is
+small.
 """
 
 from __future__ import annotations
@@ -43,13 +50,16 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def bounded_broadcast(
     df: DataFrame,
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
 
     ``source`` is the frame whose row count equals ``df``'s (``df`` being a
     projection of it); the check and its memo then apply to ``source``.
+    ``max_rows=None`` returns ``df`` unprobed and unhinted.
     """
+    if max_rows is None:
+        return df
     probe = df if source is None else source
     return F.broadcast(df) if row_count_at_most(probe, max_rows) else df
