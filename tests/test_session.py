@@ -1,0 +1,32 @@
+"""Shared folder resolution and the broadcast size probe."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from legation.plans import sizing
+from legation.session import shared_dir
+
+
+def test_shared_dir_is_fresh_and_under_checkpoint_folder(spark):
+    a, b = shared_dir(spark, "x"), shared_dir(spark, "x")
+    base = spark.sparkContext.getCheckpointDir()
+    assert a != b and a.startswith(base.rstrip("/") + "/x-") and b.startswith(base.rstrip("/") + "/x-")
+
+
+def test_probe_is_bounded_and_remembered(spark):
+    df = spark.range(50)
+    assert sizing.row_count_at_most(df, 50) and not sizing.row_count_at_most(df, 49)
+    assert sizing._probed[df] == {50: True, 49: False}
+    # answers that follow from what is known do not probe again
+    assert sizing.row_count_at_most(df, 1000) and not sizing.row_count_at_most(df, 10)
+    assert set(sizing._probed[df]) == {50, 49}
+
+
+def test_bounded_broadcast_hint(spark):
+    small = spark.range(5)
+    assert "broadcast" in small.join(sizing.bounded_broadcast(small), "id")._jdf.queryExecution().analyzed().toString().lower()
+    big = spark.range(10).select(F.col("id"))
+    same = sizing.bounded_broadcast(big, max_rows=3)
+    assert same is big
+    assert sizing.bounded_broadcast(big, max_rows=None) is big
