@@ -17,7 +17,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from legation.operators.clean import assign_names, normalise_keys
 from legation.sources.delimited import read_delimited, read_with_rejects
 
-# The file's own header names, in file order.
+# Fixed values of the country file: its header names and types in file
+# order, the pattern every code follows, and the continent codes that occur.
 COUNTRY_FILE_SCHEMA = StructType(
     [
         StructField("column1", StringType(), False),
@@ -25,11 +26,12 @@ COUNTRY_FILE_SCHEMA = StructType(
         StructField("column3", IntegerType(), False),
     ]
 )
-COUNTRY_NAMES = {"column1": "country_code", "column2": "country_name", "column3": "continent_code"}
 CODE_PATTERN = "^[A-Z]{3}$"
-# The continent codes that occur in the country file (no labels ship with it).
 CONTINENT_CODES = (2, 3, 4, 5, 6, 7, 8)
 
+# The names this package gives the three columns.
+COUNTRY_NAMES = {"column1": "country_code", "column2": "country_name", "column3": "continent_code"}
+
 
 def read_countries(
     spark: SparkSession, path: str, strict: bool = True, normalise: bool = True
