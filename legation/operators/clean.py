@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from legation.functions.exprs import cast_failed, normalised_code, normalised_name
-from legation.functions.exprs import to_type
+from legation.functions.exprs import cast_failed, normalised_code, normalised_name, to_type
 from legation.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
 
 

@@ -51,6 +51,7 @@ class Star:
         self._tables: dict[str, DataFrame] = {}
         self._countries: DataFrame | None = None
         self._customer_link: DataFrame | None = None
+        self._supplier_link: DataFrame | None = None
 
     def t(self, name: str) -> DataFrame:
         """The table ``name``; the same DataFrame object for every call."""
@@ -72,16 +73,11 @@ class Star:
             self._customer_link = self.t("customer").select("c_custkey", "c_nationkey")
         return self._customer_link
 
-    def appointments(self) -> DataFrame:
-        """Orders with the appointment reading of their columns (row grain)."""
-        return self.t("orders").select(
-            "o_orderkey",
-            "o_custkey",
-            F.col("o_orderstatus").alias("category"),
-            F.col("o_orderpriority").alias("posting"),
-            F.year("o_orderdate").alias("period"),
-            "o_orderdate",
-        )
+    def supplier_link(self) -> DataFrame:
+        """``s_suppkey, s_nationkey``: the supplier-to-state bridge."""
+        if self._supplier_link is None:
+            self._supplier_link = self.t("supplier").select("s_suppkey", "s_nationkey")
+        return self._supplier_link
 
     def by_sender(self, counted: DataFrame, cust_col: str = "o_custkey") -> DataFrame:
         """Add the sending state (``c_nationkey, n_name, r_name``) to customer-grain rows."""
@@ -96,9 +92,8 @@ class Star:
 
     def line_receivers(self) -> DataFrame:
         """``l_orderkey, l_linenumber, receiver`` (nation key of each line's supplier)."""
-        supplier = self.t("supplier").select("s_suppkey", "s_nationkey")
         lines = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-        linked = enrich(lines, supplier, "l_suppkey", "s_suppkey", ["s_nationkey"])
+        linked = enrich(lines, self.supplier_link(), "l_suppkey", "s_suppkey", ["s_nationkey"])
         return linked.select("l_orderkey", "l_linenumber", F.col("s_nationkey").alias("receiver"))
 
     def bilateral_lines(self) -> DataFrame:

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from legation.functions.exprs import cast_failed
-from legation.functions.exprs import to_type
+from legation.functions.exprs import cast_failed, to_type
 
 CORRUPT = "_corrupt_record"
 

@@ -45,6 +45,7 @@ def incremental_load(
         spark.readStream.schema(text_with_corrupt(schema))
         .option("sep", sep)
         .option("header", header)
+        .option("enforceSchema", False)  # each file's header must match the schema
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
     )
