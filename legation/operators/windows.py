@@ -140,7 +140,10 @@ def top_n_per_group(
 
     ``tie_break`` must make the order total so the kept rows do not depend
     on task timing. Spark plans the filter as a ``WindowGroupLimit`` that
-    already keeps only ``n`` rows per group in each map task.
+    already keeps only ``n`` rows per group in each map task (for ``n`` up
+    to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default),
+    so even a group holding a third of all rows reaches the final window as
+    ``n`` rows per map task.
     """
     tie = _cols(tie_break)
     if not tie:
