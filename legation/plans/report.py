@@ -14,8 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legation.operators.clean import unmatched_codes
-from legation.operators.joins import enrich
-from legation.operators.measures import bilateral_matrix, count_by, crosstab, parity_ratio, share_by
+from legation.operators.joins import complete, enrich
+from legation.operators.measures import (
+    bilateral_matrix,
+    count_by,
+    crosstab,
+    parity_ratio,
+    rollup_counts,
+    share_by,
+)
 from legation.operators.windows import change_over
 from legation.plans.flagship import category_share_ranking
 from legation.sources.delimited import export_feed
@@ -44,15 +51,22 @@ def representation_feeds(
     * ``category_by_posting``: cross-tab of posting type by category (A7);
     * ``continent_matrix``: sender continent x receiver continent (A9);
     * ``share_by_period``: share per period and change on the previous (W4);
+    * ``counts_with_subtotals``: appointments per continent and state with
+      continent subtotals and the grand total (A5);
+    * ``state_by_period``: appointments per state and period, every state of
+      the countries table and every period from the first to the last, empty
+      cells 0 (J5);
     * ``unmatched_senders``: sender codes missing from the countries (Q3).
 
     Feeds whose columns are not given (``other``, ``receiver``,
     ``posting_col``, ``period_col`` set to None) are left out.
     """
+    per_state = enrich(count_by(appointments, sender), countries, sender, code, [name, continent])
     feeds: dict[str, DataFrame] = {
         "share_by_state": category_share_ranking(
             appointments, countries, sender, category_col, category, code, name, continent
         ),
+        "counts_with_subtotals": rollup_counts(per_state, [continent, name], weight="n"),
         "unmatched_senders": unmatched_codes(appointments, countries, sender, code),
     }
     if other is not None:
@@ -68,6 +82,15 @@ def representation_feeds(
     if period_col is not None:
         shares = share_by(appointments, period_col, category_col, category)
         feeds["share_by_period"] = change_over(shares, period_col, "share")
+        per_period = enrich(
+            count_by(appointments, sender, period_col), countries, sender, code, [name]
+        ).where(F.col(name).isNotNull())
+        counts = count_by(per_period, name, period_col, weight="n")
+        first = appointments.select(F.min(period_col)).scalar()
+        last = appointments.select(F.max(period_col)).scalar()
+        feeds["state_by_period"] = complete(
+            counts, {name: countries.select(name), period_col: F.sequence(first, last)}, ["n"]
+        )
     return feeds
 
 

@@ -75,6 +75,8 @@ def test_report_writes_feeds(spark, workdir, appointments):
     )
     assert set(paths) == {
         "share_by_state",
+        "counts_with_subtotals",
+        "state_by_period",
         "unmatched_senders",
         "parity_by_state",
         "category_by_posting",
@@ -97,3 +99,10 @@ def test_report_writes_feeds(spark, workdir, appointments):
     matrix_schema = "sender_continent_code int, receiver_continent_code int, n bigint"
     matrix = rows(spark.read.csv(paths["continent_matrix"], sep=";", header=True, schema=matrix_schema))
     assert matrix == [(None, 2, 1), (2, 2, 2), (2, 5, 2), (5, 2, 1)]
+    grid_schema = "country_name string, period int, n bigint"
+    grid = rows(spark.read.csv(paths["state_by_period"], sep=";", header=True, schema=grid_schema))
+    assert len(grid) == 5 * 2  # five countries x periods 2020..2021
+    assert ("Alpha, Republic of", 2020, 2) in grid and ("Delta (Islands)", 2021, 0) in grid
+    sub_schema = "continent_code int, country_name string, n bigint, g_continent_code int, g_country_name int"
+    subtotals = rows(spark.read.csv(paths["counts_with_subtotals"], sep=";", header=True, schema=sub_schema))
+    assert (None, None, 7, 1, 1) in subtotals and (2, None, 4, 0, 1) in subtotals
