@@ -1,6 +1,14 @@
-"""Query compositions: the flagship, the stand-in star and the query catalog."""
+"""Query compositions: the flagship, the chart-feed report, size-checked broadcast,
+the stand-in star over the test tables and the query catalog."""
 
 from legation.plans.flagship import category_share_ranking, combine_shares
+from legation.plans.report import representation_feeds, representation_report
 from legation.plans.sizing import bounded_broadcast
 
-__all__ = ["bounded_broadcast", "category_share_ranking", "combine_shares"]
+__all__ = [
+    "bounded_broadcast",
+    "category_share_ranking",
+    "combine_shares",
+    "representation_feeds",
+    "representation_report",
+]
