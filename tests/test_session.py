@@ -30,3 +30,28 @@ def test_bounded_broadcast_hint(spark):
     same = sizing.bounded_broadcast(big, max_rows=3)
     assert same is big
     assert sizing.bounded_broadcast(big, max_rows=None) is big
+
+
+def test_local_session_without_checkpoint_folder_gets_one(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from legation.session import build_session, shared_dir\n"
+        "s = build_session('local[1]', extra={'spark.ui.enabled': 'false'})\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "d = shared_dir(s, 'probe')\n"
+        "print(s.sparkContext.getCheckpointDir()); print(d)\n"
+    )
+    empty_conf = tmp_path / "conf"
+    empty_conf.mkdir()
+    env = dict(os.environ, SPARK_CONF_DIR=str(empty_conf))
+    proc = subprocess.run(
+        [sys.executable, "-c", script, root], capture_output=True, text=True, timeout=300, env=env
+    )
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    base, leaf = proc.stdout.strip().splitlines()[-2:]
+    assert "legation-" in base and leaf.startswith(base.rstrip("/") + "/probe-")
