@@ -140,3 +140,23 @@ def test_read_with_rejects_date_format(spark, workdir):
 
     assert rows(good) == [("A", dt.date(2020, 12, 31))]
     assert rows(bad) == [("B", "2020-12-31", "bad day")]
+
+
+def test_bucketed_tables_join_without_shuffle(spark, workdir):
+    import uuid
+
+    suffix = uuid.uuid4().hex[:8]
+    orders = spark.range(2_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    lines = spark.range(8_000).select((F.col("id") % 2_000).alias("k"), F.col("id").alias("line"))
+    load_table(orders, f"{workdir}/o", bucket_by=(8, ["k"]), table=f"o_{suffix}")
+    load_table(lines, f"{workdir}/l", bucket_by=(8, ["k"]), table=f"l_{suffix}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table(f"l_{suffix}").join(spark.table(f"o_{suffix}"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 8_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        load_table(orders, f"{workdir}/x", bucket_by=(8, ["k"]))
