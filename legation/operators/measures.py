@@ -125,9 +125,12 @@ def crosstab(
     """Categories as columns; absent cells are 0.
 
     ``values`` are given explicitly: the pivot then runs in one pass and the
-    output columns do not depend on the data.
+    output columns do not depend on the data. ``None`` among the values
+    counts the rows whose category is null (column ``None``).
     """
-    aggs = [count_where(F.col(col) == F.lit(v), weight).alias(f"{prefix}{v}") for v in values]
+    aggs = [
+        count_where(F.col(col).eqNullSafe(F.lit(v)), weight).alias(f"{prefix}{v}") for v in values
+    ]
     return df.groupBy(*_keys(row)).agg(*aggs)
 
 

@@ -111,3 +111,9 @@ def test_melt_odd_column_names(spark):
     tab = spark.createDataFrame([("x", 1, 2)], "`row.id` string, `1-URGENT` bigint, `a.b` bigint")
     out = melt(tab, "row.id", ["1-URGENT", "a.b"], "priority", "n")
     assert rows(out) == [("x", "1-URGENT", 1), ("x", "a.b", 2)]
+
+
+def test_crosstab_counts_null_category_when_asked(facts):
+    tab = crosstab(facts, "posting", "category", ["W", None])
+    assert rows(tab) == [("deputy", 0, 0), ("head", 1, 1)]
+    assert tab.columns == ["posting", "W", "None"]
