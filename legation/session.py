@@ -27,13 +27,16 @@ def build_session(
     app_name: str = "legation",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    max_partition_bytes: str | None = None,
 ) -> SparkSession:
     """Get or create a session with the package's settings.
 
     ``master`` is only set when given (a cluster launcher sets it otherwise).
     ``shuffle_partitions`` should follow the data size: at 100 TB of input,
     about one partition per 200 MB of shuffled data; AQE coalesces the small
-    ones, so erring high is cheap.
+    ones, so erring high is cheap. ``max_partition_bytes`` (for example
+    ``"512m"``) sets the size of a scan split: larger splits mean fewer scan
+    tasks on very large inputs, smaller ones more parallelism on small ones.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -41,6 +44,8 @@ def build_session(
     conf = dict(_SESSION_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if max_partition_bytes:
+        conf["spark.sql.files.maxPartitionBytes"] = max_partition_bytes
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
