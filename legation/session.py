@@ -35,8 +35,8 @@ def build_session(
     ``shuffle_partitions`` should follow the data size: at 100 TB of input,
     about one partition per 200 MB of shuffled data; AQE coalesces the small
     ones, so erring high is cheap. ``max_partition_bytes`` (for example
-    ``"512m"``) sets the size of a scan split: larger splits mean fewer scan
-    tasks on very large inputs, smaller ones more parallelism on small ones.
+    ``"512m"``) sets the largest scan split: larger splits mean fewer scan
+    tasks on very large inputs.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
