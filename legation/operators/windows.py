@@ -188,9 +188,11 @@ def change_over(
         F.when(F.col(period).isNotNull(), F.col(measure)).alias("prev"),
     )
     shifted = df.select(*keys, F.explode(F.array(here, later)).alias("__e"))
+    # max, not first: the same answer for one row per (partition, period),
+    # and still the same answer on a recomputed task if there are duplicates
     paired = shifted.groupBy(*keys, F.col("__e.p").alias("__p")).agg(
-        F.first("__e.row", ignorenulls=True).alias("__row"),
-        F.first("__e.prev", ignorenulls=True).alias(previous),
+        F.max("__e.row").alias("__row"),
+        F.max("__e.prev").alias(previous),
     )
     present = paired.where(F.col("__row").isNotNull())
     cols = [
