@@ -8,6 +8,7 @@ sorted, floats compared with a relative tolerance.
 from __future__ import annotations
 
 import math
+import os
 from dataclasses import dataclass
 
 import duckdb
@@ -20,9 +21,15 @@ TABLES = (
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    """Views over the tables of ``sf_dir``: single files, or folders of part files."""
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        path = f"{sf_dir}/{t}.parquet"
+        if os.path.isdir(path):
+            path = f"{path}/*.parquet"
+        elif not os.path.exists(path):
+            continue
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
