@@ -143,3 +143,8 @@ def test_conform_types_with_timestamp_format(spark):
     schema = StructType([StructField("t", TimestampNTZType())])
     out = conform_types(df, schema, formats={"t": "dd/MM/yyyy HH:mm"})
     assert rows(out) == [(None, "t"), (dt.datetime(2020, 12, 31, 10, 30), "")]
+
+
+def test_normalise_keys_no_break_space(spark):
+    df = spark.createDataFrame([(" ita ", "Saint  Barthélemy ")], "code string, name string")
+    assert rows(normalise_keys(df, codes=["code"], names=["name"])) == [("ITA", "Saint Barthélemy")]
