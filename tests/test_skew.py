@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from legation.operators import active_members, count_by, enrich, share_by
+from legation.operators import active_members, count_by, enrich, share_by, top_n_per_group
 
 N = 120_000
 
@@ -73,3 +73,12 @@ def test_shuffled_join_splits_hot_partition(spark, skewed, dim):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_top_n_of_hot_group_is_limited_map_side(skewed):
+    out = top_n_per_group(skewed, "sender", "id", 3, tie_break="category")
+    plan = _plan(out)
+    assert plan.count("WindowGroupLimit") >= 2  # a partial limit before the shuffle, then the final
+    hot = sorted(r["id"] for r in out.where("sender = 0").collect())
+    assert hot == [N - 3 * k for k in (3, 2, 1)]  # the three largest multiples of 3 below N
+
