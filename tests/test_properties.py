@@ -17,7 +17,10 @@ from legation.operators import (
     rank_within,
     rollup_counts,
     share_by,
+    share_of_total,
     top_n_per_group,
+    unmatched_codes,
+    whole_row_changes,
 )
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -151,3 +154,51 @@ def test_complete(spark, counts, names):
     got = {(r[0], r[1]): r[2] for r in complete(c, {"name": dom, "period": [1, 2, 3]}, ["n"]).collect()}
     want = {(a, b): counts.get((a, b), 0) for a in names for b in (1, 2, 3)}
     assert got == want
+
+
+rows_st = st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from([1, 2, None])), max_size=12)
+
+
+@SETTINGS
+@given(old=rows_st, new=rows_st)
+def test_whole_row_changes_is_multiset_difference(spark, old, new):
+    schema = "k string, v int"
+    got = {
+        (r["k"], r["v"], r["side"]): r["n"]
+        for r in whole_row_changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()
+    }
+    a, b = Counter(old), Counter(new)
+    want = {(*row, "old"): n for row, n in (a - b).items()}
+    want.update({(*row, "new"): n for row, n in (b - a).items()})
+    assert got == want
+
+
+@SETTINGS
+@given(
+    counts=st.lists(st.tuples(st.sampled_from(["E", "F", None]), st.integers(0, 9)), max_size=10)
+)
+def test_share_of_total(spark, counts):
+    data = [(p, f"m{i}", n) for i, (p, n) in enumerate(counts)]
+    df = spark.createDataFrame(data, "p string, m string, n bigint")
+    parent_total: Counter = Counter()
+    for p, _, n in data:
+        parent_total[p] += n
+    got = {r["m"]: r["share"] for r in share_of_total(df, "n", parent="p").collect()}
+    assert got == {m: _ratio(n, parent_total[p]) for p, m, n in data}
+    total = sum(n for _, _, n in data)
+    got = {r["m"]: r["share"] for r in share_of_total(df, "n").collect()}
+    assert got == {m: _ratio(n, total) for _, m, n in data}
+
+
+@SETTINGS
+@given(
+    facts=st.lists(st.sampled_from(["A", "B", "C", None]), max_size=15),
+    dim=st.sets(st.sampled_from(["A", "B", "D"])),
+)
+def test_unmatched_codes(spark, facts, dim):
+    f = spark.createDataFrame([(x,) for x in facts], "code string")
+    d = spark.createDataFrame([(x,) for x in dim], "key string")
+    got = {r["code"]: r["n"] for r in unmatched_codes(f, d, "code", "key").collect()}
+    want = {c: n for c, n in Counter(facts).items() if c is None or c not in dim}
+    assert got == want
+
