@@ -12,8 +12,10 @@ from legation.operators import (
     complete,
     crosstab,
     diff_versions,
+    distinct_partners,
     merge_versions,
     parity_ratio,
+    profile,
     rank_within,
     rollup_counts,
     share_by,
@@ -202,3 +204,29 @@ def test_unmatched_codes(spark, facts, dim):
     want = {c: n for c, n in Counter(facts).items() if c is None or c not in dim}
     assert got == want
 
+
+pairs_st = st.lists(st.tuples(st.sampled_from(["A", "B", None]), st.sampled_from(["x", "y", "z", None])), max_size=20)
+
+
+@SETTINGS
+@given(pairs=pairs_st)
+def test_distinct_partners(spark, pairs):
+    df = spark.createDataFrame(pairs, "k string, p string")
+    want = {k: len({p for kk, p in pairs if kk == k and p is not None}) for k, _ in pairs}
+    want = {k: n for k, n in want.items() if n > 0}
+    got = {r["k"]: r["n_partners"] for r in distinct_partners(df, "k", "p").collect()}
+    assert got == want
+    approx = {r["k"]: r["n_partners"] for r in distinct_partners(df, "k", "p", approx=True).collect()}
+    assert {k: n for k, n in approx.items() if n > 0} == want  # exact at this size
+
+
+@SETTINGS
+@given(values=st.lists(st.sampled_from(["AB", "ab", "ABC", None]), max_size=20))
+def test_profile_counts(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    got = {r["column_name"]: tuple(r)[1:] for r in profile(df, key="c", patterns={"c": "^[A-Z]+$"}).collect()}
+    present = [v for v in values if v is not None]
+    misses = sum(1 for v in present if not v.isupper())
+    assert got["c"] == (len(values), len(values) - len(present), len(set(present)), misses)
+    assert got["key(c)"] == (len(values), None, len(set(present)), None)
+
