@@ -13,6 +13,7 @@ from legation.operators import (
     crosstab,
     diff_versions,
     distinct_partners,
+    latest_per_key,
     merge_versions,
     parity_ratio,
     profile,
@@ -230,3 +231,23 @@ def test_profile_counts(spark, values):
     assert got["c"] == (len(values), len(values) - len(present), len(set(present)), misses)
     assert got["key(c)"] == (len(values), None, len(set(present)), None)
 
+
+@SETTINGS
+@given(
+    rows_=st.lists(
+        st.tuples(st.sampled_from("kl"), st.sampled_from([1, 2, None]), st.sampled_from(["x", "y", None])),
+        max_size=12,
+    )
+)
+def test_latest_per_key(spark, rows_):
+    df = spark.createDataFrame(rows_, "k string, ver int, p string")
+    got = {r["k"]: r["p"] for r in latest_per_key(df, "k", "ver").collect()}
+
+    def order(r):  # nulls order first, then by version, then by payload
+        return tuple((v is not None, v if v is not None else 0) for v in (r[1], r[2]))
+
+    want = {}
+    for k in {r[0] for r in rows_}:
+        want[k] = max((r for r in rows_ if r[0] == k), key=order)[2]
+    assert got == want
+
