@@ -8,12 +8,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from legation.operators import (
+    bilateral_matrix,
     change_over,
     complete,
     crosstab,
     diff_versions,
     distinct_partners,
     latest_per_key,
+    marginals,
     merge_versions,
     parity_ratio,
     profile,
@@ -251,3 +253,31 @@ def test_latest_per_key(spark, rows_):
         want[k] = max((r for r in rows_ if r[0] == k), key=order)[2]
     assert got == want
 
+
+@SETTINGS
+@given(facts=facts_st)
+def test_marginals(spark, facts):
+    df = spark.createDataFrame(facts, FACT_SCHEMA)
+    got = {(r["sender"], r["category"], r["posting"], r["g_sender"], r["g_category"], r["g_posting"]): r["n"]
+           for r in marginals(df, [["sender", "category"], ["posting"]]).collect()}
+    want: Counter = Counter()
+    for s_, c, p in facts:
+        want[(s_, c, None, 0, 0, 1)] += 1
+        want[(None, None, p, 1, 1, 0)] += 1
+    assert got == dict(want)
+
+
+@SETTINGS
+@given(
+    pairs=st.lists(st.tuples(st.sampled_from(["A", "B", "X"]), st.sampled_from(["A", "B", "C"])), max_size=20)
+)
+def test_bilateral_matrix(spark, pairs):
+    facts = spark.createDataFrame(pairs, "s string, r string")
+    groups = {"A": "north", "B": "south", "C": "north"}  # X has no dimension row
+    dim = spark.createDataFrame(list(groups.items()), "code string, grp string")
+    got = {(r[0], r[1]): r[2] for r in bilateral_matrix(facts, dim, "s", "r", "code", "grp").collect()}
+    want: Counter = Counter()
+    for s_, r in pairs:
+        want[(groups.get(s_), groups.get(r))] += 1
+    assert got == dict(want)
+
