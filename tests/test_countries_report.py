@@ -106,3 +106,15 @@ def test_report_writes_feeds(spark, workdir, appointments):
     sub_schema = "continent_code int, country_name string, n bigint, g_continent_code int, g_country_name int"
     subtotals = rows(spark.read.csv(paths["counts_with_subtotals"], sep=";", header=True, schema=sub_schema))
     assert (None, None, 7, 1, 1) in subtotals and (2, None, 4, 0, 1) in subtotals
+
+
+def test_feeds_without_optional_columns(spark, workdir, appointments):
+    from legation.plans.report import representation_feeds
+
+    countries = read_countries(spark, _write(f"{workdir}/c.csv", COUNTRIES))
+    feeds = representation_feeds(
+        appointments.drop("receiver_code", "posting"), countries, "W", ["W", "M"],
+        receiver=None, posting_col=None,
+    )
+    assert set(feeds) == {"share_by_state", "counts_with_subtotals", "unmatched_senders"}
+    assert rows(feeds["unmatched_senders"]) == [("XKX", 1)]
