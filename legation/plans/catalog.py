@@ -24,6 +24,7 @@ from legation.operators import (
     complete,
     conform_types,
     count_by,
+    count_cast_failures,
     crosstab,
     decode,
     diff_versions,
@@ -207,6 +208,11 @@ def p2_conform_types(spark: SparkSession, d: str) -> DataFrame:
     return typed.withColumnRenamed("_cast_errors", "cast_errors")
 
 
+def p2_count_cast_failures(spark: SparkSession, d: str) -> DataFrame:
+    star = Star.of(spark, d)
+    return count_cast_failures(conform_types(_text_orders(star), star.t("orders").schema))
+
+
 def p3_normalise_keys(spark: SparkSession, d: str) -> DataFrame:
     customer = Star.of(spark, d).t("customer")
     messy = customer.select(
@@ -453,6 +459,7 @@ QUERIES: dict[str, Query] = {
     "s4_export_feed": s4_export_feed,
     "p1_assign_names": p1_assign_names,
     "p2_conform_types": p2_conform_types,
+    "p2_count_cast_failures": p2_count_cast_failures,
     "p3_normalise_keys": p3_normalise_keys,
     "p4_decode": p4_decode,
     "p5_filter_appointments": p5_filter_appointments,
@@ -556,6 +563,9 @@ SELECT o_orderkey, o_custkey, o_orderstatus,
        o_orderdate, o_orderpriority,
        CASE WHEN o_orderstatus = 'P' THEN 'o_totalprice' ELSE '' END AS cast_errors
 FROM orders""",
+    "p2_count_cast_failures": """
+SELECT 'o_totalprice' AS column_name, count(*) AS n_failed
+FROM orders WHERE o_orderstatus = 'P'""",
     "p3_normalise_keys": """
 SELECT c_custkey, replace(c_name, '#', ' #') AS c_name, upper(c_mktsegment) AS c_mktsegment
 FROM customer""",
