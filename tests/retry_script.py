@@ -3,7 +3,8 @@
 Started by test_retry.py in its own process: a Spark context that allows
 task retries (``local[4,3]``) cannot share the test session. The failure is
 injected by a test-only Python UDF that raises on the first attempt of one
-task in the stage feeding each shuffle; the library itself has no UDF.
+task in the stage feeding each shuffle, and once in a table write (whose
+failed attempt must leave no rows behind); the library itself has no UDF.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.types import LongType
 sys.path.insert(0, sys.argv[1])
 
 from legation.operators import diff_versions, rank_within  # noqa: E402
+from legation.sources import load_table, read_table  # noqa: E402
 from legation.plans import category_share_ranking  # noqa: E402
 from legation.session import build_session  # noqa: E402
 
@@ -65,9 +67,16 @@ def main() -> None:
 
     clean = results(False)
     disturbed = results(True)
+    # a write whose task fails once: the retried attempt's files alone are committed
+    out = tempfile.mkdtemp(prefix="legation-retry-write-")
+    load_table(facts(True), f"{out}/t", partition_by=["category"])
+    written = read_table(spark, f"{out}/t")
+    expected = facts(False)
+    n = expected.count()
+    write_ok = written.count() == n and written.select("id").distinct().count() == n
     failures = len(os.listdir(MARKS))
     print(f"failures injected: {failures}")
-    print("OK" if clean == disturbed and failures > 0 else "DIFFERENT")
+    print("OK" if clean == disturbed and write_ok and failures > 0 else "DIFFERENT")
     spark.stop()
 
 
