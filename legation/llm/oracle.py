@@ -58,7 +58,109 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
+_URLS = r"""
+WITH p AS (
+  SELECT page_id, url, regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages
+), h AS (
+  SELECT *, regexp_replace(lower(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', '')), '(:[0-9]*)?$|\.(:[0-9]*)?$', '') AS host,
+         regexp_extract(rest, '^[^/?#]*/([^/?#]*)', 1) AS segment,
+         1704067200 + ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 31536000 AS fetched_at
+  FROM p
+), l AS (
+  SELECT DISTINCT page_id, url, fetched_at, unnest(
+    [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)]
+    || CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END) AS key
+  FROM h WHERE host <> '' AND length(host) <= 253
+), d AS (
+  SELECT key, ('0x' || substr(md5(key), 1, 8))::BIGINT AS h, ('0x' || substr(md5('at:' || key), 1, 8))::BIGINT AS t
+  FROM (SELECT DISTINCT key FROM l)
+), e AS (
+  SELECT key, CASE WHEN h % 7 < 5 THEN 'block' ELSE 'allow' END AS verdict, 'list' || (h % 3) AS category,
+         1704067200 + (t * s.step + s.step * 12345678) % 31536000 AS moment, s.action
+  FROM d, (VALUES (1, 'add'), (3, 'remove'), (7, 'add')) s(step, action) WHERE h % 5 < 2
+), c AS (
+  SELECT key, verdict, category, moment, NOT bool_or(action = 'remove') AS active FROM e GROUP BY ALL
+), i AS (
+  SELECT *, lead(moment) OVER (PARTITION BY key, verdict, category ORDER BY moment) AS until FROM c
+), m AS (
+  SELECT l.page_id, l.url, l.fetched_at, i.*,
+         row_number() OVER (PARTITION BY l.page_id, l.url ORDER BY -length(i.key), i.verdict <> 'block', i.category) AS n,
+         count(*) OVER (PARTITION BY l.page_id, l.url) AS n_active
+  FROM l JOIN i ON l.key = i.key AND i.active AND l.fetched_at >= i.moment AND (i.until IS NULL OR l.fetched_at < i.until)
+)
+SELECT h.page_id, h.url, h.fetched_at, coalesce(m.verdict, 'none') AS verdict, m.key AS entry, m.category,
+       m.moment AS valid_from, m.until AS valid_to, coalesce(m.n_active, 0) AS n_active
+FROM h LEFT JOIN m ON m.n = 1 AND m.page_id IS NOT DISTINCT FROM h.page_id AND m.url IS NOT DISTINCT FROM h.url
+"""
+
+_KINDS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
+    ("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*", 0, 27),
+)
+
+
+def _secrets() -> str:
+    found = " UNION ALL ".join(
+        f"""
+  SELECT doc_id, source, lang, '{kind}' AS kind, {rank} AS rank,
+         unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) AS gap,
+         unnest(regexp_extract_all(t, '{p}')) AS hit, unnest(regexp_extract_all(t, '{p}', {group})) AS secret,
+         unnest(range(len(regexp_extract_all(t, '{p}')))) AS pos, {least} AS least
+  FROM t WHERE regexp_matches(t, '{p}')"""
+        for rank, (kind, pattern, group, least) in enumerate(_KINDS)
+        for p in [pattern.replace("'", "''")]
+    )
+    return f"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+s AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS stop FROM f
+), g AS (
+  SELECT doc_id, source, concat_ws('/', source, lang) AS repo, kind, rank, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop, secret,
+         len(list_distinct(string_split(secret, ''))) AS variety
+  FROM s WHERE length(secret) >= least
+), o AS (
+  SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners FROM g GROUP BY secret
+), r AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+         count(*) FILTER (owners = 1 AND variety >= 6) AS n_live,
+         count(*) FILTER (owners = 2 AND variety >= 6) AS n_shared,
+         count(*) FILTER (owners >= 3 OR variety < 6) AS n_example, max(owners) AS max_owners
+  FROM g JOIN o USING (secret) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners
+FROM t LEFT JOIN r ON t.doc_id = r.doc_id
+"""
+
+
+# Base 32 of a SHA-1: eight groups of five digest hex digits (20 bits), four letters each.
+_ARCHIVE = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, g * 5 + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT + 1, 1)
+         FOR j IN range(4)] FOR g IN range(8)]), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
 ORACLE = {
+    "op5_url_verdicts": _URLS,
+    "op6_secret_scan": _secrets(),
     "op7_mix_sources": _MIX,
+    "op8_archive": _ARCHIVE,
     "op9_exact_duplicates": _EXACT,
 }
