@@ -153,13 +153,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Da
 
 
 # Each mask orders a bucket's members differently; the first in each order is a pivot.
-_MASKS = (0, -1, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF)
+_MASKS = (0, -1, 0x5555555555555555, 0x3333333333333333)
 
 
 def _pairs(x: Column | str, y: Column | str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _own_parts(texts: DataFrame, k: int) -> DataFrame:
+    """``id, n, u, mass``: shingles, those in no other of these texts, and the latter's share of the weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            words, first = word_hashes(batch.column(1))
+            for i, page in enumerate(batch.column(0).to_pylist()):
+                found, weights = weighted_shingles(words[first[i] : first[i + 1]], k)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n + 1, page, np.int64)),
+                        pa.array([*_signed(found).tolist(), None], pa.int64()),  # the last row holds the totals
+                        pa.array(np.append(weights, weights.sum())),
+                        pa.array(np.full(n + 1, n, np.int64)),
+                    ],
+                    names=["id", "shingle", "weight", "n"],
+                )
+
+    rows = texts.mapInArrow(run, "id long, shingle long, weight double, n long")
+    total = F.col("shingle").isNull()
+    once = rows.groupBy("shingle", F.when(total, F.col("id")).alias("of")).agg(
+        F.count(F.lit(1)).alias("in"), F.min("id").alias("id"), F.min("weight").alias("weight"), F.min("n").alias("n")
+    ).filter("in = 1")
+    return once.groupBy("id").agg(
+        F.max("n").alias("n"),
+        F.count_if(~total).alias("u"),
+        (F.coalesce(F.sum(F.when(~total, F.col("weight"))), F.lit(0.0)) / F.max(F.when(total, F.col("weight")))).alias("mass"),
+    )
+
+
+def _reachable(threshold: float) -> Column:
+    """Whether two texts can be similar enough, given what each has for itself alone.
+
+    Plain: at most min(n - u) shingles are common. Weighted: each term of J_P
+    is at most 1 / (1 / x_i + mass_y / y_i) for weights that sum to 1; that is
+    concave and homogeneous, so the sum is at most its value at the sums
+    1 - mass_x and 1 - mass_y of the common weights; likewise with x and y
+    exchanged.
+    """
+    common = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
+    plain = common >= threshold * (F.col("n") + F.col("pn") - common) - 1e-9
+    x, y = 1 - F.col("mass"), 1 - F.col("pmass")
+    bound = lambda a, b, own: a * b / F.greatest(b + own * a, F.lit(1e-300))
+    return plain | (F.least(bound(x, y, F.col("pmass")), bound(y, x, F.col("mass"))) >= threshold - 1e-9)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -178,11 +225,14 @@ def near_duplicates(
     their smallest id; ``n_links`` counts the verified links of that
     representative with others.
 
-    In each bucket of a band every member is compared with a few pivots.
-    Members that this leaves in another component than most of the bucket are
-    then compared with all members outside their own component, so that no
-    link inside a bucket is lost; buckets whose members form one component
-    already (near copies of one text) cost a few comparisons per member.
+    Candidates are the pairs that share a bucket of a band. First every member
+    of a bucket is compared with a few pivots, then, where several components
+    are left, with the member that has the least text of its own (the likely
+    origin of the copies). What is still outside a bucket's main component is
+    compared with every member of other components, save those pairs that the
+    shingles found in one text alone prove to be too different. So no link
+    inside a bucket is lost, and a bucket of many copies costs a few
+    comparisons per member.
 
     Texts without words, null ones included, are never near-duplicates: each
     is a class of its own. Rows without an id form classes of their own
@@ -191,52 +241,84 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     hashed = cut(_bands(source, k, bands, rows))
-    named = hashed.filter("id is not null and same is not null")
-    groups = named.groupBy("same").agg(F.min("id").alias("rep"))
-    member = cut(named.join(groups, "same").select("id", "rep"))
-    reps = named.join(groups, (named["same"] == groups["same"]) & (named["id"] == groups["rep"])).select("id", "bands")
-    buckets = reps.select("id", F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
+    named = hashed.filter("id is not null")
+    repeated = cut(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), narrow=True)
+    if not repeated.isEmpty():
+        single = source.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        named = cut(named.join(repeated, "id", "left_anti").union(_bands(single, k, bands, rows)))
+    named = named.filter("same is not null")
+    # Key tables are written before they are joined back, so that a hot key's rows can be split.
+    groups = cut(named.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
+    member = named.join(groups.select(F.col("same").alias("of"), "rep"), F.col("same") == F.col("of"), "left")
+    member = cut(member.select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("bands")).alias("bands")))
+    buckets = member.select("id", F.explode("bands").alias("bucket"))
 
     pivots = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(_MASKS)]
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *pivots).filter("n > 1")
-    inside = cut(buckets.join(shared, "bucket").select("bucket", "id", F.array_distinct(F.array(*[f"p{i}" for i in range(len(_MASKS))])).alias("pivots")))
+    shared = cut(shared.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(len(_MASKS))])).alias("pivots")), narrow=True)
+    inside = cut(buckets.join(shared, "bucket").select("bucket", "id", "pivots"), narrow=True)
 
     texts = source.filter("id is not null").join(inside.select("id").distinct(), "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))
     pairs = inside.select("id", F.explode("pivots").alias("pivot")).filter("id != pivot")
-    pairs = pairs.select(*_pairs("id", "pivot")).distinct()
-    tried = cut(_verified(pairs, texts, k, threshold))
-
-    label = components(tried.filter("linked"))
-    labelled = inside.select("bucket", "id").join(label.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    labelled = cut(labelled.join(open_.select("bucket"), "bucket", "left_semi"))
-    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    outside = labelled.join(main, "bucket").filter("component != main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    rest = labelled.join(outside, "bucket").filter("component != cx").select(*_pairs("id", "x")).distinct()
-    rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    links = cut(tried.filter("linked").union(_verified(rest, texts, k, threshold).filter("linked")).select("a", "b"))
+    tried = cut(_verified(pairs.select(*_pairs("id", "pivot")).distinct(), texts, k, threshold))
+
+    open_ = _open_buckets(inside.select("bucket", "id").distinct(), tried)
+    parts = cut(_own_parts(texts.join(open_.select("id").distinct(), "id", "left_semi"), k), narrow=True)
+    known = cut(open_.join(parts, "id"), narrow=True)
+    hub = known.groupBy("bucket").agg(F.min(F.struct("mass", "id", "n", "u", "component")).alias("h"))
+    second = _untried(known, hub.select("bucket", *_partner("h.")), tried, threshold)
+    tried = cut(tried.union(_verified(second, texts, k, threshold)), narrow=True)
+
+    open_ = _open_buckets(known.select("bucket", "id"), tried)
+    known = cut(open_.join(parts, "id"), narrow=True)
+    sizes = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = cut(sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m")), narrow=True)
+    outside = known.join(main, "bucket").filter("component != m.component").select("bucket", *_partner(""))
+    third = _untried(known, outside, tried, threshold)
+    links = cut(tried.union(_verified(third, texts, k, threshold)).filter("linked").select("a", "b"), narrow=True)
 
     final = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_rep = final.join(degree, final["node"] == degree["id"]).select(F.col("node").alias("rep"), "component", "n_links")
+    of_rep = cut(final.join(degree, final["node"] == degree["id"]).select(F.col("node").alias("rep"), "component", "n_links"), narrow=True)
     placed = member.join(of_rep, "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     return _result(hashed, placed.distinct(), id_col)
 
 
+def _open_buckets(members: DataFrame, tried: DataFrame) -> DataFrame:
+    """``bucket, id, component`` of the buckets whose members are not yet one component."""
+    label = components(tried.filter("linked")).withColumnRenamed("node", "id")
+    labelled = members.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    labelled = cut(labelled, narrow=True)
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return cut(labelled.join(cut(split.select("bucket"), narrow=True), "bucket", "left_semi"), narrow=True)
+
+
+def _partner(of: str) -> list[Column]:
+    return [F.col(f"{of}{c}").alias(f"p{c}") for c in ("id", "n", "u", "mass", "component")]
+
+
+def _untried(known: DataFrame, partners: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket's members and partners in other components that may be linked and were not compared."""
+    partners = cut(partners, narrow=True)
+    differ = (F.col("component") != F.col("pcomponent")) & _reachable(threshold)
+    pairs = known.join(partners.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & differ)
+    return pairs.select(*_pairs("id", "pid")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _result(hashed: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
-    ids = hashed.select("id")
-    out = ids.join(placed, "id", "left").select(
+    out = cut(hashed.select("id").join(placed, "id", "left").select(
         "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
-    sizes = out.groupBy(F.col("class_id").alias("of")).agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sizes, out["class_id"].eqNullSafe(sizes["of"]), "left").select(
-        F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
-    )
+    ))
+    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    sizes = cut(sizes.withColumnRenamed("class_id", "of"), narrow=True)
+    one = F.lit(1).cast("long")
+    return out.join(sizes, F.col("class_id").eqNullSafe(F.col("of")), "left").select(
+        F.col("id").alias(id_col), "class_id", F.when(F.col("class_id").isNull(), one).otherwise(F.coalesce("class_size", one)).alias("class_size"),
+        "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
