@@ -184,27 +184,49 @@ def _own_parts(texts: DataFrame, k: int) -> DataFrame:
     once = rows.groupBy("shingle", F.when(total, F.col("id")).alias("of")).agg(
         F.count(F.lit(1)).alias("in"), F.min("id").alias("id"), F.min("weight").alias("weight"), F.min("n").alias("n")
     ).filter("in = 1")
-    return once.groupBy("id").agg(
+    alone = once.groupBy("id").agg(
         F.max("n").alias("n"),
         F.count_if(~total).alias("u"),
-        (F.coalesce(F.sum(F.when(~total, F.col("weight"))), F.lit(0.0)) / F.max(F.when(total, F.col("weight")))).alias("mass"),
+        F.max(F.when(total, F.col("weight"))).alias("total"),
+        F.coalesce(F.sum(F.when(~total, F.col("weight"))), F.lit(0.0)).alias("own"),
     )
+    return alone.select("id", "n", "u", "total", (F.col("own") / F.col("total")).alias("mass"))
 
 
-def _reachable(threshold: float) -> Column:
-    """Whether two texts can be similar enough, given what each has for itself alone.
+def _bitmaps(texts: DataFrame, k: int, words_: int = 32) -> DataFrame:
+    """``id, bits``: per bit, whether an odd number of the text's shingles fall on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            words, first = word_hashes(batch.column(1))
+            bits = []
+            for i in range(batch.num_rows):
+                found, _ = weighted_shingles(words[first[i] : first[i + 1]], k)
+                at = (found >> _U(20)).astype(np.int64) % (64 * words_)
+                odd = np.bincount(at, minlength=64 * words_) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["id", "bits"])
+
+    return texts.mapInArrow(run, "id long, bits array<long>")
+
 
-    Plain: at most min(n - u) shingles are common. Weighted: each term of J_P
-    is at most 1 / (1 / x_i + mass_y / y_i) for weights that sum to 1; that is
-    concave and homogeneous, so the sum is at most its value at the sums
-    1 - mass_x and 1 - mass_y of the common weights; likewise with x and y
-    exchanged.
+def _reachable(threshold: float) -> Column:
+    """Whether two texts can be similar enough; false only where that is impossible.
+
+    Plain: of n shingles the u found in one text alone are not common.
+    Weighted: each term of J_P is at most 1 / (1 / x_i + q / y_i) for weights
+    that sum to 1, with q the weight of y's shingles outside x. That is concave
+    and homogeneous, so J_P <= 1 / (1 / a + 1 / b - 1) with a and b the common
+    shares of x's and y's weight. Bitmaps: differing bits never outnumber the
+    shingles on one side only; each of these weighs 1 at least.
     """
     common = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
     plain = common >= threshold * (F.col("n") + F.col("pn") - common) - 1e-9
-    x, y = 1 - F.col("mass"), 1 - F.col("pmass")
-    bound = lambda a, b, own: a * b / F.greatest(b + own * a, F.lit(1e-300))
-    return plain | (F.least(bound(x, y, F.col("pmass")), bound(y, x, F.col("mass"))) >= threshold - 1e-9)
+    a, b = 1 - F.col("mass"), 1 - F.col("pmass")
+    weighted = (a > 0) & (b > 0) & (a * b >= (threshold - 1e-9) * (a + b - a * b))
+    differing = F.aggregate(F.zip_with("bits", "pbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    room = 2 * (1 - threshold) / (1 + threshold)
+    return (plain | weighted) & (differing <= room * F.greatest("total", "ptotal") + 1e-9)
 
 
 def near_duplicates(
@@ -264,18 +286,21 @@ def near_duplicates(
     tried = cut(_verified(pairs.select(*_pairs("id", "pivot")).distinct(), texts, k, threshold))
 
     open_ = _open_buckets(inside.select("bucket", "id").distinct(), tried)
-    parts = cut(_own_parts(texts.join(open_.select("id").distinct(), "id", "left_semi"), k), narrow=True)
-    known = cut(open_.join(parts, "id"), narrow=True)
-    hub = known.groupBy("bucket").agg(F.min(F.struct("mass", "id", "n", "u", "component")).alias("h"))
-    second = _untried(known, hub.select("bucket", *_partner("h.")), tried, threshold)
+    left = texts.join(open_.select("id").distinct(), "id", "left_semi")
+    parts = _own_parts(left, k).join(_bitmaps(left, k), "id")
+    # A text with more than the threshold leaves for itself alone has no link at all.
+    parts = cut(parts.filter((F.col("n") - F.col("u") >= threshold * F.col("n") - 1e-9) | (1 - F.col("mass") >= threshold - 1e-9)))
+    known = _known(open_, parts)
+    hub = known.groupBy("bucket").agg(F.min(F.struct("mass", *(c for c in _PARTNER if c != "mass"))).alias("h"))
+    second = _untried(known, hub.select("bucket", *_partner("h.")), tried, threshold, everyone=False)
     tried = cut(tried.union(_verified(second, texts, k, threshold)), narrow=True)
 
     open_ = _open_buckets(known.select("bucket", "id"), tried)
-    known = cut(open_.join(parts, "id"), narrow=True)
+    known = _known(open_, parts)
     sizes = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     main = cut(sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m")), narrow=True)
     outside = known.join(main, "bucket").filter("component != m.component").select("bucket", *_partner(""))
-    third = _untried(known, outside, tried, threshold)
+    third = _untried(known, outside, tried, threshold, everyone=True)
     links = cut(tried.union(_verified(third, texts, k, threshold)).filter("linked").select("a", "b"), narrow=True)
 
     final = components(links)
@@ -296,15 +321,29 @@ def _open_buckets(members: DataFrame, tried: DataFrame) -> DataFrame:
     return cut(labelled.join(cut(split.select("bucket"), narrow=True), "bucket", "left_semi"), narrow=True)
 
 
+_PARTNER = ("id", "n", "u", "total", "mass", "bits", "buckets", "component")
+
+
 def _partner(of: str) -> list[Column]:
-    return [F.col(f"{of}{c}").alias(f"p{c}") for c in ("id", "n", "u", "mass", "component")]
+    return [F.col(f"{of}{c}").alias(f"p{c}") for c in _PARTNER]
+
 
+def _known(open_: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of open buckets with their parts and the array of their buckets."""
+    mine = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # at most one per band
+    return cut(open_.join(parts.join(mine, "id"), "id"), narrow=True)
 
-def _untried(known: DataFrame, partners: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket's members and partners in other components that may be linked and were not compared."""
+
+def _untried(known: DataFrame, partners: DataFrame, tried: DataFrame, threshold: float, everyone: bool) -> DataFrame:
+    """Pairs of a bucket's members and partners in other components that may be linked and were not compared.
+
+    With ``everyone``, where all members outside the main component are
+    partners, a pair that shares several buckets is looked at in the first.
+    """
     partners = cut(partners, narrow=True)
+    once = F.array_min(F.array_intersect("buckets", "pbuckets")) == F.col("bucket") if everyone else F.lit(True)
     differ = (F.col("component") != F.col("pcomponent")) & _reachable(threshold)
-    pairs = known.join(partners.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & differ)
+    pairs = known.join(partners.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & differ & once)
     return pairs.select(*_pairs("id", "pid")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
