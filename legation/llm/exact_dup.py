@@ -1,11 +1,12 @@
 """Exact deduplication by content sort.
 
-Texts are normalised, range-partitioned on (text, id) by splitters that Spark
-samples, and sorted (externally, with spill) inside each partition, so that
-equal texts stand next to each other. One pass compares every text with its
-neighbour in full. The id is part of the sort key, so a text with a great
-many copies is cut over several partitions; the runs that touch a partition
-border (two per partition at most) are then united by digest.
+Texts are normalised and range-partitioned by splitters that Spark samples:
+on their first characters, then on a hash of the whole text (so that samples
+are short whatever the texts), then on the id. Each partition is sorted
+(externally, with spill) so that equal texts stand next to each other, and one
+pass compares every text with its neighbour in full. As the id is part of the
+key, a text with a great many copies is cut over several partitions; the runs
+at partition borders are then united by digest.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark import TaskContext
 
 from legation.llm.common import cut, text_of
 
+LEAD = 32  # characters of a text in a splitter
+
 # A white-space run that is not already a single space.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -30,20 +33,21 @@ def normalised(col: str) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbour comparison over sorted (text, id) rows: one output row per input row.
+    """Neighbour comparison over sorted (hash, text, id) rows: one output row per input row.
 
-    Holds the ids of the current run only; a run never exceeds its partition.
+    A run may go on in another partition only if it has the hash of the
+    partition's first or last row; such runs are marked ``edge``. Holds the ids
+    of the current run only.
     """
     part = TaskContext.get().partitionId()
     names = ("id", "keep", "size", "sha", "head", "edge", "part")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int32())
     rows: list[list] = [[] for _ in names]
-    text, ids, n_runs = None, [], 0
+    text, ids, first, last, tail = None, [], None, None, 0
 
-    def flush(last: bool) -> None:
+    def flush() -> None:
         n, sha = len(ids), hashlib.sha256(text).hexdigest()
-        edge = last or n_runs == 1
-        for column, value in zip(rows, (ids, [ids[0]] * n, [n] * n, [sha] * n, [True] + [False] * (n - 1), [edge] * n, [part] * n)):
+        for column, value in zip(rows, (ids, [ids[0]] * n, [n] * n, [sha] * n, [True] + [False] * (n - 1), [last == first] * n, [part] * n)):
             column.extend(value)
 
     def taken() -> pa.RecordBatch:
@@ -53,19 +57,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        texts, keys = batch.column(0).cast(pa.large_binary()), batch.column(1).to_pylist()
-        for value, key in zip(texts, keys):
+        hashes, texts, keys = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist()
+        for mark, value, key in zip(hashes, texts, keys):
             value = value.as_py()
             if value == text:
                 ids.append(key)
                 continue
             if text is not None:
-                flush(False)
-                if len(rows[0]) >= 10_000:
-                    yield taken()
-            text, ids, n_runs = value, [key], n_runs + 1
+                flush()
+                if mark != last:
+                    if len(rows[0]) >= 10_000:
+                        yield taken()
+                    tail = len(rows[0])  # rows of the current hash start here
+            first = mark if text is None else first
+            text, ids, last = value, [key], mark
     if text is not None:
-        flush(True)
+        flush()
+        rows[names.index("edge")][tail:] = [True] * (len(rows[0]) - tail)
         yield taken()
 
 
@@ -82,9 +90,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same id and text exactly one is ``kept``. An empty table gives no rows;
     other columns of ``docs`` are ignored.
     """
-    key = docs.select(normalised(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    order = (F.col("text"), F.col("id").asc_nulls_last())
-    runs = key.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, _RUN_ROWS)
+    text, key = F.col("text"), F.col("id").asc_nulls_last()
+    source = docs.select(normalised(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
+    source = source.select(F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"), "text", "id")
+    dealt = source.repartitionByRange("lead", "hash", key).sortWithinPartitions("lead", "hash", text, key)
+    runs = dealt.select("hash", "text", "id").mapInArrow(_runs, _RUN_ROWS)
     runs = cut(runs)
     edges = runs.filter("head and edge").groupBy("sha").agg(
         F.count(F.lit(1)).alias("n_parts"),
@@ -92,7 +102,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min("keep").alias("whole_keep"),
         F.sum("size").alias("whole_size"),
     )
-    # At most two runs per partition touch a border, whatever the number of rows.
+    # A text or two per partition stand at a border, whatever the number of rows.
     spanning = edges.filter("n_parts > 1").select(
         F.col("sha").alias("edge_sha"), "first_part", "whole_keep", "whole_size"
     )

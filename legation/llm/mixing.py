@@ -138,7 +138,8 @@ def mix_sources(
     counts the words the mix takes, repeats included, at most ``repeats``
     times the size. The part of a pattern that is not a whole pass takes
     documents in seeded order as long as they fit, then the largest other
-    document that fits what is left.
+    document that fits what is left: a source's total never exceeds its
+    target and misses it by less than its largest document.
 
     The driver holds one count per pattern; more than ``max_patterns``
     patterns are refused. Null or blank texts have size 0 and take 0; a

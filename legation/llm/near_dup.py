@@ -286,6 +286,21 @@ def near_duplicates(
     tried = cut(_verified(pairs.select(*_pairs("id", "pivot")).distinct(), texts, k, threshold))
 
     open_ = _open_buckets(inside.select("bucket", "id").distinct(), tried)
+    if not open_.isEmpty():
+        tried = _complete(open_, tried, texts, k, threshold)
+    links = cut(tried.filter("linked").select("a", "b"), narrow=True)
+
+    final = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    of_rep = cut(final.join(degree, final["node"] == degree["id"]).select(F.col("node").alias("rep"), "component", "n_links"), narrow=True)
+    placed = member.join(of_rep, "rep", "left").select(
+        "id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+    return _result(hashed, placed.distinct(), id_col)
+
+
+def _complete(open_: DataFrame, tried: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``tried`` with every further comparison that the open buckets still need."""
     left = texts.join(open_.select("id").distinct(), "id", "left_semi")
     parts = _own_parts(left, k).join(_bitmaps(left, k), "id")
     # A text with more than the threshold leaves for itself alone has no link at all.
@@ -301,15 +316,7 @@ def near_duplicates(
     main = cut(sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m")), narrow=True)
     outside = known.join(main, "bucket").filter("component != m.component").select("bucket", *_partner(""))
     third = _untried(known, outside, tried, threshold, everyone=True)
-    links = cut(tried.union(_verified(third, texts, k, threshold)).filter("linked").select("a", "b"), narrow=True)
-
-    final = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_rep = cut(final.join(degree, final["node"] == degree["id"]).select(F.col("node").alias("rep"), "component", "n_links"), narrow=True)
-    placed = member.join(of_rep, "rep", "left").select(
-        "id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-    return _result(hashed, placed.distinct(), id_col)
+    return tried.union(_verified(third, texts, k, threshold))
 
 
 def _open_buckets(members: DataFrame, tried: DataFrame) -> DataFrame:

@@ -1,0 +1,56 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from conftest import rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from llm_helpers import messy  # noqa: F401
+
+from legation.llm.exact_dup import drop_exact_duplicates, exact_duplicates
+
+
+def brute(docs):
+    """docs: (id, text) rows."""
+    groups = {}
+    for key, text in docs:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), []).append(key)
+    out = []
+    for text, keys in groups.items():
+        keys.sort(key=lambda k: (k is None, k or 0))
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        out += [(k, keys[0], len(keys), i == 0, sha) for i, k in enumerate(keys)]
+    return sorted(out, key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def test_messy(spark, messy):
+    got = rows(exact_duplicates(messy))
+    assert got == brute([(r.doc_id, r.text) for r in messy.collect()])
+
+
+def test_hot_text_is_cut_over_partitions(spark):
+    docs = [(i, "copy of one text" if i % 2 else f"text {i % 700}") for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = exact_duplicates(df)
+    assert rows(got) == brute(docs)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 9)), st.one_of(st.none(), st.text(" \t\nab", max_size=4))), max_size=30))
+def test_property(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(exact_duplicates(df)) == brute(docs)
+
+
+def test_drop_keeps_one_row_of_each_text(spark, messy):
+    kept = drop_exact_duplicates(messy)
+    assert kept.columns == messy.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept.collect()]
+    assert len(texts) == len(set(texts))
+    assert set(texts) == {re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in messy.collect()}
+
+
+def test_empty(spark, messy):
+    assert exact_duplicates(messy.limit(0)).collect() == []
+    assert drop_exact_duplicates(messy.limit(0)).collect() == []
