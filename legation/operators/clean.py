@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from legation.functions.exprs import cast_failed, normalised_code, normalised_name, to_type
-from legation.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+from legation.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, bounded_broadcast
 
 
 def assign_names(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -51,15 +51,27 @@ def conform_types(
     return df.select(*out, F.concat_ws(",", *failures).alias(errors))
 
 
-def count_cast_failures(df: DataFrame, errors: str = "_cast_errors") -> DataFrame:
-    """Failures per column from the ``errors`` column of ``conform_types``."""
-    names = F.explode(F.split(F.col(errors), ",")).alias("column_name")
-    return (
-        df.where(F.col(errors) != F.lit(""))
-        .select(names)
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("n_failed"))
-    )
+def count_cast_failures(df: DataFrame, schema: StructType, formats: dict[str, str] | None = None) -> DataFrame:
+    """``column_name, n_failed``: values that ``conform_types`` could not convert, per column that has any.
+
+    One aggregate per column in a single pass, whose result is one row until
+    it is unfolded; the columns' names are never part of a text.
+    """
+    formats = formats or {}
+    current = {f.name: f.dataType for f in df.schema.fields}
+    fields = [f for f in schema.fields if current.get(f.name) != f.dataType]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string, n_failed long")
+    counts = [
+        F.count_if(cast_failed(_quoted(f.name), to_type(_quoted(f.name), f.dataType, formats.get(f.name)))).alias(f"n{i}")
+        for i, f in enumerate(fields)
+    ]
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.col(f"n{i}").alias("n_failed")) for i, f in enumerate(fields)]
+    return df.agg(*counts).select(F.inline(F.array(*rows))).where(F.col("n_failed") > 0)
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def normalise_keys(df: DataFrame, codes: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +92,7 @@ def decode(
     label: str,
     label_key: str | None = None,
     label_col: str | None = None,
-    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+    max_bytes: int | None = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add column ``label`` holding the label of the code in ``col``.
 
@@ -94,7 +106,7 @@ def decode(
     side = labels.select(
         F.col(label_key).alias("__code"), F.col(label_col).alias(label)
     )
-    side = bounded_broadcast(side, max_rows, source=labels)
+    side = bounded_broadcast(side, max_bytes)
     return df.join(side, df[col] == side["__code"], "left").drop("__code")
 
 

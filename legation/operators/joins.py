@@ -1,7 +1,7 @@
 """Joins between appointments and the country dimension.
 
 The country dimension is small (a few hundred rows) and is broadcast after a
-bounded size check; facts never shuffle to meet it. Semi and anti joins
+check of its estimated size; facts never shuffle to meet it. Semi and anti joins
 de-duplicate the fact keys first, so a key that holds a third of the facts
 reaches the join as one row per map task instead of a skewed partition.
 """
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legation.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+from legation.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, bounded_broadcast
 
 
 def _dim_side(
@@ -21,7 +21,7 @@ def _dim_side(
     dim_key: str,
     columns: Sequence[str] | None,
     prefix: str,
-    max_rows: int | None,
+    max_bytes: int | None,
 ) -> tuple[DataFrame, str]:
     cols = [c for c in (columns or dim.columns) if c != dim_key]
     key_alias = f"__{prefix}key"
@@ -29,7 +29,7 @@ def _dim_side(
         F.col(dim_key).alias(key_alias),
         *[F.col(c).alias(prefix + c) for c in cols],
     )
-    return bounded_broadcast(side, max_rows, source=dim), key_alias
+    return bounded_broadcast(side, max_bytes), key_alias
 
 
 def enrich(
@@ -40,7 +40,7 @@ def enrich(
     columns: Sequence[str] | None = None,
     prefix: str = "",
     how: str = "left",
-    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+    max_bytes: int | None = DEFAULT_MAX_BROADCAST_BYTES,
     collation: str | None = None,
 ) -> DataFrame:
     """Add dimension columns to each fact row by an equi join.
@@ -49,11 +49,10 @@ def enrich(
     columns are null; report them with ``unmatched_codes``). The dimension
     key must be unique, or facts multiply. Keys compare exactly; pass
     ``collation="UTF8_LCASE"`` for a case-blind match of string codes.
-    ``max_rows`` bounds the broadcast probe of ``dim``; ``None`` skips the
-    probe when ``dim`` is itself an aggregate or a join (see
-    ``plans.sizing``).
+    ``max_bytes`` bounds the estimated size up to which ``dim`` is broadcast;
+    ``None`` leaves the choice to Spark (see ``plans.sizing``).
     """
-    side, key_alias = _dim_side(dim, dim_key or key, columns, prefix, max_rows)
+    side, key_alias = _dim_side(dim, dim_key or key, columns, prefix, max_bytes)
     left, right = fact[key], side[key_alias]
     if collation:
         left, right = F.collate(left, collation), F.collate(right, collation)
@@ -70,7 +69,7 @@ def enrich_both(
     columns: Sequence[str] | None = None,
     prefixes: tuple[str, str] = ("sender_", "receiver_"),
     how: str = "left",
-    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+    max_bytes: int | None = DEFAULT_MAX_BROADCAST_BYTES,
     collation: str | None = None,
 ) -> DataFrame:
     """The same dimension joined twice, for the sending and receiving side.
@@ -79,8 +78,8 @@ def enrich_both(
     to (sender, receiver) first when only counts are wanted: the lookups then
     touch one row per pair instead of one per appointment.
     """
-    out = enrich(fact, dim, sender, dim_key, columns, prefixes[0], how, max_rows, collation)
-    return enrich(out, dim, receiver, dim_key, columns, prefixes[1], how, max_rows, collation)
+    out = enrich(fact, dim, sender, dim_key, columns, prefixes[0], how, max_bytes, collation)
+    return enrich(out, dim, receiver, dim_key, columns, prefixes[1], how, max_bytes, collation)
 
 
 def _fact_keys(fact: DataFrame, fact_key: str, where: Column | str | None) -> DataFrame:
@@ -134,8 +133,11 @@ def complete(
       Column (for example ``F.sequence(lo, hi)`` over scalar subqueries).
 
     The grid is generated with ``explode`` over the bounded value lists; the
-    observed counts are then left-joined onto it on all keys (null-safe, so
-    a null member of a domain still finds its counts).
+    observed counts are then joined to it on all keys (null-safe, so a null
+    member of a domain still finds its counts). Counts whose keys lie outside
+    the domains are kept as rows of their own, so every measure's total is
+    that of ``counts``; an axis made of a sequence grows with its bounds, so
+    check the bounds of a period first.
     """
     names = list(keys)
     first = names[0]
@@ -151,11 +153,13 @@ def complete(
         if isinstance(dom, DataFrame):
             raise ValueError("only the first key may take a DataFrame domain")
         grid = grid.withColumn(name, F.explode(_as_array(dom)))
+    grid = grid.withColumn("__in", F.lit(True))
     observed = counts.select(*[F.col(k).alias(f"__c_{k}") for k in names], *measures)
     cond = [grid[k].eqNullSafe(observed[f"__c_{k}"]) for k in names]
-    joined = grid.join(observed, cond, "left")
+    joined = grid.join(observed, cond, "full_outer")
+    inside = grid["__in"].isNotNull()
     return joined.select(
-        *[grid[k] for k in names], *[F.coalesce(F.col(m), F.lit(fill)).alias(m) for m in measures]
+        *[F.when(inside, grid[k]).otherwise(observed[f"__c_{k}"]).alias(k) for k in names], *[F.coalesce(F.col(m), F.lit(fill)).alias(m) for m in measures]
     )
 
 

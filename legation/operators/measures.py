@@ -73,11 +73,12 @@ def distinct_partners(
     The exact form de-duplicates (key, partner) pairs in a first aggregation
     that is hash-partitioned on both columns, so one busy key is spread over
     many tasks; the approximate form keeps a HyperLogLog++ sketch per key.
+    A key whose partners are all null has 0 of them.
     """
     if approx:
         return df.groupBy(key).agg(F.approx_count_distinct(partner).alias(name))
-    pairs = df.where(F.col(partner).isNotNull()).select(key, partner).distinct()
-    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    pairs = df.select(key, partner).distinct()
+    return pairs.groupBy(key).agg(F.count(partner).alias(name))
 
 
 def rollup_counts(

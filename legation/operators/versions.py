@@ -1,9 +1,10 @@
 """Versions of a reference table: merge (upsert) and difference.
 
-Both are written as one aggregation over the union of the versions, keyed
-by the table key. Spark aggregates partially in each map task, so a key that
-repeats many times (a hot key, or many versions) collapses before the
-shuffle; no join between the versions is needed.
+The merge keeps the new rows and the old rows whose key they do not hold (an
+anti join, whose keys Spark broadcasts when they are small, so that a small
+update does not move the large table). Differences are one aggregation over
+the union of the versions. Columns that only one version has are part of the
+result, null for the other version's rows.
 """
 
 from __future__ import annotations
@@ -35,23 +36,38 @@ def merge_versions(old: DataFrame, new: DataFrame, key: str | Sequence[str]) ->
     """Upsert ``new`` into ``old``; where both hold a key, ``new`` wins.
 
     Keys only in ``old`` are kept; keys only in ``new`` are added. Columns
-    are matched by name.
+    are matched by name; those that only one version has are null for rows of
+    the other. No row is dropped for repeating a key within its own version
+    (``duplicate_keys`` reports such keys). Null keys match each other.
     """
-    tagged = old.withColumn("__version", F.lit(0)).unionByName(
-        new.select(*old.columns).withColumn("__version", F.lit(1))
-    )
-    return latest_per_key(tagged, key, "__version").select(*old.columns)
+    keys = _keys(key)
+    named = new.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+    same = [old[k].eqNullSafe(named[f"__k_{k}"]) for k in keys]
+    return old.join(named, same, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def _aligned(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both versions with the columns of either, nulls for the absent ones."""
+    types = {f.name: f.dataType for f in [*new.schema.fields, *old.schema.fields]}
+    names = [*old.columns, *(c for c in new.columns if c not in old.columns)]
+
+    def full(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in names])
+
+    return full(old), full(new)
 
 
 def diff_versions(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Keys added, removed or changed between two versions.
 
-    One row per differing key: ``change`` is ``added``, ``removed`` or
-    ``changed``, followed by ``old_<c>`` and ``new_<c>`` for every non-key
-    column. Nulls compare equal to nulls. Keys must be unique in each
-    version.
+    One row per differing key: ``change`` is ``added``, ``removed``,
+    ``changed`` or ``duplicate``, followed by ``old_<c>`` and ``new_<c>`` for
+    every non-key column of either version. Nulls compare equal to nulls. A
+    key that repeats within a version cannot be paired: it is reported as
+    ``duplicate`` with one of its rows (the largest) per version.
     """
     keys = _keys(key)
+    old, new = _aligned(old, new)
     payload = [c for c in old.columns if c not in keys]
     side = F.col("__side")
 
@@ -60,7 +76,7 @@ def diff_versions(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> D
             *keys, F.struct(*[F.col(c) for c in payload]).alias("__v"), F.lit(s).alias("__side")
         )
 
-    both = tag(old, 0).unionByName(tag(new.select(*old.columns), 1))
+    both = tag(old, 0).unionByName(tag(new, 1))
     g = both.groupBy(*keys).agg(
         F.max(F.when(side == 0, F.col("__v"))).alias("__old"),
         F.max(F.when(side == 1, F.col("__v"))).alias("__new"),
@@ -68,7 +84,8 @@ def diff_versions(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> D
         F.count_if(side == 1).alias("__n_new"),
     )
     change = (
-        F.when(F.col("__n_old") == 0, F.lit("added"))
+        F.when((F.col("__n_old") > 1) | (F.col("__n_new") > 1), F.lit("duplicate"))
+        .when(F.col("__n_old") == 0, F.lit("added"))
         .when(F.col("__n_new") == 0, F.lit("removed"))
         .when(~F.col("__old").eqNullSafe(F.col("__new")), F.lit("changed"))
     )
@@ -88,11 +105,13 @@ def whole_row_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     more copies in ``old``, ``new`` otherwise, and ``n`` is the surplus of
     copies. The multiplicity stays a number instead of being re-emitted as
     copies, so a row repeated a billion times is still one output row and no
-    task has to generate its copies. Nulls compare equal.
+    task has to generate its copies. Nulls compare equal; a column that only
+    one version has is null in the other.
     """
+    old, new = _aligned(old, new)
     cols = list(old.columns)
     tagged = old.withColumn("__d", F.lit(1)).unionByName(
-        new.select(*cols).withColumn("__d", F.lit(-1))
+        new.withColumn("__d", F.lit(-1))
     )
     net = tagged.groupBy(*cols).agg(F.sum("__d").alias("__net")).where(F.col("__net") != 0)
     return net.select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from legation.functions.exprs import safe_ratio
+from legation.session import shared_dir
 
 
 def _cols(c: str | Sequence[str] | None) -> list[str]:
@@ -98,10 +99,8 @@ def _dense_rank_split(
        one row per slice.
     4. The ranks are joined back to ``df`` on (partition, value), null-safe.
     """
-    from legation.session import shared_dir
-
-    spark = df.sparkSession
-    shared_dir(spark, "rank")  # makes sure a checkpoint folder is set
+    shared_dir(df.sparkSession, "rank")  # makes sure a checkpoint folder is set
+    df = df.checkpoint(eager=True)  # computed once, read for the slices and for the join back
     order = [F.col(p).asc_nulls_first() for p in parts] + _order(by, ascending, [])
     values = df.select(*parts, *by).distinct()
     sliced = (
@@ -127,6 +126,28 @@ def _dense_rank_split(
     return df.join(ranked, back, "left").drop(*[f"__r_{c}" for c in parts + by])
 
 
+def _row_number_split(df: DataFrame, parts: list[str], order: list[Column], name: str) -> DataFrame:
+    """Row numbers per group by range slices, so that a group spans many tasks.
+
+    The rows are range-partitioned in (group, order), numbered inside their
+    slice, and moved up by the rows that the group has in earlier slices.
+    """
+    shared_dir(df.sparkSession, "top-n")  # makes sure a checkpoint folder is set
+    groups = [F.col(p).asc_nulls_first() for p in parts]
+    sliced = df.repartitionByRange(*groups, *order).withColumn("__slice", F.spark_partition_id()).checkpoint(eager=True)
+    local = sliced.withColumn("__local", F.row_number().over(Window.partitionBy("__slice", *parts).orderBy(*order)))
+    sizes = sliced.groupBy("__slice", *parts).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*parts).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col("__slice").alias("__o_slice"),
+        *[F.col(p).alias(f"__o_{p}") for p in parts],
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
+    )
+    cond = [local["__slice"] == offsets["__o_slice"]] + [local[p].eqNullSafe(offsets[f"__o_{p}"]) for p in parts]
+    number = (F.col("__local") + F.col("__offset")).cast("int").alias(name)
+    return local.join(offsets, cond).select(*[local[c] for c in df.columns], number)
+
+
 def top_n_per_group(
     df: DataFrame,
     partition: str | Sequence[str],
@@ -143,11 +164,16 @@ def top_n_per_group(
     already keeps only ``n`` rows per group in each map task (for ``n`` up
     to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default),
     so even a group holding a third of all rows reaches the final window as
-    ``n`` rows per map task.
+    ``n`` rows per map task. For a larger ``n`` the rows are numbered by range
+    slices (see ``_row_number_split``, which runs a checkpoint job when
+    called), so no task holds a whole group either way.
     """
     tie = _cols(tie_break)
     if not tie:
         raise ValueError("top_n_per_group needs a tie_break column")
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > limit:
+        return _row_number_split(df, _cols(partition), _order(_cols(by), ascending, tie), name).where(F.col(name) <= n)
     w = Window.partitionBy(*_cols(partition)).orderBy(*_order(_cols(by), ascending, tie))
     ranked = df.withColumn(name, F.row_number().over(w).cast("int"))
     return ranked.where(F.col(name) <= n)
@@ -171,7 +197,8 @@ def change_over(
     ``df`` once, needs no join and no window, and a missing earlier period
     gives null rather than a comparison with an older, non-adjacent one.
     Null partition keys form a group of their own; a null period has no
-    predecessor.
+    predecessor. A repeated (partition, period) fails the query: no choice
+    between its rows would be right.
     """
     keys = _cols(partition)
     others = [c for c in df.columns if c not in keys and c != period]
@@ -188,13 +215,14 @@ def change_over(
         F.when(F.col(period).isNotNull(), F.col(measure)).alias("prev"),
     )
     shifted = df.select(*keys, F.explode(F.array(here, later)).alias("__e"))
-    # max, not first: the same answer for one row per (partition, period),
-    # and still the same answer on a recomputed task if there are duplicates
     paired = shifted.groupBy(*keys, F.col("__e.p").alias("__p")).agg(
         F.max("__e.row").alias("__row"),
         F.max("__e.prev").alias(previous),
+        F.count("__e.row").alias("__rows"),
     )
-    present = paired.where(F.col("__row").isNotNull())
+    repeated = F.raise_error(F.lit("change_over: more than one row for a partition and period"))
+    once = F.when(F.col("__rows") > 1, repeated.cast("boolean")).otherwise(F.col("__rows") == 1)
+    present = paired.where(once)
     cols = [
         F.col("__p").alias(c) if c == period else F.col(c) if c in keys else F.col(f"__row.{c}").alias(c)
         for c in df.columns

@@ -39,7 +39,8 @@ def category_share_ranking(
     per-key counts are joined to it and summed per state.
 
     Output: ``group_col, name_col, n_total, n_category, share, rank``. States
-    whose code is missing from ``dim`` keep null name and group.
+    whose code is missing from ``dim`` keep null name and group and have no
+    rank: they are no group, and are spread over the window's tasks.
     """
     shares = share_by(fact, key, category_col, category)
     state = key
@@ -49,5 +50,7 @@ def category_share_ranking(
         shares = combine_shares(shares, [to_col])
         state = to_col
     named = enrich(shares, dim, state, dim_key, [name_col, group_col])
-    ranked = rank_within(named, group_col, "share")
-    return ranked.select(group_col, name_col, "n_total", "n_category", "share", "rank")
+    alone = F.when(F.col(group_col).isNull(), F.xxhash64(state))
+    ranked = rank_within(named.withColumn("__alone", alone), [group_col, "__alone"], "share")
+    rank = F.when(F.col(group_col).isNotNull(), F.col("rank")).alias("rank")
+    return ranked.select(group_col, name_col, "n_total", "n_category", "share", rank)

@@ -55,7 +55,8 @@ def representation_feeds(
       continent subtotals and the grand total (A5);
     * ``state_by_period``: appointments per state and period, every state of
       the countries table and every period from the first to the last, empty
-      cells 0 (J5);
+      cells 0 (J5); appointments of unmatched senders or without a period are
+      rows with a null name or period, so the total is that of the table;
     * ``unmatched_senders``: sender codes missing from the countries (Q3).
 
     Feeds whose columns are not given (``other``, ``receiver``,
@@ -82,9 +83,7 @@ def representation_feeds(
     if period_col is not None:
         shares = share_by(appointments, period_col, category_col, category)
         feeds["share_by_period"] = change_over(shares, period_col, "share")
-        per_period = enrich(
-            count_by(appointments, sender, period_col), countries, sender, code, [name]
-        ).where(F.col(name).isNotNull())
+        per_period = enrich(count_by(appointments, sender, period_col), countries, sender, code, [name])
         counts = count_by(per_period, name, period_col, weight="n")
         first = appointments.select(F.min(period_col)).scalar()
         last = appointments.select(F.max(period_col)).scalar()

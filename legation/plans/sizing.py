@@ -1,65 +1,32 @@
 """Size-checked broadcasting.
 
-A side is broadcast only after a bounded probe proves it small; otherwise it
-is returned untouched and Spark plans a shuffled join (sort-merge, or a
-broadcast chosen by AQE from runtime sizes). The probe asks whether any row
-exists past the first ``max_rows`` (``offset(max_rows).isEmpty()``): Spark
-runs it as an incremental take that scans a few partitions at a time and
-stops once it has ``max_rows + 1`` rows, and no column is read, so the
-check stays cheap on a 100 TB input instead of launching a task per file.
-
-The outcome is remembered per DataFrame object: a DataFrame fixes its plan
-and its file listing when it is created, so repeated joins against the same
-dimension in one query check it once.
-
-Probe inputs that are cheap to read, such as dimension tables. A side that
-is itself computed through a shuffle (an aggregate, a join) would have that
-shuffle run once for the probe and again for the query; pass
-``max_rows=None`` for such sides: no probe, no hint, and AQE still turns
-the join into a broadcast when the side's materialized shuffle output is
-small.
+A side is broadcast only if Spark's own size estimate of it, after column
+pruning, is within a bound; otherwise it is returned untouched and Spark plans
+a shuffled join (sort-merge, or a broadcast chosen by AQE from run-time
+sizes). The estimate comes from the optimised plan, that is from file sizes
+for a scan, so no job runs while a query is built. A side whose estimate is
+unknown or inflated (a join, an aggregate) is simply not hinted.
 """
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows, after the caller has projected the side down to the columns it needs.
-# 200k narrow rows stay well under the default 8 GB broadcast limit and
-# typically below a few tens of MB.
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-# DataFrame -> {cap: whether the frame has at most cap rows}.
-_probed: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+# Estimated bytes of the projected side; well under the executors' memory.
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    known = _probed.setdefault(df, {})
-    for cap, small in known.items():
-        if small and cap <= max_rows:
-            return True
-        if not small and cap >= max_rows:
-            return False
-    small = df.offset(max_rows).isEmpty()
-    known[max_rows] = small
-    return small
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``, from its optimised plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bounded_broadcast(
-    df: DataFrame,
-    max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
-    source: DataFrame | None = None,
-) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
+def bounded_broadcast(df: DataFrame, max_bytes: int | None = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its estimated size is at most ``max_bytes``, else ``df``.
 
-    ``source`` is the frame whose row count equals ``df``'s (``df`` being a
-    projection of it); the check and its memo then apply to ``source``.
-    ``max_rows=None`` returns ``df`` unprobed and unhinted.
+    ``max_bytes=None`` returns ``df`` unhinted.
     """
-    if max_rows is None:
+    if max_bytes is None or estimated_bytes(df) > max_bytes:
         return df
-    probe = df if source is None else source
-    return F.broadcast(df) if row_count_at_most(probe, max_rows) else df
+    return F.broadcast(df)

@@ -10,16 +10,16 @@ No appointment data ships with the test tables, so the shape is borrowed:
   ``lineitem`` of the order;
 * the continent is the nation's region.
 
-The helpers count facts at the grain of the join key *before* joining
-(eager aggregation): a join then moves one row per key instead of one per
-fact, and a key that holds a third of the facts is collapsed by the partial
-aggregation in each map task.
+Customer-level facts are counted at the grain of the join key *before*
+joining: a join then moves one row per key instead of one per fact, and a key
+that holds a third of the facts is collapsed by the partial aggregation in
+each map task. Lines meet their orders line by line and are counted per pair
+of states afterwards: nearly every (order, receiver) pair is distinct, so
+counting them first would save nothing.
 """
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +27,16 @@ from legation.operators.joins import enrich
 from legation.sources.tables import read_parquet_table
 
 
-_SHARED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
 class Star:
     """Handles on the driver tables of one scale, plus derived building blocks.
 
-    ``Star.of`` shares one instance per session and folder, like a catalog:
-    table handles (with their file listings) and the size checks of the
-    dimensions are then made once per session rather than once per query.
+    Every query makes its own (``Star.of``), so a folder that was rewritten in
+    the meantime is listed anew.
     """
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Star:
-        per_session = _SHARED.setdefault(spark, {})
-        if sf_dir not in per_session:
-            per_session[sf_dir] = cls(spark, sf_dir)
-        return per_session[sf_dir]
+        return cls(spark, sf_dir)
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark

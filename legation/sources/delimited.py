@@ -16,10 +16,17 @@ from legation.functions.exprs import cast_failed, to_type
 
 CORRUPT = "_corrupt_record"
 
+# Quotes inside a quoted field are doubled (RFC 4180). An unquoted empty field
+# is null and a quoted one is the empty string: the reader's null mark is a
+# control character, so that no empty text equals it.
+TEXT_OPTIONS = {"escape": '"', "nullValue": "\u0001", "emptyValue": ""}
 
-def _reader(spark: SparkSession, schema: StructType, sep: str, header: bool, encoding: str):
+
+def _reader(spark: SparkSession, schema: StructType, sep: str, header: bool, encoding: str, multi_line: bool = False):
     return (
         spark.read.schema(schema)
+        .options(**TEXT_OPTIONS)
+        .option("multiLine", multi_line)
         .option("sep", sep)
         .option("header", header)
         .option("encoding", encoding)
@@ -37,13 +44,34 @@ def read_delimited(
     sep: str = ";",
     header: bool = True,
     encoding: str = "UTF-8",
+    multi_line: bool = False,
+    formats: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Typed scan; the first malformed row fails the job (FAILFAST).
+    """Typed scan; the first malformed row fails the job.
 
     ``schema`` carries the file's own column names (rename them afterwards
-    with ``assign_names``).
+    with ``assign_names``). The rows are checked as by ``read_with_rejects``,
+    non-nullable fields included, in a filter that reads every field: a
+    caller that only counts, or selects one column, still fails on a
+    malformed row. ``multi_line`` reads quoted line breaks; such files cannot
+    be split over tasks.
     """
-    return _reader(spark, schema, sep, header, encoding).option("mode", "FAILFAST").csv(path)
+    checked = checked_rows(_raw(spark, path, schema, sep, header, encoding, multi_line), schema, formats)
+    message = F.concat(F.lit("malformed row: "), F.col("_reject_reason"))
+    sound = F.when(F.col("_rejected"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return checked.where(sound).select(*[f.name for f in schema.fields])
+
+
+def _raw(
+    spark: SparkSession, path: str, schema: StructType, sep: str, header: bool, encoding: str, multi_line: bool
+) -> DataFrame:
+    """Every field as text, plus the corrupt-record column."""
+    return (
+        _reader(spark, text_with_corrupt(schema), sep, header, encoding, multi_line)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
 
 
 def read_with_rejects(
@@ -54,6 +82,7 @@ def read_with_rejects(
     header: bool = True,
     encoding: str = "UTF-8",
     formats: dict[str, str] | None = None,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The same scan, split into good rows and rejected rows.
 
@@ -68,13 +97,7 @@ def read_with_rejects(
     caller later selects only a few columns of ``good``. ``formats`` maps
     date or timestamp fields to their pattern (e.g. ``dd/MM/yyyy``).
     """
-    raw = (
-        _reader(spark, text_with_corrupt(schema), sep, header, encoding)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    return split_rejects(raw, schema, formats)
+    return split_rejects(_raw(spark, path, schema, sep, header, encoding, multi_line), schema, formats)
 
 
 def text_with_corrupt(schema: StructType) -> StructType:
@@ -140,6 +163,7 @@ def load_with_rejects(
     encoding: str = "UTF-8",
     mode: str = "overwrite",
     formats: dict[str, str] | None = None,
+    multi_line: bool = False,
 ) -> str:
     """S2 with S3 in one pass: parse once, write good and rejected rows together.
 
@@ -147,18 +171,14 @@ def load_with_rejects(
     ``good_rows`` and ``rejected_rows`` read back only their own folders.
     Parsing text is the costly part of a load; this reads the source once
     where writing the two outputs of ``read_with_rejects`` reads it twice.
-    Returns ``table_path``.
+    An overwrite replaces the whole table, so rejects of an earlier load do
+    not outlive a corrected file. Returns ``table_path``.
     """
     from legation.sources.tables import load_table  # local: tables imports nothing from here
 
-    raw = (
-        _reader(spark, text_with_corrupt(schema), sep, header, encoding)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
+    raw = _raw(spark, path, schema, sep, header, encoding, multi_line)
     parts = ["_rejected", *(partition_by or [])]
-    return load_table(checked_rows(raw, schema, formats), table_path, partition_by=parts, mode=mode)
+    return load_table(checked_rows(raw, schema, formats), table_path, partition_by=parts, mode=mode, replace="table")
 
 
 def good_rows(spark: SparkSession, table_path: str) -> DataFrame:
@@ -185,10 +205,13 @@ def export_feed(
 ) -> str:
     """Write ``df`` as delimited text for a charting tool; returns ``path``.
 
-    Feeds are aggregates, so they are small, but nothing here gathers them
+    Quotes are doubled, nulls are empty fields and empty texts quoted ones,
+    outer blanks are kept; a feed with line breaks in a text is read back with
+    ``multi_line``. Feeds are aggregates, so they are small, but nothing here gathers them
     into one task: each task writes its own part file.
     """
-    writer = df.write.mode(mode).option("sep", sep).option("header", header)
+    writer = df.write.mode(mode).option("sep", sep).option("header", header).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.csv(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def load_table(
@@ -17,6 +16,7 @@ def load_table(
     max_records_per_file: int | None = None,
     bucket_by: tuple[int, Sequence[str]] | None = None,
     table: str | None = None,
+    replace: str = "partitions",
 ) -> str:
     """S3: write ``df`` as a table, optionally partitioned by columns.
 
@@ -24,30 +24,28 @@ def load_table(
     columns (the ``rebalance`` hint): adaptive execution then splits a
     partition value that holds a large share of the rows over several tasks
     and packs small ones together, so one hot value neither lands in a
-    single task nor produces a file per task for every value. Overwrite is
-    dynamic (session setting): only the partitions present in ``df`` are
-    replaced. Returns ``path``.
+    single task nor produces a file per task for every value. An overwrite
+    replaces the partitions present in ``df`` (``replace="partitions"``) or
+    the whole table (``replace="table"``), whatever the session's setting.
+    Returns ``path``.
 
     ``bucket_by=(n, cols)`` with a ``table`` name writes an external table
     hash-bucketed (and sorted) on ``cols`` into ``n`` buckets, registered in
     the session catalog: two tables bucketed alike on a join key then join
-    without any shuffle (read them with ``spark.table``). The write itself
-    spreads a large bucket over several tasks, but a bucketed join reads a
-    bucket in one task and cannot split it at run time: keep bucketing for
-    keys without a dominant value; for skewed keys the shuffled join with
-    AQE's skew splitting is the safer plan.
+    without any shuffle (read them with ``spark.table``). One task writes and
+    one task reads a bucket, which cannot be split at run time: keep
+    bucketing for keys without a dominant value; for skewed keys the shuffled
+    join with AQE's skew splitting is the safer plan.
     """
     cols = list(partition_by or [])
     if bucket_by is not None:
         if not table:
             raise ValueError("bucket_by needs a table name")
         n, keys = bucket_by
-        # Range-partition on (bucket id, row hash): each task writes the files
-        # of one or a few neighbouring buckets, and a large bucket is spread
-        # over several tasks instead of being written by one.
-        bucket = F.pmod(F.hash(*[F.col(k) for k in keys]), F.lit(n))
-        spread = df.repartitionByRange(bucket, F.xxhash64(*[F.col(c) for c in df.columns]))
-        writer = spread.write.mode(mode).format(fmt).option("path", path)
+        # Repartitioned like the buckets, so each task writes one file per bucket.
+        writer = df.repartition(n, *keys).write.mode(mode).format(fmt).option("path", path)
+        if max_records_per_file:
+            writer = writer.option("maxRecordsPerFile", max_records_per_file)
         if cols:
             writer = writer.partitionBy(*cols)
         writer.bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
@@ -55,7 +53,8 @@ def load_table(
     out = df.hint("rebalance", *cols) if cols else df
     writer = out.write.mode(mode).format(fmt)
     if cols:
-        writer = writer.partitionBy(*cols)
+        overwrite = {"partitions": "dynamic", "table": "static"}[replace]
+        writer = writer.partitionBy(*cols).option("partitionOverwriteMode", overwrite)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.save(path)

@@ -18,8 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from legation.session import shared_dir
-from legation.sources.delimited import CORRUPT, checked_rows, text_with_corrupt
+from legation.sources.delimited import CORRUPT, TEXT_OPTIONS, checked_rows, text_with_corrupt
 
 
 def incremental_load(
@@ -37,15 +36,17 @@ def incremental_load(
 ) -> StreamingQuery:
     """Start the load query; ``awaitTermination()`` waits for an ``availableNow`` run.
 
-    ``checkpoint_dir`` defaults to a folder under the session's shared
-    checkpoint folder; pass a fixed one to resume a load after a restart.
+    ``checkpoint_dir`` defaults to ``<table_path>.checkpoint``, next to the
+    table: every later run on the table finds its progress there and loads
+    the files that are new since.
     """
-    ckpt = checkpoint_dir or shared_dir(spark, "incremental-load")
+    ckpt = checkpoint_dir or f"{table_path.rstrip('/')}.checkpoint"
     reader = (
         spark.readStream.schema(text_with_corrupt(schema))
         .option("sep", sep)
         .option("header", header)
         .option("enforceSchema", False)  # each file's header must match the schema
+        .options(**TEXT_OPTIONS)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
     )

@@ -6,7 +6,7 @@ import datetime as dt
 
 import pytest
 from conftest import rows
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from legation.operators import (
     assign_names,
@@ -41,7 +41,10 @@ def test_conform_types_nulls_and_counts_failures(spark):
         ("c", None, None, "v"),
         ("d", 7, None, ""),
     ]
-    assert rows(count_cast_failures(out)) == [("n", 1), ("v", 1)]
+    assert rows(count_cast_failures(df, schema)) == [("n", 1), ("v", 1)]
+    comma = df.withColumnRenamed("n", "a,b")
+    assert rows(count_cast_failures(comma, StructType([StructField("a,b", IntegerType())]))) == [("a,b", 1)]
+    assert count_cast_failures(df, StructType([StructField("s", StringType())])).collect() == []
 
 
 def test_normalise_keys(spark):

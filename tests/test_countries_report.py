@@ -101,7 +101,8 @@ def test_report_writes_feeds(spark, workdir, appointments):
     assert matrix == [(None, 2, 1), (2, 2, 2), (2, 5, 2), (5, 2, 1)]
     grid_schema = "country_name string, period int, n bigint"
     grid = rows(spark.read.csv(paths["state_by_period"], sep=";", header=True, schema=grid_schema))
-    assert len(grid) == 5 * 2  # five countries x periods 2020..2021
+    assert len(grid) == 5 * 2 + 1  # five countries x periods 2020..2021, and the unmatched sender
+    assert sum(n for _, _, n in grid) == appointments.count()
     assert ("Alpha, Republic of", 2020, 2) in grid and ("Delta (Islands)", 2021, 0) in grid
     sub_schema = "continent_code int, country_name string, n bigint, g_continent_code int, g_country_name int"
     subtotals = rows(spark.read.csv(paths["counts_with_subtotals"], sep=";", header=True, schema=sub_schema))

@@ -26,7 +26,7 @@ def test_flagship_direct(spark, dim):
     assert got["France"] == ("Europe", 1.0, 1)
     assert got["Italy"] == ("Europe", 0.5, 2)
     assert got["Kenya"] == ("Africa", 0.0, 1)
-    assert got[None] == (None, 1.0, 1)  # sender missing from the dimension is kept
+    assert got[None] == (None, 1.0, None)  # sender missing from the dimension is kept, without a rank
     assert out.columns == ["continent", "name", "n_total", "n_category", "share", "rank"]
 
 

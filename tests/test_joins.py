@@ -34,8 +34,9 @@ def test_enrich_keeps_unmatched(spark):
     assert inner.count() == 3
 
 
-def test_enrich_broadcasts_small_dimension(spark):
-    out = enrich(_fact(spark), _dim(spark), "sender", "code", ["name"])
+def test_enrich_broadcasts_small_dimension(spark, workdir):
+    _dim(spark).write.parquet(f"{workdir}/dim")
+    out = enrich(_fact(spark), spark.read.parquet(f"{workdir}/dim"), "sender", "code", ["name"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
 
@@ -43,7 +44,7 @@ def test_enrich_broadcasts_small_dimension(spark):
 def test_enrich_does_not_hint_large_side(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = enrich(_fact(spark), _dim(spark), "sender", "code", ["name"], max_rows=2)
+        out = enrich(_fact(spark), _dim(spark), "sender", "code", ["name"], max_bytes=2)
         plan = out._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" not in plan
         assert rows(out, "id", "name")[0] == (1, "Italy")
@@ -79,7 +80,8 @@ def test_complete_fills_grid(spark):
     assert len(got) == 9
     assert ("Italy", 2001, 3) in got and ("France", 2003, 1) in got and ("Kenya", 2002, 0) in got
     seq = complete(counts, {"period": F.sequence(F.lit(2001), F.lit(2002)), "name": ["Italy"]}, ["n"])
-    assert rows(seq) == [(2001, "Italy", 3), (2002, "Italy", 0)]
+    # Counts outside the domains stay, so that totals reconcile.
+    assert rows(seq) == [(2001, "Italy", 3), (2002, "Italy", 0), (2003, "France", 1)]
 
 
 def test_enrich_case_blind_only_when_asked(spark):

@@ -1,0 +1,149 @@
+"""Inputs on which rows, columns or counts must not vanish."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from legation.operators import (
+    change_over,
+    complete,
+    diff_versions,
+    distinct_partners,
+    merge_versions,
+    top_n_per_group,
+    whole_row_changes,
+)
+from legation.plans.flagship import category_share_ranking
+from legation.plans.report import representation_feeds
+from legation.sources import export_feed, good_rows, load_table, load_with_rejects, read_countries, read_delimited, read_with_rejects, rejected_rows
+from legation.streaming import incremental_load
+
+TEXT = StructType([StructField("a", IntegerType()), StructField("t", StringType())])
+
+
+def _write(path, text):
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return str(path)
+
+
+def test_second_incremental_run_loads_the_new_file(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    _write(src / "1.csv", "a;t\n1;x\n")
+    incremental_load(spark, str(src), TEXT, f"{tmp_path}/table").awaitTermination()
+    _write(src / "2.csv", "a;t\n2;y\n3;z\n")
+    incremental_load(spark, str(src), TEXT, f"{tmp_path}/table").awaitTermination()
+    assert rows(good_rows(spark, f"{tmp_path}/table"), "a", "t") == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_versions_keep_new_columns_and_report_duplicates(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(2, "c", 9), (3, "d", 8), (None, "m", 7)], "k int, v string, w int")
+    assert rows(merge_versions(old, new, "k"), "k", "v", "w") == [(None, "m", 7), (1, "a", None), (2, "c", 9), (3, "d", 8)]
+    changed = {r.k: (r.change, r.old_w, r.new_w) for r in diff_versions(old, new, "k").collect()}
+    assert changed == {1: ("removed", None, None), 2: ("changed", None, 9), 3: ("added", None, 8), None: ("changed", None, 7)}
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    once = spark.createDataFrame([(1, "b")], "k int, v string")
+    assert [r.change for r in diff_versions(twice, once, "k").collect()] == ["duplicate"]
+    assert merge_versions(once, twice, "k").count() == 2
+    same = old.withColumn("w", F.lit(None).cast("int"))
+    assert whole_row_changes(old, same).collect() == []
+
+
+def test_merge_does_not_sort_or_shuffle_the_old_table(spark):
+    old, new = spark.range(100_000).withColumn("v", F.lit(1)), spark.range(3).withColumn("v", F.lit(2))
+    plan = merge_versions(old, new, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_complete_keeps_totals(spark):
+    counts = spark.createDataFrame([("x", 1, 5), ("x", 9, 7), (None, 1, 2), ("z", None, 3)], "g string, p int, n int")
+    grid = complete(counts, {"g": ["x", "y"], "p": [1, 2]}, ["n"])
+    assert rows(grid) == [(None, 1, 2), ("x", 1, 5), ("x", 2, 0), ("x", 9, 7), ("y", 1, 0), ("y", 2, 0), ("z", None, 3)]
+
+
+def test_report_totals_reconcile(spark):
+    facts = spark.createDataFrame([("A", "B", "W", 2000), ("Q", "B", "W", 2001), ("A", None, "M", None)], "sender_code string, receiver_code string, category string, period int")
+    lands = spark.createDataFrame([("A", "Aland", 2), ("B", "Bland", 3)], "country_code string, country_name string, continent_code int")
+    feeds = representation_feeds(facts, lands, "W", ["W", "M"], posting_col=None, period_col="period")
+    assert feeds["state_by_period"].agg(F.sum("n")).first()[0] == 3
+    assert feeds["share_by_state"].agg(F.sum("n_total")).first()[0] == 3
+
+
+def test_partnerless_keys_count_zero(spark):
+    df = spark.createDataFrame([("a", None), ("b", "x"), ("b", "y"), ("b", "x")], "k string, p string")
+    assert rows(distinct_partners(df, "k", "p")) == rows(distinct_partners(df, "k", "p", approx=True)) == [("a", 0), ("b", 2)]
+
+
+def test_repeated_period_is_refused(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 6), ("a", 2, 7)], "k string, p int, n int")
+    with pytest.raises(Exception, match="more than one row"):
+        change_over(df, "p", "n", "k").collect()
+
+
+def test_top_n_beyond_the_group_limit(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).alias("v"), "id")
+    got = top_n_per_group(df, "g", "v", 1001, "id")
+    small = top_n_per_group(df, "g", "v", 1000, "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 2002 and "__slice" in plan
+    assert rows(got.where("position <= 1000")) == rows(small)
+
+
+def test_unmatched_states_have_no_rank_and_no_common_window(spark):
+    facts = spark.createDataFrame([(s, "W") for s in "AABQRST"] + [("A", "M")], "s string, c string")
+    lands = spark.createDataFrame([("A", "Aland", 2), ("B", "Bland", 2)], "code string, name string, g int")
+    out = category_share_ranking(facts, lands, "s", "c", "W", "code", "name", "g")
+    assert rows(out, "name", "rank", "n_total") == [(None, None, 1)] * 4 + [("Aland", 2, 3), ("Bland", 1, 1)]
+
+
+def test_malformed_rows_fail_under_pruning(spark, tmp_path):
+    path = _write(tmp_path / "f.csv", "a;t\n1;x\nbad;y\n")
+    for use in (lambda d: d.count(), lambda d: d.select("t").collect(), lambda d: d.collect()):
+        with pytest.raises(Exception, match="malformed row: bad a"):
+            use(read_delimited(spark, path, TEXT))
+    lands = _write(tmp_path / "c.csv", "column1;column2;column3\nABC;Name;2\nDEF;;3\n")
+    with pytest.raises(Exception, match="missing column2"):
+        read_countries(spark, lands).select("country_code").collect()
+
+
+def test_texts_survive_export_and_read(spark, tmp_path):
+    data = [(1, 'He said "x" ok'), (2, ""), (3, None), (4, "  blanks "), (5, "semi;colon"), (6, "back\\slash"), (7, '"')]
+    path = export_feed(spark.createDataFrame(data, TEXT), f"{tmp_path}/feed")
+    assert rows(read_delimited(spark, path, TEXT)) == data
+    good, bad = read_with_rejects(spark, path, TEXT)
+    assert rows(good) == data and bad.count() == 0
+    lines = export_feed(spark.createDataFrame([(1, "two\nlines")], TEXT), f"{tmp_path}/lines")
+    assert rows(read_delimited(spark, lines, TEXT, multi_line=True)) == [(1, "two\nlines")]
+    quoted = _write(tmp_path / "q.csv", 'a;t\n1;"He said ""x; y"" ok"\n')
+    assert rows(read_delimited(spark, quoted, TEXT)) == [(1, 'He said "x; y" ok')]
+
+
+def test_reload_leaves_no_stale_rejects(spark, tmp_path):
+    path = _write(tmp_path / "f.csv", "a;t\n1;x\nbad;y\n")
+    load_with_rejects(spark, path, TEXT, f"{tmp_path}/t")
+    assert rejected_rows(spark, f"{tmp_path}/t").count() == 1
+    _write(tmp_path / "f.csv", "a;t\n1;x\n2;y\n")
+    spark.catalog.refreshByPath(path)
+    load_with_rejects(spark, path, TEXT, f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert table.count() == 2 and table.where("_rejected = true").count() == 0
+
+
+def test_load_does_not_depend_on_the_session(spark, tmp_path):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    try:
+        for setting in ("static", "dynamic"):
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", setting)
+            path = f"{tmp_path}/{setting}"
+            load_table(spark.createDataFrame([(2020, 1)], "p int, v int"), path, ["p"])
+            load_table(spark.createDataFrame([(2021, 2)], "p int, v int"), path, ["p"])
+            assert spark.read.parquet(path).count() == 2
+            load_table(spark.createDataFrame([(2022, 3)], "p int, v int"), path, ["p"], replace="table")
+            assert spark.read.parquet(path).count() == 1
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)

@@ -1,4 +1,4 @@
-"""Shared folder resolution and the broadcast size probe."""
+"""Shared folder resolution and the broadcast size check."""
 
 from __future__ import annotations
 
@@ -14,22 +14,28 @@ def test_shared_dir_is_fresh_and_under_checkpoint_folder(spark):
     assert a != b and a.startswith(base.rstrip("/") + "/x-") and b.startswith(base.rstrip("/") + "/x-")
 
 
-def test_probe_is_bounded_and_remembered(spark):
-    df = spark.range(50)
-    assert sizing.row_count_at_most(df, 50) and not sizing.row_count_at_most(df, 49)
-    assert sizing._probed[df] == {50: True, 49: False}
-    # answers that follow from what is known do not probe again
-    assert sizing.row_count_at_most(df, 1000) and not sizing.row_count_at_most(df, 10)
-    assert set(sizing._probed[df]) == {50, 49}
-
-
-def test_bounded_broadcast_hint(spark):
+def test_broadcast_only_below_the_estimated_size(spark):
     small = spark.range(5)
     assert "broadcast" in small.join(sizing.bounded_broadcast(small), "id")._jdf.queryExecution().analyzed().toString().lower()
     big = spark.range(10).select(F.col("id"))
-    same = sizing.bounded_broadcast(big, max_rows=3)
-    assert same is big
-    assert sizing.bounded_broadcast(big, max_rows=None) is big
+    assert sizing.bounded_broadcast(big, max_bytes=3) is big
+    assert sizing.bounded_broadcast(big, max_bytes=None) is big
+
+
+def test_building_a_query_runs_no_job(spark):
+    from legation.operators import enrich
+
+    spark.sparkContext.setJobGroup("build", "")
+    enrich(spark.range(9), spark.range(5).withColumn("x", F.lit(1)), "id", "id", ["x"])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
+
+
+def test_wide_dimension_is_not_broadcast(spark):
+    wide = spark.range(100_000).select("id", *[F.rand(i).cast("string").alias(f"c{i}") for i in range(60)])
+    assert sizing.estimated_bytes(wide) > sizing.DEFAULT_MAX_BROADCAST_BYTES
+    assert sizing.bounded_broadcast(wide) is wide
 
 
 def test_local_session_without_checkpoint_folder_gets_one(tmp_path):

@@ -65,7 +65,7 @@ def test_shuffled_join_splits_hot_partition(spark, skewed, dim):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        out = enrich(skewed, dim, "sender", "code", ["name"], max_rows=10)
+        out = enrich(skewed, dim, "sender", "code", ["name"], max_bytes=10)
         plan = _plan(out)
         assert "SortMergeJoin" in plan and "skew=true" in plan
         assert out.count() == N
