@@ -50,13 +50,17 @@ from legation.operators import (
     whole_row_changes,
 )
 from legation.plans.flagship import category_share_ranking
+from legation.plans.report import representation_feeds
 from legation.plans.star import Star
 from legation.session import shared_dir
 from legation.sources import (
+    CONTINENT_CODES,
+    country_issues,
     export_feed,
     good_rows,
     load_table,
     load_with_rejects,
+    read_countries,
     read_delimited,
     read_table,
     read_with_rejects,
@@ -185,6 +189,97 @@ def s4_export_feed(spark: SparkSession, d: str) -> DataFrame:
     return read_delimited(spark, path, tab.schema)
 
 
+def s2_reloaded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All fields of good and rejected rows after a load, a corrected reload, and the first load again."""
+    star = Star.of(spark, d)
+    orders = star.t("orders")
+    wrong = export_feed(_text_orders(star), shared_dir(spark, "s2-orders"))
+    fixed = export_feed(orders, shared_dir(spark, "s2-fixed"))
+    table = shared_dir(spark, "s2-loaded")
+    for source in (wrong, fixed, wrong):
+        load_with_rejects(spark, source, orders.schema, table)
+    good = good_rows(spark, table).select(*[F.col(c).cast("string").alias(c) for c in orders.columns if c != "o_totalprice"], F.col("o_totalprice").alias("price"))
+    bad = rejected_rows(spark, table)
+    bad = bad.select(*[c for c in good.columns if c != "price"], F.lit(None).cast("double").alias("price"), "_reject_reason")
+    return good.withColumn("_reject_reason", F.lit(None).cast("string")).unionByName(bad).drop("o_orderdate")
+
+
+def s3_loaded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of orders, loaded by period in two parts that replace only their own periods."""
+    orders = Star.of(spark, d).t("orders").withColumn("period", F.year("o_orderdate"))
+    path = shared_dir(spark, "s3-rows")
+    load_table(orders, path, partition_by=["period"])
+    load_table(orders.where("period = 1996"), path, partition_by=["period"])
+    return read_table(spark, path).select(*orders.columns)
+
+
+def s4_texts_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes, separators, outer blanks and line breaks, empty and null ones, written and read back."""
+    customer = Star.of(spark, d).t("customer")
+    kind = F.col("c_custkey") % 6
+    text = (
+        F.when(kind == 0, F.concat(F.lit('say "'), "c_name", F.lit('" ok')))
+        .when(kind == 1, F.concat(F.lit("  a;b "), "c_name", F.lit("  ")))
+        .when(kind == 2, F.concat("c_name", F.lit("\n"), "c_mktsegment"))
+        .when(kind == 3, F.lit(""))
+        .when(kind == 4, F.concat(F.lit("back\\slash "), "c_name"))
+    )
+    texts = customer.select("c_custkey", text.alias("text"))
+    return read_delimited(spark, export_feed(texts, shared_dir(spark, "s4-texts")), texts.schema, multi_line=True)
+
+
+# ---------------------------------------------------------------- C, R: country file and report
+
+
+def _country_file(star: Star) -> str:
+    """The nations as a country file: generic header, code, name and continent code."""
+    nation = star.t("nation").select(
+        F.concat(F.lit(" "), F.lower(F.substring("n_name", 1, 3))).alias("column1"),
+        F.concat("n_name", F.lit("  ")).alias("column2"),
+        F.col("n_regionkey").cast("int").alias("column3"),
+    )
+    return export_feed(nation, shared_dir(star.spark, "countries"))
+
+
+def c1_read_countries(spark: SparkSession, d: str) -> DataFrame:
+    return read_countries(spark, _country_file(Star.of(spark, d)))
+
+
+def c2_country_issues(spark: SparkSession, d: str) -> DataFrame:
+    return country_issues(read_countries(spark, _country_file(Star.of(spark, d))), CONTINENT_CODES)
+
+
+def _feeds(star: Star) -> dict[str, DataFrame]:
+    """The report over orders: sender and category of each, its posting and period; nations are the countries."""
+    orders = star.t("orders").select("o_custkey", "o_orderstatus", "o_orderpriority", _period())
+    linked = enrich(orders, star.customer_link(), "o_custkey", "c_custkey", ["c_nationkey"])
+    return representation_feeds(
+        linked, star.countries(), CATEGORY, CATEGORIES, OTHER, sender="c_nationkey", receiver=None,
+        category_col="o_orderstatus", posting_col="o_orderpriority", period_col="period",
+        code="n_nationkey", name="n_name", continent="r_name",
+    )
+
+
+def r1_share_by_state(spark: SparkSession, d: str) -> DataFrame:
+    return _feeds(Star.of(spark, d))["share_by_state"]
+
+
+def r2_counts_with_subtotals(spark: SparkSession, d: str) -> DataFrame:
+    return _feeds(Star.of(spark, d))["counts_with_subtotals"]
+
+
+def r3_state_by_period(spark: SparkSession, d: str) -> DataFrame:
+    return _feeds(Star.of(spark, d))["state_by_period"]
+
+
+def r4_share_by_period(spark: SparkSession, d: str) -> DataFrame:
+    return _feeds(Star.of(spark, d))["share_by_period"]
+
+
+def r5_parity_by_state(spark: SparkSession, d: str) -> DataFrame:
+    return _feeds(Star.of(spark, d))["parity_by_state"].select("n_name", "r_name", "n_numerator", "n_denominator", "ratio")
+
+
 # ---------------------------------------------------------------- P, Q: cleaning and checks
 
 
@@ -471,6 +566,16 @@ QUERIES: dict[str, Query] = {
     "j3_active_members": j3_active_members,
     "j4_inactive_members": j4_inactive_members,
     "j5_complete": j5_complete,
+    "s2_reloaded_rows": s2_reloaded_rows,
+    "s3_loaded_rows": s3_loaded_rows,
+    "s4_texts_round_trip": s4_texts_round_trip,
+    "c1_read_countries": c1_read_countries,
+    "c2_country_issues": c2_country_issues,
+    "r1_share_by_state": r1_share_by_state,
+    "r2_counts_with_subtotals": r2_counts_with_subtotals,
+    "r3_state_by_period": r3_state_by_period,
+    "r4_share_by_period": r4_share_by_period,
+    "r5_parity_by_state": r5_parity_by_state,
     "a1_count_by": a1_count_by,
     "a2_share_by": a2_share_by,
     "a3_parity_ratio": a3_parity_ratio,
@@ -633,10 +738,11 @@ c AS (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS period,
 y AS (SELECT CAST(unnest(generate_series((SELECT min(year(o_orderdate)) FROM orders),
                                          (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS period),
 g AS (SELECT DISTINCT n_name FROM countries)
-SELECT g.n_name, y.period,
+SELECT CASE WHEN k.inside THEN k.n_name ELSE c.n_name END AS n_name, CASE WHEN k.inside THEN k.period ELSE c.period END AS period,
        CAST(coalesce(c.n_pending, 0) AS BIGINT) AS n_pending,
        CAST(coalesce(c.n_urgent, 0) AS BIGINT) AS n_urgent
-FROM g CROSS JOIN y LEFT JOIN c ON c.n_name = g.n_name AND c.period = y.period""",
+FROM (SELECT g.n_name, y.period, true AS inside FROM g CROSS JOIN y) k
+FULL JOIN c ON c.n_name = k.n_name AND c.period = k.period""",
     "a1_count_by": f"""
 WITH {_COUNTRIES}
 SELECT n_name, o_orderstatus, count(*) AS n FROM {_BY_SENDER} GROUP BY ALL""",
@@ -752,7 +858,59 @@ SELECT *, 'new' AS side, count(*) AS n FROM (SELECT * FROM new_v EXCEPT ALL SELE
 WITH {_COUNTRIES},
 sh AS (SELECT r_name, n_name, {_SHARE} FROM {_BY_SENDER} GROUP BY r_name, n_name)
 SELECT r_name, n_name, n_total, n_category, share,
-       CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY share DESC) AS INTEGER) AS rank
+       CASE WHEN r_name IS NOT NULL THEN
+         CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY share DESC) AS INTEGER) END AS rank
+FROM sh""",
+    "s2_reloaded_rows": """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority,
+       CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price,
+       CASE WHEN o_orderstatus = 'P' THEN 'bad o_totalprice' END AS _reject_reason
+FROM orders""",
+    "s3_loaded_rows": "SELECT *, CAST(year(o_orderdate) AS INTEGER) AS period FROM orders",
+    "s4_texts_round_trip": r"""
+SELECT c_custkey, CASE c_custkey % 6
+    WHEN 0 THEN 'say "' || c_name || '" ok' WHEN 1 THEN '  a;b ' || c_name || '  '
+    WHEN 2 THEN c_name || chr(10) || c_mktsegment WHEN 3 THEN '' WHEN 4 THEN 'back\slash ' || c_name END AS text
+FROM customer""",
+    "c1_read_countries": """
+SELECT upper(substr(n_name, 1, 3)) AS country_code, n_name AS country_name, CAST(n_regionkey AS INTEGER) AS continent_code FROM nation""",
+    "c2_country_issues": """
+WITH n AS (SELECT upper(substr(n_name, 1, 3)) AS code, n_name AS name, n_regionkey AS r FROM nation)
+SELECT code AS country_code, 'code pattern' AS issue, count(*) AS n FROM n WHERE NOT regexp_matches(code, '^[A-Z]{3}$') GROUP BY code
+UNION ALL SELECT code, 'unknown continent', count(*) FROM n WHERE r NOT BETWEEN 2 AND 8 GROUP BY code
+UNION ALL SELECT code, 'repeated code', count(*) FROM n GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT min(code), 'repeated name', count(*) FROM n GROUP BY name HAVING count(*) > 1""",
+    "r1_share_by_state": f"""
+WITH {_COUNTRIES},
+sh AS (SELECT r_name, n_name, {_SHARE} FROM {_BY_SENDER} GROUP BY r_name, n_name)
+SELECT r_name, n_name, n_total, n_category, share,
+       CASE WHEN r_name IS NOT NULL THEN
+         CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY share DESC) AS INTEGER) END AS rank
 FROM sh""",
+    "r2_counts_with_subtotals": f"""
+{_NATION_COUNTS}
+SELECT r_name, n_name, CAST(sum(n) AS BIGINT) AS n,
+       CAST(grouping(r_name) AS INTEGER) AS g_r_name, CAST(grouping(n_name) AS INTEGER) AS g_n_name
+FROM c GROUP BY ROLLUP (r_name, n_name)""",
+    "r3_state_by_period": f"""
+WITH {_COUNTRIES},
+c AS (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS period, count(*) AS n FROM {_BY_SENDER} GROUP BY ALL),
+y AS (SELECT CAST(unnest(generate_series((SELECT min(year(o_orderdate)) FROM orders),
+                                         (SELECT max(year(o_orderdate)) FROM orders))) AS INTEGER) AS period),
+k AS (SELECT n_name, period, true AS inside FROM (SELECT DISTINCT n_name FROM countries) CROSS JOIN y)
+SELECT CASE WHEN k.inside THEN k.n_name ELSE c.n_name END AS n_name, CASE WHEN k.inside THEN k.period ELSE c.period END AS period,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM k FULL JOIN c ON c.n_name = k.n_name AND c.period = k.period""",
+    "r4_share_by_period": f"""
+WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS period, {_SHARE} FROM orders GROUP BY ALL)
+SELECT s.*, p.share AS previous, s.share - p.share AS change FROM s LEFT JOIN s p ON p.period = s.period - 1""",
+    "r5_parity_by_state": f"""
+WITH {_COUNTRIES}
+SELECT n_name, r_name,
+       count(*) FILTER (WHERE o_orderstatus = 'F') AS n_numerator,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS n_denominator,
+       CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE)
+         / NULLIF(CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE), 0) AS ratio
+FROM {_BY_SENDER} GROUP BY n_name, r_name""",
 }
 
