@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark import TaskContext
 
 from legation.llm.common import cut, text_of
 
@@ -39,15 +38,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     partition's first or last row; such runs are marked ``edge``. Holds the ids
     of the current run only.
     """
-    part = TaskContext.get().partitionId()
-    names = ("id", "keep", "size", "sha", "head", "edge", "part")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int32())
+    names = ("id", "keep", "size", "sha", "head", "edge")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
     rows: list[list] = [[] for _ in names]
     text, ids, first, last, tail = None, [], None, None, 0
 
     def flush() -> None:
         n, sha = len(ids), hashlib.sha256(text).hexdigest()
-        for column, value in zip(rows, (ids, [ids[0]] * n, [n] * n, [sha] * n, [True] + [False] * (n - 1), [last == first] * n, [part] * n)):
+        for column, value in zip(rows, (ids, [ids[0]] * n, [n] * n, [sha] * n, [True] + [False] * (n - 1), [last == first] * n)):
             column.extend(value)
 
     def taken() -> pa.RecordBatch:
@@ -77,7 +75,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield taken()
 
 
-_RUN_ROWS = "id long, keep long, size long, sha string, head boolean, edge boolean, part int"
+_RUN_ROWS = "id long, keep long, size long, sha string, head boolean, edge boolean"
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,16 +93,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = source.select(F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"), "text", "id")
     dealt = source.repartitionByRange("lead", "hash", key).sortWithinPartitions("lead", "hash", text, key)
     runs = dealt.select("hash", "text", "id").mapInArrow(_runs, _RUN_ROWS)
-    runs = cut(runs)
+    runs = cut(runs, narrow=True)
     edges = runs.filter("head and edge").groupBy("sha").agg(
         F.count(F.lit(1)).alias("n_parts"),
-        F.min("part").alias("first_part"),
         F.min("keep").alias("whole_keep"),
         F.sum("size").alias("whole_size"),
     )
     # A text or two per partition stand at a border, whatever the number of rows.
     spanning = edges.filter("n_parts > 1").select(
-        F.col("sha").alias("edge_sha"), "first_part", "whole_keep", "whole_size"
+        F.col("sha").alias("edge_sha"), "whole_keep", "whole_size"
     )
     out = runs.join(F.broadcast(spanning), runs["sha"] == spanning["edge_sha"], "left")
     across = F.col("edge_sha").isNotNull()
@@ -112,7 +109,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("id").alias(id_col),
         F.when(across, F.col("whole_keep")).otherwise(F.col("keep")).alias("keep_id"),
         F.when(across, F.col("whole_size")).otherwise(F.col("size")).alias("group_size"),
-        (F.col("head") & (~across | (F.col("part") == F.col("first_part")))).alias("kept"),
+        # Rows with one text and id share a partition, so one head has the smallest id.
+        (F.col("head") & (~across | F.col("keep").eqNullSafe(F.col("whole_keep")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

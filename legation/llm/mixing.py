@@ -178,9 +178,9 @@ def mix_sources(
 
     # Two histogram levels of ten bits narrow the cut down to a millionth of a pattern.
     first, second = F.shiftright("u", 50), F.shiftright("u", 40).bitwiseAND(F.lit(1023))
-    cut1 = cut(_cut_bucket(sized, first, passes.select("pattern", "rest"), 1))
+    cut1 = cut(_cut_bucket(sized, first, passes.select("pattern", "rest"), 1), narrow=True)
     inside = sized.join(F.broadcast(cut1.select("pattern", "cut1")), "pattern").filter(first == F.col("cut1"))
-    cut2 = cut(_cut_bucket(inside, second, cut1.select("pattern", "rest"), 2))
+    cut2 = cut(_cut_bucket(inside, second, cut1.select("pattern", "rest"), 2), narrow=True)
     cuts = cut1.select("pattern", "cut1").join(cut2, "pattern")  # a row per pattern
     placed = sized.join(F.broadcast(passes.select("pattern", "passes")), "pattern", "left").join(
         F.broadcast(cuts), "pattern", "left"

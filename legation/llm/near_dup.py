@@ -272,7 +272,7 @@ def near_duplicates(
     # Key tables are written before they are joined back, so that a hot key's rows can be split.
     groups = cut(named.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
     member = named.join(groups.select(F.col("same").alias("of"), "rep"), F.col("same") == F.col("of"), "left")
-    member = cut(member.select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("bands")).alias("bands")))
+    member = cut(member.select("id", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("bands")).alias("bands")), narrow=True)
     buckets = member.select("id", F.explode("bands").alias("bucket"))
 
     pivots = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(_MASKS)]
@@ -283,7 +283,7 @@ def near_duplicates(
     texts = source.filter("id is not null").join(inside.select("id").distinct(), "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))
     pairs = inside.select("id", F.explode("pivots").alias("pivot")).filter("id != pivot")
-    tried = cut(_verified(pairs.select(*_pairs("id", "pivot")).distinct(), texts, k, threshold))
+    tried = cut(_verified(pairs.select(*_pairs("id", "pivot")).distinct(), texts, k, threshold), narrow=True)
 
     open_ = _open_buckets(inside.select("bucket", "id").distinct(), tried)
     if not open_.isEmpty():
@@ -304,7 +304,7 @@ def _complete(open_: DataFrame, tried: DataFrame, texts: DataFrame, k: int, thre
     left = texts.join(open_.select("id").distinct(), "id", "left_semi")
     parts = _own_parts(left, k).join(_bitmaps(left, k), "id")
     # A text with more than the threshold leaves for itself alone has no link at all.
-    parts = cut(parts.filter((F.col("n") - F.col("u") >= threshold * F.col("n") - 1e-9) | (1 - F.col("mass") >= threshold - 1e-9)))
+    parts = cut(parts.filter((F.col("n") - F.col("u") >= threshold * F.col("n") - 1e-9) | (1 - F.col("mass") >= threshold - 1e-9)), narrow=True)
     known = _known(open_, parts)
     hub = known.groupBy("bucket").agg(F.min(F.struct("mass", *(c for c in _PARTNER if c != "mass"))).alias("h"))
     second = _untried(known, hub.select("bucket", *_partner("h.")), tried, threshold, everyone=False)
@@ -357,7 +357,7 @@ def _untried(known: DataFrame, partners: DataFrame, tried: DataFrame, threshold:
 def _result(hashed: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
     out = cut(hashed.select("id").join(placed, "id", "left").select(
         "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    ))
+    ), narrow=True)
     sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
     sizes = cut(sizes.withColumnRenamed("class_id", "of"), narrow=True)
     one = F.lit(1).cast("long")

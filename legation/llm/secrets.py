@@ -83,7 +83,7 @@ def secret_candidates(
         "row", "owner", "repo", "kind", "rank", (F.col("end") - F.col("m.span")).alias("start"), "end",
         F.col("m.variety").alias("variety"), F.col("m.hash").alias("hash"),
     )
-    return rows, cut(spans)
+    return rows, cut(spans, narrow=True)
 
 
 def ownership(spans: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def url_verdicts(
     """
     captures = captures.select(F.col(id_col), F.col(url_col).cast("string").alias(url_col), F.col(time_col).cast("long").alias(time_col))
     dated = changes.filter("key is not null and at is not null").select(*STREAM, F.col("at").cast("long").alias("at"), "action")
-    dated = cut(dated.groupBy(*STREAM, "at").agg((~F.bool_or(F.col("action") == "remove")).alias("active")))
+    dated = cut(dated.groupBy(*STREAM, "at").agg((~F.bool_or(F.col("action") == "remove")).alias("active")), narrow=True)
     asked = captures.filter(F.col(url_col).isNotNull() & F.col(time_col).isNotNull()).select(F.col(url_col).alias("u"), F.col(time_col).alias("at")).distinct()
     keyed = asked.select("u", "at", F.explode(list_keys(F.col("u"))).alias("key"))
     lookups = keyed.select("key", "at").distinct().join(dated.select(*STREAM).distinct(), "key")

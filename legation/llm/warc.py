@@ -121,7 +121,7 @@ def write_archives(
     digest = F.sha2(F.col("payload").cast("binary"), 256)
     long_enough = source.filter((F.octet_length("payload") >= min_bytes) & F.col("id").isNotNull())
     repeated = long_enough.groupBy(digest.alias("digest")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    repeated = cut(repeated.filter("first < last").select("digest", "first"))
+    repeated = cut(repeated.filter("first < last").select("digest", "first"), narrow=True)
     if repeated.limit(broadcast_rows + 1).count() <= broadcast_rows:
         repeated = F.broadcast(repeated)  # some 10 MB at most; beyond that the join shuffles
     enough = F.octet_length("payload") >= min_bytes
@@ -192,7 +192,7 @@ def build_index(entries: DataFrame, folder: str, block_entries: int = 1000) -> l
 
     order = (F.col("key"), F.col("id").asc_nulls_last())
     files = entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _ENTRY)
-    top = [tuple(row) for row in cut(files).collect()]  # a row per index file
+    top = [tuple(row) for row in cut(files, narrow=True).collect()]  # a row per index file
     return sorted(top, key=lambda row: _sort_key(row[0], row[1]))
 
 
