@@ -21,13 +21,15 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
 
     Later steps read the written rows, so a lost executor costs a re-read and
     never a second run of what came before. ``narrow`` marks results of small
-    rows after a shuffle: they are written as fewer part files (an eighth of
-    the shuffle partitions, four per core at least).
+    rows after a shuffle: where the shuffle has far more partitions than
+    cores, they are written as an eighth as many part files.
     """
     spark = df.sparkSession
     shared_dir(spark)  # names the shared folder for the context if it is unset
-    if narrow:
-        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = max(4 * spark.sparkContext.defaultParallelism, partitions // 8)
+    if narrow and partitions > 4 * few:
+        df = df.coalesce(few)
     return df.checkpoint()
 
 
