@@ -47,6 +47,7 @@ class UnigramCounter:
     def __init__(self, vocabulary: list[tuple[str, float]], memory: int = 200_000):
         self.automaton = ahocorasick.Automaton()
         self.single = set()
+        self.longest = max((len(piece) for piece, _ in vocabulary), default=0)
         for piece, score in vocabulary:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
@@ -70,27 +71,29 @@ class UnigramCounter:
         return found
 
     def _segment(self, text: str) -> tuple[int, int, float]:
-        n = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if len(self.automaton):
-            for end, piece in self.automaton.iter(text):  # longest piece, so earliest start, first
-                ending[end].append(piece)
-        score, tokens, unknown = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            best = None
-            for size, gain in ending[end - 1]:
-                total = score[end - size] + gain
+        # Only the places a piece can reach back to are held, so a text without spaces costs no more memory.
+        held = min(len(text), self.longest) + 1
+        score, tokens, unknown = [0.0] * held, [0] * held, [0] * held
+        # At each end the longest piece, so the earliest start, comes first.
+        found = self.automaton.iter(text) if len(self.automaton) else iter(())
+        last, piece = next(found, (-1, None))
+        now = 0
+        for place, char in enumerate(text):
+            best, was = None, now
+            now = now + 1 if now + 1 < held else 0
+            while last == place:
+                size, gain = piece
+                total = score[now - size] + gain  # a negative index counts from the ring's end
                 if best is None or total > best:
-                    best, start, extra = total, end - size, 0
-            char = text[end - 1]
+                    best, start, extra = total, now - size, 0
+                last, piece = next(found, (-1, None))
             if char not in self.single:
-                total = score[end - 1] + self.unknown
+                total = score[was] + self.unknown
                 if best is None or total > best:
-                    best, start, extra = total, end - 1, len(char.encode("utf-8", "surrogatepass"))
-            score[end] = best
-            tokens[end] = tokens[start] + (extra or 1)
-            unknown[end] = unknown[start] + extra
-        return tokens[n], unknown[n], score[n]
+                    best, start, extra = total, was, len(char.encode("utf-8", "surrogatepass"))
+            count, bytes_ = tokens[start] + (extra or 1), unknown[start] + extra
+            score[now], tokens[now], unknown[now] = best, count, bytes_
+        return tokens[now], unknown[now], score[now]
 
     def count(self, text: str) -> tuple[int, int, float]:
         """(tokens, tokens from unknown characters, score) of a whole text."""
