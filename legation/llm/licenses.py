@@ -85,7 +85,9 @@ def evaluate(expression: str) -> tuple[float, set[str]] | None:
             values.append((min(1.0, left[0] + EXCEPTION_GAIN), left[1]))
         else:
             pick = max if op == "or" else min
-            values.append((pick(left[0], right[0]), left[1] | right[1]))
+            few, many = sorted((left[1], right[1]), key=len)
+            many |= few  # in place: a long chain of licences stays linear
+            values.append((pick(left[0], right[0]), many))
 
     for token in _TOKEN.findall(expression):
         word = token.lower()
@@ -130,11 +132,15 @@ class Scanner:
         words = text.encode("utf-8", "replace").translate(_FOLD).split()
         folded = (b" " + b" ".join(words) + b" ").decode("latin-1")
         places, base_labels, labels, freedom, tagged = [], set(), set(), [], False
+        at = before = 0  # spaces before a place, counted on from the last match
         for end, (phrase, base, notice) in self.automaton.iter(folded):
             if phrase == TAG:
                 tagged = True
             if base is not None:
-                places.append(folded.count(" ", 0, end + 1 - len(phrase) - 1) - 1)
+                start = end - len(phrase)
+                before += folded.count(" ", at, start) - folded.count(" ", start, at)
+                at = start
+                places.append(before - 1)
                 base_labels.add(base)
             label = base if base is not None else notice
             if label is not None:
