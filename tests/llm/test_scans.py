@@ -47,6 +47,22 @@ def test_ties_keep_the_longest_last_piece():
     assert [mine.count(t)[0] for t in texts] == [count(t) for t in texts]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_long_chunks_against_all_prefix_scores(seed):
+    r = random.Random(seed)
+    small = [(p, -float(r.randint(1, 6))) for p in ("▁", "a", "b", "c", "ab", "abc", "bca", "cccc", "▁a", "abcab")]
+    pieces_, low = dict(small), min(s for _, s in small) - 10.0
+    for text in ["▁" + "".join(r.choice("abcd") for _ in range(n)) for n in (0, 1, 2, 5, 40, 700)]:
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            ways = [(best[i][0] + pieces_[text[i:end]], best[i][1] + 1) for i in range(max(0, end - 5), end) if text[i:end] in pieces_]
+            if text[end - 1] not in pieces_:
+                ways.append((best[end - 1][0] + low, best[end - 1][1] + 1))
+            best.append(max(ways, key=lambda w: w[0]))  # the first of equals: the earliest start
+        tokens, _, score = UnigramCounter(small).chunk(text)
+        assert (tokens, score) == (best[-1][1], best[-1][0])
+
+
 def test_token_rows(spark, messy):
     vocabulary = [("▁", -1.0), ("same", -2.0), ("text", -2.0), ("here", -2.0)]
     out = token_counts(messy, vocabulary)
@@ -93,6 +109,16 @@ def test_expressions():
     assert scanned[4:8] == ("mit", "apache-2,mit", 1.0, 1)
 
 
+def test_many_places_and_licences_in_one_text():
+    scanner = Scanner(BASE_PHRASES, NOTICE_PHRASES)
+    got = scanner.scan("a under the mit license apache license version 2 cc by nc " * 20_000)
+    assert got[:4] == (12 * 20_000, 60_000, 1, 12 * 20_000 - 3)
+    chain = " OR ".join(f"(Licence-{i} AND MIT)" for i in range(20_000))
+    free, labels = evaluate(chain)
+    assert free == 0.4 and len(labels) == 20_001
+    assert evaluate("A-1 OR (B-1 AND (C-1 OR D-1))")[1] == {"a-1", "b-1", "c-1", "d-1"}
+
+
 def test_license_rows(spark, messy):
     out = license_scan(messy)
     got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
