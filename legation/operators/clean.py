@@ -151,6 +151,7 @@ def profile(
     patterns: Mapping[str, str] | None = None,
     columns: Sequence[str] | None = None,
     approx: bool = False,
+    codes: Sequence[str] = (),
 ) -> DataFrame:
     """Q1: one row per column with row, null, distinct and pattern-miss counts.
 
@@ -159,7 +160,10 @@ def profile(
     (de-duplicated map-side, then counted): this shuffles one narrow column
     at a time, where a multi-distinct aggregate would expand every row once
     per column. ``approx`` uses HyperLogLog++ sketches in the single pass
-    instead. With ``key``, a row named ``key(a,b)`` gives the number of
+    instead. Columns named in ``codes`` (few distinct values each) share one
+    pass: rows are counted per combination of their values, which combines in
+    the map tasks, and all their figures come from those few counts. With
+    ``key``, a row named ``key(a,b)`` gives the number of
     distinct key tuples without a null part. ``n_pattern_miss`` counts
     non-null values not matching the column's regular expression (null when
     no pattern is given).
@@ -176,7 +180,21 @@ def profile(
 
     aggs = [F.count(F.lit(1)).alias("__rows")]
     distincts: dict[str, Column] = {}
+    few = [(i, c) for i, c in enumerate(cols) if c in set(codes) and not approx]
+    if few:
+        combinations = df.groupBy(*[F.col(c).alias(f"__c{i}") for i, c in few]).agg(F.count(F.lit(1)).alias("__n"))
+        facts = []
+        for i, c in few:
+            value = F.col(f"__c{i}")
+            miss = F.lit(None).cast("bigint")
+            if c in patterns:
+                miss = F.coalesce(F.sum(F.when(~value.cast("string").rlike(patterns[c]), F.col("__n"))), F.lit(0))
+            nn = F.coalesce(F.sum(F.when(value.isNotNull(), F.col("__n"))), F.lit(0))
+            facts += [nn.alias(f"nn{i}"), miss.alias(f"m{i}"), F.count_distinct(value).alias(f"d{i}")]
+        distincts["__few"] = combinations.agg(F.struct(*facts).alias("facts")).scalar()
     for i, c in enumerate(cols):
+        if (i, c) in few:
+            continue
         aggs.append(F.count(F.col(c)).alias(f"__nn{i}"))
         if c in patterns:
             miss = F.count_if(~F.col(c).cast("string").rlike(patterns[c]))
@@ -195,6 +213,7 @@ def profile(
     wide = df.agg(*aggs)
     if distincts:
         wide = wide.withColumns(distincts)
+        wide = wide.withColumns({f"__{fact}{i}": F.col(f"__few.{fact}{i}") for i, _ in few for fact in ("nn", "m", "d")})
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),

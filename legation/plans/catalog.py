@@ -343,7 +343,7 @@ def q1_profile(spark: SparkSession, d: str) -> DataFrame:
         lines,
         key=["l_orderkey", "l_linenumber"],
         patterns={"l_returnflag": "^[ANR]$", "l_linestatus": "^[OF]$"},
-        columns=["l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus"],
+        codes=["l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"],
     )
 
 
@@ -686,10 +686,25 @@ WHERE o_orderstatus IN ('F', 'O')
 SELECT 'l_orderkey' AS column_name, count(*) AS n_rows, count(*) - count(l_orderkey) AS n_nulls,
        count(DISTINCT l_orderkey) AS n_distinct, CAST(NULL AS BIGINT) AS n_pattern_miss FROM lineitem
 UNION ALL
+SELECT 'l_partkey', count(*), count(*) - count(l_partkey), count(DISTINCT l_partkey),
+       CAST(NULL AS BIGINT) FROM lineitem
+UNION ALL
+SELECT 'l_suppkey', count(*), count(*) - count(l_suppkey), count(DISTINCT l_suppkey),
+       CAST(NULL AS BIGINT) FROM lineitem
+UNION ALL
 SELECT 'l_linenumber', count(*), count(*) - count(l_linenumber), count(DISTINCT l_linenumber),
        CAST(NULL AS BIGINT) FROM lineitem
 UNION ALL
-SELECT 'l_shipdate', count(*), count(*) - count(l_shipdate), count(DISTINCT l_shipdate),
+SELECT 'l_quantity', count(*), count(*) - count(l_quantity), count(DISTINCT l_quantity),
+       CAST(NULL AS BIGINT) FROM lineitem
+UNION ALL
+SELECT 'l_extendedprice', count(*), count(*) - count(l_extendedprice), count(DISTINCT l_extendedprice),
+       CAST(NULL AS BIGINT) FROM lineitem
+UNION ALL
+SELECT 'l_discount', count(*), count(*) - count(l_discount), count(DISTINCT l_discount),
+       CAST(NULL AS BIGINT) FROM lineitem
+UNION ALL
+SELECT 'l_tax', count(*), count(*) - count(l_tax), count(DISTINCT l_tax),
        CAST(NULL AS BIGINT) FROM lineitem
 UNION ALL
 SELECT 'l_returnflag', count(*), count(*) - count(l_returnflag), count(DISTINCT l_returnflag),
@@ -698,6 +713,9 @@ UNION ALL
 SELECT 'l_linestatus', count(*), count(*) - count(l_linestatus), count(DISTINCT l_linestatus),
        count(*) FILTER (WHERE NOT regexp_matches(l_linestatus, '^[OF]$')) FROM lineitem
 UNION ALL
+SELECT 'l_shipdate', count(*), count(*) - count(l_shipdate), count(DISTINCT l_shipdate),
+       CAST(NULL AS BIGINT) FROM lineitem
+UNION ALL
 SELECT 'key(l_orderkey,l_linenumber)', count(*), CAST(NULL AS BIGINT),
        count(DISTINCT (l_orderkey, l_linenumber)), CAST(NULL AS BIGINT) FROM lineitem""",
     "q2_duplicate_keys": """

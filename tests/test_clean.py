@@ -103,6 +103,18 @@ def test_profile(spark):
     assert approx == {"code": 3, "group": 2}
 
 
+def test_profile_shares_a_pass_for_codes(spark):
+    rows = [(i, "ab"[i % 2] if i % 5 else None, i % 3 if i % 7 else None, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, code string, kind int, same string")
+    options = {"key": "id", "patterns": {"code": "^a$", "same": "^x$"}}
+    plain = profile(df, **options)
+    shared = profile(df, codes=["code", "kind", "same"], **options)
+    assert shared.schema == plain.schema
+    assert sorted(shared.collect(), key=str) == sorted(plain.collect(), key=str)
+    none = profile(df.limit(0), codes=["code", "kind"], **options).collect()
+    assert sorted(none, key=str) == sorted(profile(df.limit(0), **options).collect(), key=str)
+
+
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([("A", 1), ("A", 1), ("A", 2), ("B", 1)], "k string, v int")
     assert rows(duplicate_keys(df, ["k", "v"])) == [("A", 1, 2)]
