@@ -52,9 +52,34 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 3) ->
     """Min-cost flow: words of pattern i that go to source s, as ``{(i, s): words}``.
 
     Pass r of a pattern costs 2**r per word, so first passes fill up before
-    second ones. Successive cheapest paths with potentials; the network has
-    one node per pattern and source.
+    second ones. Sources that no chain of patterns links are networks of their
+    own, so many sources without overlap cost no more than their number.
     """
+    above = {s: s for s in quotas}
+
+    def top(s):
+        while above[s] != s:
+            above[s] = s = above[above[s]]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            above[top(s)] = top(members[0])
+    linked: dict = {}
+    for i, (members, _) in enumerate(patterns):
+        if members:
+            linked.setdefault(top(members[0]), ([], []))[0].append(i)
+    for s in quotas:
+        linked.setdefault(top(s), ([], []))[1].append(s)
+    out = {}
+    for numbers, sources in linked.values():
+        flow = _route_linked([patterns[i] for i in numbers], {s: quotas[s] for s in sources}, repeats)
+        out.update({(numbers[i], s): words for (i, s), words in flow.items()})
+    return out
+
+
+def _route_linked(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int) -> dict[tuple[int, object], int]:
+    """Successive cheapest paths with potentials; the network has one node per pattern and source."""
     sources = list(quotas)
     base = 1 + len(patterns)
     sink = base + len(sources)
@@ -127,7 +152,7 @@ def mix_sources(
     text_col: str = "text",
     repeats: int = 3,
     seed: str = "mix",
-    max_patterns: int = 10_000,
+    max_patterns: int = 100_000,
 ) -> tuple[DataFrame, dict]:
     """``(rows, targets)``: one row ``id, pattern, size, taken`` per document.
 
@@ -164,7 +189,10 @@ def mix_sources(
     names = {s for members, _ in patterns for s in members}
     order = sorted((s for s in names if s is not None)) + [None] * (None in names)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    sizes = {s: sum(words for members, words in patterns if s in members) for s in order}
+    sizes = dict.fromkeys(order, 0)
+    for members, words in patterns:
+        for s in members:
+            sizes[s] += words
     goal = targets(sizes, weight, repeats)
     flow = route(patterns, {s: int(goal[s]) for s in order}, repeats)
     taken = [sum(flow[i, s] for s in members) for i, (members, _) in enumerate(patterns)]
