@@ -106,6 +106,25 @@ def test_flow_over_overlapping_sources():
     assert cost == 40 + 2 * 28
 
 
+def test_flow_by_linked_sources_is_the_whole_flow():
+    r = random.Random(3)
+    for _ in range(60):
+        sources = [f"s{i}" for i in range(r.randint(1, 7))] + [None]
+        patterns = [(tuple(r.sample(sources, r.randint(0, min(3, len(sources))))), r.choice([0, 1, 7, 40])) for _ in range(r.randint(0, 8))]
+        quotas = {s: r.choice([0, 3, 20, 90]) for s in sources}
+        parts, whole = mixing.route(patterns, quotas), mixing._route_linked(patterns, quotas, 3)
+        assert parts.keys() == whole.keys()
+
+        def price(flow):
+            taken = [sum(v for (i, _), v in flow.items() if i == p) for p in range(len(patterns))]
+            return sum(taken), sum((1 << n) * max(0, min(w, t - n * w)) for t, (_, w) in zip(taken, patterns) for n in range(3))
+
+        assert price(parts) == price(whole)
+    many = {f"s{i}": 30 for i in range(20_000)}
+    flow = mixing.route([((s,), 20) for s in many], many)
+    assert len(flow) == 20_000 and set(flow.values()) == {30}
+
+
 def test_mix_rows(spark, messy):
     docs = [(i, prose(i, 1 + i * 7 % 90), f"s{i % 5}" if i % 3 else "s0") for i in range(500)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
