@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words the mix takes of every remaining document."""
-    return mix_by_source(docs)
+    return mix_by_source(docs, fill=True)
 
 
 STAGES = [

@@ -6,7 +6,8 @@ sources; every further repetition of a pattern costs more than the last, so
 words are repeated only where a quota needs it, and evenly. Whole passes over
 a pattern take every document; the rest of its flow takes documents in a
 seeded order up to the cut, which is found by histogram, never by sorting a
-pattern in one task.
+pattern in one task. With ``fill`` the cut is repeated over the documents that
+still fit, and subset sums over a small pool of each pattern close the rest.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import heapq
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,6 +146,129 @@ def _cut_bucket(rows: DataFrame, bucket: Column, left: DataFrame, level: int) ->
     )
 
 
+def _mark(rows: DataFrame, left: DataFrame, keep: tuple) -> DataFrame:
+    """``keep`` and ``chosen``: 1 for the rows of each pattern that come first in seeded order and fit its ``rest``."""
+    # Two histogram levels of ten bits narrow the cut down to a millionth of a pattern.
+    first, second = F.shiftright("u", 50), F.shiftright("u", 40).bitwiseAND(F.lit(1023))
+    cut1 = cut(_cut_bucket(rows, first, left.select("pattern", "rest"), 1), narrow=True)
+    inside = rows.join(F.broadcast(cut1.select("pattern", "cut1")), "pattern").filter(first == F.col("cut1"))
+    cut2 = cut(_cut_bucket(inside, second, cut1.select("pattern", "rest"), 2), narrow=True)
+    cuts = cut1.select("pattern", "cut1").join(cut2, "pattern")  # a row per pattern
+    placed = rows.join(F.broadcast(left.withColumnRenamed("rest", "whole")), "pattern", "left").join(
+        F.broadcast(cuts), "pattern", "left"
+    )
+    last = (first == F.col("cut1")) & (second == F.col("cut2"))
+    before = (first < F.col("cut1")) | ((first == F.col("cut1")) & (second < F.col("cut2")))
+    running = Window.partitionBy("pattern").orderBy("u", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    within = placed.filter(last).withColumn("upto", F.sum("size").over(running))
+    within = within.withColumn("chosen", (F.col("upto") <= F.col("rest")).cast("long"))
+    # Without a cut the rest, if any, holds every row.
+    decided = placed.filter(~F.coalesce(last, F.lit(False))).withColumn("chosen", F.coalesce(before, F.col("whole") > 0).cast("long"))
+    return cut(reduce(DataFrame.union, [x.select(*keep, "chosen") for x in (decided, within)]))
+
+
+def best_fill(sizes: list[int], room: int, copies: int) -> list[int]:
+    """How often to take each of ``sizes``, ``copies`` times at most, for the largest total within ``room``.
+
+    Of equal totals, one that needs the fewest copies of a size, then the
+    first sizes.
+    """
+    by = np.full(room + 1, -1, np.int32)  # the step that first reached each total
+    reached = np.zeros(room + 1, bool)
+    reached[0] = True
+    for step in range(copies * len(sizes)):
+        size = sizes[step % len(sizes)]
+        if reached[room]:
+            break
+        if 0 < size <= room:
+            new = reached[:-size] & ~reached[size:]
+            by[size:][new] = step
+            reached[size:] |= new
+    out, total = [0] * len(sizes), int(np.flatnonzero(reached)[-1])
+    while total:
+        at = by[total] % len(sizes)
+        out[at] += 1
+        total -= sizes[at]
+    return out
+
+
+def _close(pool: list, gap: int, copies: int, most_words: int) -> list[tuple[int, int]]:
+    """``(row, times)`` for the documents of a pattern's pool, chosen anew together with the gap."""
+    pool = sorted(pool, key=lambda d: (d["u"], d["size"], d["row"]))
+    room, open_ = gap, []
+    for i in sorted(range(len(pool)), key=lambda i: pool[i]["size"]):
+        chosen = pool[i]["size"] * pool[i]["chosen"]
+        if room + chosen <= most_words:
+            room += chosen
+            open_.append(i)
+    if gap > most_words:
+        return []
+    open_.sort()
+    times = best_fill([pool[i]["size"] for i in open_], room, copies)
+    return [(pool[i]["row"], n) for i, n in zip(open_, times)]
+
+
+def _per_pattern(spark, rows: list, columns: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, f"pattern string, {columns}"))
+
+
+def _go_on(marked: DataFrame, gaps: dict[str, int], level: int, repeats: int) -> tuple[DataFrame, dict[str, int]]:
+    """The cut again over documents taken ``level`` times that still fit, until none does; and what is left then."""
+    gaps, open_, more, columns = dict(gaps), gaps, [], ("row", "id", "pattern", "size", "u")
+    spare = marked.filter((F.col("chosen") == level) & (F.col("passes") + level < repeats) & (F.col("size") > 0)).select(*columns)
+    while open_:
+        left = _per_pattern(marked.sparkSession, list(open_.items()), "rest long")
+        spare = cut(spare.join(left, "pattern").filter("size <= rest").select(*columns), narrow=True)
+        round_ = _mark(spare, left, columns)
+        used = round_.filter("chosen = 1").groupBy("pattern").agg(F.sum("size").alias("used")).collect()
+        for row in used:
+            gaps[row["pattern"]] -= row["used"]
+        if used:
+            more.append(round_.filter("chosen = 1").select(F.col("row").alias("added")))
+        open_ = {row["pattern"]: gaps[row["pattern"]] for row in used if gaps[row["pattern"]] > 0}
+        spare = round_.filter("chosen = 0").select(*columns)
+    if more:
+        added = reduce(DataFrame.union, more)
+        marked = marked.join(added, marked["row"] == added["added"], "left")
+        marked = cut(marked.withColumn("chosen", F.col("chosen") + F.col("added").isNotNull().cast("long")).drop("added"))
+    return marked, gaps
+
+
+def _fill(marked: DataFrame, plan: list[tuple[str, int, int]], counts: dict[str, int], repeats: int, pool: int, most_words: int) -> DataFrame:
+    """``marked`` with ``chosen`` as the number of times a document is taken beside the whole passes."""
+
+    def gaps_of(frame: DataFrame) -> dict[str, tuple[int, int | None]]:
+        """Per pattern below its part: what is left, and the smallest document that could be taken again."""
+        again = F.min(F.when((F.col("size") > 0) & (F.col("passes") + F.col("chosen") < repeats), F.col("size")))
+        facts = frame.groupBy("pattern").agg(F.sum(F.col("size") * F.col("chosen")).alias("used"), again.alias("least")).collect()
+        left = {row["pattern"]: (rest[row["pattern"]] - row["used"], row["least"]) for row in facts}
+        return {p: (gap, least) for p, (gap, least) in left.items() if gap > 0}
+
+    rest, passes = {p: words for p, _, words in plan}, {p: n for p, n, _ in plan}
+    gaps = {p: gap for p, (gap, _) in gaps_of(marked).items()}
+    if not gaps:
+        return marked
+
+    # A pool of each pattern, all of it where it is small, drawn by the low bits of the id's number.
+    # A part of a larger pattern repeats no document here, so that others come first.
+    facts = [(p, gap, repeats - passes[p] if counts[p] <= pool else 1, min(1.0, 2 * pool / counts[p])) for p, gap in gaps.items()]
+    few = marked.filter("size > 0").join(_per_pattern(marked.sparkSession, facts, "gap long, copies long, share double"), "pattern")
+    few = few.withColumn("drawn", F.col("u").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).filter("drawn < share")
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("pattern").orderBy("drawn", "size", "row"))).filter(F.col("n") <= pool)
+    pools = few.groupBy("pattern", "gap", "copies").agg(F.collect_list(F.struct("row", "size", "u", "chosen")).alias("pool"))
+    close = F.udf(lambda docs, gap, copies: _close(docs, gap, copies, most_words), "array<struct<fixed long, times long>>")
+    closed = cut(pools.select(F.inline(close("pool", "gap", "copies"))), narrow=True)
+    marked = marked.join(closed, marked["row"] == closed["fixed"], "left")
+    marked = cut(marked.withColumn("chosen", F.coalesce("times", "chosen")).drop("fixed", "times"))
+
+    # What a pool could not close takes more of the others, repeats last.
+    open_ = {p: gap for p, (gap, least) in gaps_of(marked).items() if least is not None and least <= gap}
+    for level in range(repeats if open_ else 0):
+        marked, open_ = _go_on(marked, open_, level, repeats)
+        open_ = {p: gap for p, gap in open_.items() if gap > 0}
+    return marked
+
+
 def mix_sources(
     docs: DataFrame,
     sources_of: Column,
@@ -153,6 +278,9 @@ def mix_sources(
     repeats: int = 3,
     seed: str = "mix",
     max_patterns: int = 100_000,
+    fill: bool = False,
+    pool: int = 200,
+    most_words: int = 4_000_000,
 ) -> tuple[DataFrame, dict]:
     """``(rows, targets)``: one row ``id, pattern, size, taken`` per document.
 
@@ -164,7 +292,16 @@ def mix_sources(
     times the size. The part of a pattern that is not a whole pass takes
     documents in seeded order as long as they fit, then the largest other
     document that fits what is left: a source's total never exceeds its
-    target and misses it by less than its largest document.
+    target and misses it by less than its largest document. One document that
+    does not fit ends the seeded order, so a small source can miss by much.
+
+    With ``fill`` up to ``pool`` documents of the pattern (all of a pattern no
+    larger, then repeats are allowed) are chosen anew for the largest total
+    that fits: the best there is for patterns of up to ``pool`` documents
+    whose part holds up to ``most_words`` words. A pool with more chosen words
+    keeps its largest chosen documents as they are. Where that leaves room,
+    the seeded order goes on behind documents that do not fit, repeats last:
+    in the end no document that may be taken once more fits what is left.
 
     The driver holds one count per pattern; more than ``max_patterns``
     patterns are refused. Null or blank texts have size 0 and take 0; a
@@ -180,7 +317,9 @@ def mix_sources(
         seeded(F.col(id_col), seed).alias("u"),
         F.monotonically_increasing_id().alias("row"),  # fixed once written
     ))
-    found = sized.groupBy("pattern").agg(F.any_value("members").alias("members"), F.sum("size").alias("words"))
+    found = sized.groupBy("pattern").agg(
+        F.any_value("members").alias("members"), F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("docs")
+    )
     found = found.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -204,23 +343,13 @@ def mix_sources(
     schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("passes", T.LongType()), T.StructField("rest", T.LongType())])
     passes = spark.createDataFrame(plan, schema)
 
-    # Two histogram levels of ten bits narrow the cut down to a millionth of a pattern.
-    first, second = F.shiftright("u", 50), F.shiftright("u", 40).bitwiseAND(F.lit(1023))
-    cut1 = cut(_cut_bucket(sized, first, passes.select("pattern", "rest"), 1), narrow=True)
-    inside = sized.join(F.broadcast(cut1.select("pattern", "cut1")), "pattern").filter(first == F.col("cut1"))
-    cut2 = cut(_cut_bucket(inside, second, cut1.select("pattern", "rest"), 2), narrow=True)
-    cuts = cut1.select("pattern", "cut1").join(cut2, "pattern")  # a row per pattern
-    placed = sized.join(F.broadcast(passes.select("pattern", "passes")), "pattern", "left").join(
-        F.broadcast(cuts), "pattern", "left"
-    )
-    last = (first == F.col("cut1")) & (second == F.col("cut2"))
-    before = (first < F.col("cut1")) | ((first == F.col("cut1")) & (second < F.col("cut2")))
-    running = Window.partitionBy("pattern").orderBy("u", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.filter(last).withColumn("upto", F.sum("size").over(running))
-    within = within.withColumn("chosen", (F.col("upto") <= F.col("rest")).cast("long"))
-    decided = placed.filter(~F.coalesce(last, F.lit(False))).withColumn("chosen", F.coalesce(before.cast("long"), F.lit(0).cast("long")))
-    columns = ("row", "id", "pattern", "members", "size", "u", "passes", "chosen")
-    marked = cut(reduce(DataFrame.union, [x.select(*columns) for x in (decided, within)]))
+    marked = _mark(sized, passes.select("pattern", "rest"), ("row", "id", "pattern", "members", "size", "u"))
+    marked = marked.join(F.broadcast(passes.select("pattern", "passes")), "pattern")
+    if fill:
+        counts = {row["pattern"]: row["docs"] for row in found}
+        marked = _fill(marked, plan, counts, repeats, pool, most_words)
+        rows = marked.select("id", "pattern", "members", "size", (F.col("size") * (F.col("passes") + F.col("chosen"))).alias("taken"))
+        return rows, {"sizes": sizes, "targets": goal}
 
     # One more document per pattern, the largest that still fits, closes the gap before the cut.
     used = marked.groupBy("pattern").agg(F.sum(F.col("size") * F.col("chosen")).alias("used"))
@@ -238,7 +367,8 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: ``<id>, size, source_size, target, taken`` for single-source documents.
 
     Weights, targets, nulls, ties and repeated rows as in :func:`mix_sources`;
-    the null source is a source of its own, ordered last.
+    the null source is a source of its own, ordered last. ``fill`` and other
+    options as there.
     """
     weights = options.pop("weights", [5, 2, 1])
     rows, found = mix_sources(docs, F.array(F.col(source_col).cast("string")), weights, id_col, text_col, **options)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -142,6 +143,43 @@ def test_mix_rows(spark, messy):
     assert mixing.mix_by_source(messy.limit(0)).collect() == []
 
 
+def test_best_fill():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes, room, copies = [r.randint(0, 12) for _ in range(r.randint(1, 5))], r.randint(0, 60), r.randint(1, 3)
+        got = mixing.best_fill(sizes, room, copies)
+        sums = {sum(a * b for a, b in zip(n, sizes)) for n in itertools.product(range(copies + 1), repeat=len(sizes))}
+        assert all(0 <= n <= copies for n in got)
+        assert sum(a * b for a, b in zip(got, sizes)) == max(x for x in sums if x <= room)
+
+
+def misses(out, source):
+    """Per source: words short of the target, and whether a document with a repeat left would still fit."""
+    gap = {}
+    for r in out:
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        s = source[r.doc_id]
+        gap[s] = gap.get(s, int(r.target)) - r.taken
+    return gap, {source[r.doc_id] for r in out if 0 < r.size <= gap[source[r.doc_id]] and r.taken < 3 * r.size}
+
+
+def test_mix_goes_on_behind_a_document_that_does_not_fit(spark):
+    """Each source has one document far longer than the others, in one pool and in several rounds."""
+    docs = [(i, prose(i, 300 if i < 2 else 1 + i * 7 % 50), f"s{i % 2}") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1)
+    source = {d[0]: d[2] for d in docs}
+    assert not any(misses(mixing.mix_by_source(frame, fill=True).collect(), source)[0].values())
+    gap, fits = misses(mixing.mix_by_source(frame, fill=True, pool=3).collect(), source)
+    assert not fits and all(0 <= g < 20 for g in gap.values())
+
+
+@needs_tables
+def test_pipeline_mix_comes_near_its_targets(spark):
+    docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
+    gap, fits = misses(dict(corpus_pipeline.STAGES)["mix"](spark, docs, SMOKE_DIR).collect(), dict(docs.select("doc_id", "source").collect()))
+    assert not fits and gap["src19"] == 0 and sum(gap.values()) < 200  # 4,124 words when the first misfit ends the order
+
+
 def test_mix_overlaps(spark):
     rows = [(i, prose(i, 20), ["x"] if i % 4 else ["x", "y"]) for i in range(200)] + [(900, "no source", [])]
     frame = spark.createDataFrame(rows, "doc_id long, text string, member array<string>")
