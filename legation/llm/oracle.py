@@ -157,10 +157,55 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+# CRC-32 bit by bit: the reflected polynomial is a fixed value. A prefix of
+# turns is named by the digest of its turns' digests.
+_TRIE = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT c, id, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, substr(id, 1, 32)) AS p
+  FROM t
+), v AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(c::VARCHAR) + 1),
+           lambda i: ascii(substr(c::VARCHAR, i::INT, 1))::BIGINT)),
+           lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+             lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM o)
+), b AS (
+  SELECT v.c, 0 AS part, o.p, o.id, o.words FROM v JOIN o ON o.c = v.c - v.c % 20 AND o.p <= v.h
+  UNION ALL
+  SELECT v.c, 1, o.p, o.id, o.words FROM v JOIN o ON o.c = v.c AND o.p > v.h
+), q AS (
+  SELECT c, words, row_number() OVER w AS depth, sha256(string_agg(id, '') OVER w) AS k FROM b WINDOW w AS (PARTITION BY c ORDER BY part, p)
+), a AS (
+  SELECT c, words, depth, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY depth), '') AS up FROM q
+  UNION ALL
+  SELECT c, 0, 0, '', NULL FROM v
+), m AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends FROM a
+), n AS (
+  SELECT k, any_value(up) AS up, any_value(depth) AS depth, any_value(words) AS words, min(c) AS conv, count(*) AS n,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends
+  FROM m GROUP BY k
+), kids AS (
+  SELECT up AS k, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up
+), s AS (
+  SELECT m.k, sum((kids.k IS NULL)::INT)::BIGINT AS leaves, sum((n.n - 1) * n.words)::BIGINT AS saved
+  FROM n LEFT JOIN kids ON kids.k = n.k JOIN m ON m.c = n.conv AND m.depth <= n.depth GROUP BY m.k
+)
+SELECT n.conv AS conv_id, n.depth, up.conv AS parent_conv_id, n.n AS n_convs, coalesce(kids.kids, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends AS ends_sha256
+FROM n LEFT JOIN n up ON up.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN s ON s.k = n.k
+"""
+
 ORACLE = {
     "op5_url_verdicts": _URLS,
     "op6_secret_scan": _secrets(),
     "op7_mix_sources": _MIX,
     "op8_archive": _ARCHIVE,
     "op9_exact_duplicates": _EXACT,
+    "op13_prefix_trie": _TRIE,
 }

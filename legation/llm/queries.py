@@ -11,6 +11,7 @@ from legation.llm.exact_dup import exact_duplicates
 from legation.llm.licenses import license_scan
 from legation.llm.mixing import mix_by_source
 from legation.llm.near_dup import near_duplicates
+from legation.llm.prefix_trie import prefix_trie
 from legation.llm.quality import classify
 from legation.llm.secrets import secret_scan
 from legation.llm.tokens import load_vocabulary, token_counts
@@ -92,6 +93,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,5 +110,6 @@ QUERIES = {
         op8_archive,
         op9_exact_duplicates,
         op10_quality,
+        op13_prefix_trie,
     )
 }
