@@ -157,6 +157,41 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+# Every phrase of one to five words is counted; the first of equal cuts is the
+# one with the fewest words.
+_PHRASES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN range(1, 6) AS ks(k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE a >= 100
+), x AS (
+  SELECT lang, array_to_string(w[s:s + k - 2], ' ') AS phrase, max(a) AS longer FROM c CROSS JOIN (VALUES (1), (2)) AS e(s) WHERE k > 2 GROUP BY ALL
+), o AS (
+  SELECT c.* FROM c LEFT JOIN x ON x.lang = c.lang AND x.phrase = c.phrase WHERE c.k > 1 AND (x.longer IS NULL OR x.longer < c.a)
+), h AS (
+  SELECT o.lang, o.phrase, o.a, j, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * o.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM o CROSS JOIN range(1, 5) AS js(j)
+  JOIN c l ON l.lang = o.lang AND l.phrase = array_to_string(o.w[:j], ' ')
+  JOIN c r ON r.lang = o.lang AND r.phrase = array_to_string(o.w[j + 1:], ' ')
+  JOIN n ON n.lang = o.lang
+  WHERE j < o.k
+), b AS (
+  SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM b
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
 # CRC-32 bit by bit: the reflected polynomial is a fixed value. A prefix of
 # turns is named by the digest of its turns' digests.
 _TRIE = r"""
@@ -207,5 +242,6 @@ ORACLE = {
     "op7_mix_sources": _MIX,
     "op8_archive": _ARCHIVE,
     "op9_exact_duplicates": _EXACT,
+    "op11_collocations": _PHRASES,
     "op13_prefix_trie": _TRIE,
 }

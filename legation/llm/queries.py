@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legation.llm.common import table
+from legation.llm.collocations import collocations
 from legation.llm.decontam import benchmark_matches
 from legation.llm.exact_dup import exact_duplicates
 from legation.llm.licenses import license_scan
@@ -93,6 +94,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -110,6 +115,7 @@ QUERIES = {
         op8_archive,
         op9_exact_duplicates,
         op10_quality,
+        op11_collocations,
         op13_prefix_trie,
     )
 }
