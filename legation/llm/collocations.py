@@ -5,8 +5,8 @@ proposes frequent phrases. One full pass then counts, exactly, every phrase
 both of whose parts (all but the last word, all but the first) are proposed:
 the proposed phrases and their negative border, which is never enumerated but
 recognised where it occurs. A border phrase that turns out frequent is a
-failure: it joins the proposed phrases and a further full pass counts what can
-now be frequent, until no new phrase appears.
+failure: a further pass then counts all longer phrases around failures that
+were not counted, which closes the set (see :func:`frequent_phrases`).
 
 Tasks recognise proposed phrases by a bit filter of bounded size. A false hit
 only makes a pass count a phrase more; every count is exact.
@@ -30,7 +30,7 @@ SAMPLE = 10  # one document in so many proposes
 LOWERED = 0.5  # share of the expected sample count that a proposal needs
 FILTER_BITS = (1 << 22, 1 << 28)  # least and most bits of the filter: 0.5 to 32 MB
 CHUNK_BYTES = 8 << 20
-ROW_BYTES = 32 << 20  # phrase bytes of one output batch
+ROW_BYTES = 2 << 20  # phrase bytes of one output batch
 SALTS = 32
 
 _U = np.uint64
@@ -121,10 +121,12 @@ class Words:
         rows = np.searchsorted(offsets, starts, "right") - 1
         stops = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_PIECE_END[data], out=stops[1:])
-        # Whether the next word belongs to the same piece.
-        self.goes_on = np.zeros(self.n, bool)
+        # The first word of the next piece.
+        first = np.ones(self.n, bool)
         if self.n:
-            self.goes_on[:-1] = (rows[1:] == rows[:-1]) & (stops[starts[1:]] == stops[ends[:-1]])
+            first[1:] = (rows[1:] != rows[:-1]) | (stops[starts[1:]] != stops[ends[:-1]])
+        heads = np.append(np.flatnonzero(first), self.n)
+        self.piece_end = np.repeat(heads[1:], np.diff(heads))
         sizes = ends - starts
         letters = _LOWER[data[inside]]
         # All words with one blank after each: a phrase is a slice of it.
@@ -142,6 +144,14 @@ class Words:
         self.langs = np.array(names.dictionary.to_pylist(), object)
         self.lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[rows] if self.n else np.zeros(0, np.int64)
 
+    def runs(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Whether the ``k`` words from each place on stand in one piece."""
+        return at + k <= self.piece_end[at]
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the words at these places."""
+        return word_hashes(self.words[self.word[at]], self.langs[self.lang[at]])
+
     def rows(self, first: np.ndarray, k: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """``lang, phrase, n`` rows of the phrases of ``k`` words that begin at ``first``."""
         start, stop = self.starts[first], self.ends[first + k - 1]
@@ -167,57 +177,77 @@ def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, first, np.bincount(ids, minlength=len(found))
 
 
-def count_phrases(words: Words, lengths: range, now, before) -> Iterator[pa.RecordBatch]:
-    """Exact counts of the batch's phrases of ``lengths`` both of whose parts ``now`` holds.
-
-    ``now`` None holds everything. Phrases whose parts ``before`` holds were
-    counted by an earlier pass and are left out, as are single words if
-    ``before`` is given.
-    """
-    if not words.n:
-        return
+def count_phrases(words: Words, lengths: range, now: Filter | None) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the batch's phrases of ``lengths`` both of whose parts ``now`` holds (None: all)."""
     ids, first, counts = grouped(words.lang * len(words.words) + words.word)
-    if before is None and 1 in lengths:
+    if 1 in lengths:
         yield from words.rows(first, 1, counts)
-    hashes = single = word_hashes(words.words[words.word[first]], words.langs[words.lang[first]])
+    hashes = single = words.hashes(first)
     base, word_ids = len(first), ids
     at = np.arange(words.n)  # where the phrases of the level begin, ascending
     for k in range(2, lengths.stop):
-        known = np.ones(len(hashes), bool) if now is None else now.holds(hashes)
-        old = np.zeros(len(hashes), bool) if before is None else before.holds(hashes)
         # Places with a known phrase whose next place has one too, in the same piece.
+        known = np.ones(len(hashes), bool) if now is None else now.holds(hashes)
+        known = known[ids]
+        at, ids = at[known], ids[known]
         dense = np.full(words.n + 1, -1, np.int64)
-        dense[at] = np.where(known[ids], ids, -1)
-        places = at[known[ids]]
-        places = places[(dense[places + 1] >= 0) & words.goes_on[places] if k == 2 else dense[places + 1] >= 0]
-        places = places[places + k - 1 < words.n]
-        if k > 2:
-            places = places[words.goes_on[places + k - 2]]
-        if not len(places):
+        dense[at] = ids
+        both = (dense[at + 1] >= 0) & words.runs(at, k)
+        at, ids = at[both], ids[both]
+        if not len(at):
             return
-        left, right = dense[places], dense[places + 1]
-        ids, first, counts = grouped(left * base + word_ids[places + k - 1])
-        hashes = longer(hashes[left[first]], single[word_ids[places[first] + k - 1]])
+        last = word_ids[at + k - 1]
+        left, ends = ids, last
+        ids, first, counts = grouped(left * base + last)
+        hashes = longer(hashes[left[first]], single[ends[first]])
         if k in lengths:
-            fresh = ~(old[left[first]] & old[right[first]])
-            if fresh.any():
-                yield from words.rows(places[first][fresh], k, counts[fresh])
-        at = places
-
-
-def _counter(lengths: range, now, before):
-    """The task function of a pass; ``now`` and ``before`` are broadcast filters or None."""
+            yield from words.rows(at[first], k, counts)
+
+
+def count_above(words: Words, longest: int, failed: Filter, now: Filter) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the batch's phrases around a failure that :func:`count_phrases` with ``now`` left out."""
+    ids, first, _ = grouped(words.lang * len(words.words) + words.word)
+    single = words.hashes(first)[ids]
+    n, level, hit = words.n, single, []
+    held = None  # where the phrases of the level before begin that the full pass counted and knew
+    for k in range(1, longest + 1):
+        if k > 1:
+            level = longer(level[: n - k + 1], single[k - 1 :])
+        if not len(level):
+            return
+        inside = words.runs(np.arange(len(level)), k)
+        around = np.zeros(len(level), bool)
+        for j, places in enumerate(hit, 1):
+            for shift in range(k - j + 1):
+                around |= places[shift : shift + len(level)]
+        counted = inside if k == 1 else inside & held[: len(level)] & held[1 : len(level) + 1]
+        at = np.flatnonzero(around & inside & ~counted)
+        if len(at):
+            _, first, counts = grouped(level[at].view(np.int64))
+            yield from words.rows(at[first], k, counts)
+        if k < longest:
+            hit.append(failed.holds(level) & inside)
+            held = now.holds(level) & counted
+
+
+def _counter(lengths: range, now, failed=None):
+    """The task function of a pass; ``now`` and ``failed`` are broadcast filter words or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [Filter(f.value) if f is not None else None for f in (now, before)]
+        known, missed = (Filter(f.value) if f is not None else None for f in (now, failed))
         for batch in chunks(batches, "text", CHUNK_BYTES):
             words = Words(batch.column(1), batch.column(0))
-            if before is None and words.n:
+            if not words.n:
+                continue
+            if missed is not None:
+                yield from count_above(words, lengths.stop - 1, missed, known)
+                continue
+            if 1 in lengths:
                 totals = np.bincount(words.lang, minlength=len(words.langs))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words.langs, pa.string()), pa.array([""] * len(totals)), pa.array(totals)], names=["lang", "phrase", "n"]
                 )
-            yield from count_phrases(words, lengths, *filters)
+            yield from count_phrases(words, lengths, known)
 
     return run
 
@@ -227,33 +257,37 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, sample
 
     ``docs`` has ``id, lang, text`` without nulls in the last two. The empty
     phrase carries the number of words of each language.
+
+    A frequent phrase that the full pass leaves out has a part that was not
+    proposed; that part is frequent and, if left out too, has such a part
+    itself, down to single words, which are all counted. So every such phrase
+    stands around a failure of the full pass, and the expansion pass counts all
+    phrases around failures, whatever their length: what it finds is closed.
     """
     context = docs.sparkSession.sparkContext
 
-    def counts(part: DataFrame, lengths: range, now: Filter | None, before: Filter | None) -> DataFrame:
-        shared = [context.broadcast(f.words) if f is not None else None for f in (now, before)]
+    def counts(part: DataFrame, lengths: range, now: Filter | None, failed: Filter | None = None) -> DataFrame:
+        shared = [context.broadcast(f.words) if f is not None else None for f in (now, failed)]
         found = part.select("lang", "text").mapInArrow(_counter(lengths, *shared), "lang string, phrase string, n long")
         return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
     some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0)
     needed = max(1, round(least / sample * lowered))
-    proposed = cut(counts(some, range(1, 3), None, None).filter((F.col("n") >= needed) & (F.col("phrase") != "")))
+    proposed = cut(counts(some, range(1, 3), None).filter((F.col("n") >= needed) & (F.col("phrase") != "")))
     bits = filter_bits(2 * proposed.count())
     now = build_filter(proposed, bits)
     for k in range(3, longest):
-        more = cut(counts(some, range(k, k + 1), now, None).filter((F.col("n") >= needed) & (F.col("phrase") != "")))
+        more = cut(counts(some, range(k, k + 1), now).filter((F.col("n") >= needed) & (F.col("phrase") != "")))
         now, proposed = build_filter(more, bits, now), proposed.unionByName(more)
 
-    found = cut(counts(docs, range(1, longest + 1), now, None).filter((F.col("n") >= least) | (F.col("phrase") == "")))
-    failures = found.filter("phrase <> ''").join(proposed, ["lang", "phrase"], "left_anti")
-    while True:
-        # Phrases of full length have no extension.
-        failures = cut(failures.filter(F.size(F.split("phrase", " ")) < longest))
-        if failures.isEmpty():
-            return found
-        before, now = now, build_filter(failures, bits, now)
-        failures = cut(counts(docs, range(2, longest + 1), now, before).filter(F.col("n") >= least))
-        found = found.unionByName(failures)
+    found = cut(counts(docs, range(1, longest + 1), now).filter((F.col("n") >= least) | (F.col("phrase") == "")))
+    shorter = found.filter("phrase <> ''").filter(F.size(F.split("phrase", " ")) < longest)
+    failures = cut(shorter.join(proposed, ["lang", "phrase"], "left_anti"))
+    n_failures = failures.count()
+    if not n_failures:
+        return found
+    failed = build_filter(failures, filter_bits(n_failures))
+    return found.unionByName(cut(counts(docs, range(2, longest + 1), now, failed).filter(F.col("n") >= least)))
 
 
 def collocations(

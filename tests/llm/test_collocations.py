@@ -92,11 +92,12 @@ def test_no_phrase_is_counted_twice(spark):
     assert found.count() == found.select("lang", "phrase").distinct().count()
 
 
-def test_full_filter_costs_work_not_results(spark, monkeypatch):
-    """A filter far too small answers yes to nearly everything; counts stay exact."""
-    monkeypatch.setattr(col, "FILTER_BITS", (64, 64))
+@pytest.mark.parametrize("bits", [64, 256, 1024])
+def test_full_filter_costs_work_not_results(spark, monkeypatch, bits):
+    """A filter far too small answers yes wrongly, sometimes or nearly always; counts stay exact."""
+    monkeypatch.setattr(col, "FILTER_BITS", (bits, bits))
     rows = random_rows(8, 100)
-    assert got(spark, rows, least=8, sample=5) == brute(rows, 8)
+    assert got(spark, rows, least=8, sample=5, lowered=2.0) == brute(rows, 8)
 
 
 def test_exact_arithmetic(spark):
