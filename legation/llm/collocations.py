@@ -29,7 +29,7 @@ LONGEST = 5  # words of a phrase
 SAMPLE = 10  # one document in so many proposes
 LOWERED = 0.5  # share of the expected sample count that a proposal needs
 FILTER_BITS = (1 << 22, 1 << 28)  # least and most bits of the filter: 0.5 to 32 MB
-CHUNK_BYTES = 5 << 19
+CHUNK_BYTES = 1 << 19
 ROW_BYTES = 2 << 20  # phrase bytes of one output batch
 SALTS = 32
 
