@@ -27,7 +27,7 @@ from legation.llm.words import buffers, mix
 
 LONGEST = 5  # words of a phrase
 SAMPLE = 10  # one document in so many proposes
-LOWERED = 0.5  # share of the expected sample count that a proposal needs
+LOWERED = 1.0  # share of the expected sample count that a proposal needs
 FILTER_BITS = (1 << 22, 1 << 28)  # least and most bits of the filter: 0.5 to 32 MB
 CHUNK_BYTES = 1 << 19
 ROW_BYTES = 2 << 20  # phrase bytes of one output batch
@@ -204,12 +204,15 @@ def count_phrases(words: Words, lengths: range, now: Filter | None) -> Iterator[
             yield from words.rows(at[first], k, counts)
 
 
-def count_above(words: Words, longest: int, failed: Filter, now: Filter) -> Iterator[pa.RecordBatch]:
-    """Exact counts of the batch's phrases around a failure that :func:`count_phrases` with ``now`` left out."""
+def count_above(words: Words, longest: int, now: Filter, failed: Filter, frequent: Filter) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the batch's phrases around a failure that :func:`count_phrases` with ``now`` left out.
+
+    Phrases with a part that was counted and is not ``frequent`` are passed over.
+    """
     ids, first, _ = grouped(words.lang * len(words.words) + words.word)
     single = words.hashes(first)[ids]
     n, level, hit = words.n, single, []
-    held = None  # where the phrases of the level before begin that the full pass counted and knew
+    held = fine = None  # where the full pass counted and knew the phrases of the level before, and where they may be frequent
     for k in range(1, longest + 1):
         if k > 1:
             level = longer(level[: n - k + 1], single[k - 1 :])
@@ -221,6 +224,8 @@ def count_above(words: Words, longest: int, failed: Filter, now: Filter) -> Iter
             for shift in range(k - j + 1):
                 around |= places[shift : shift + len(level)]
         counted = inside if k == 1 else inside & held[: len(level)] & held[1 : len(level) + 1]
+        if k > 1:
+            around &= fine[: len(level)] & fine[1 : len(level) + 1]
         at = np.flatnonzero(around & inside & ~counted)
         if len(at):
             _, first, counts = grouped(level[at].view(np.int64))
@@ -228,19 +233,20 @@ def count_above(words: Words, longest: int, failed: Filter, now: Filter) -> Iter
         if k < longest:
             hit.append(failed.holds(level) & inside)
             held = now.holds(level) & counted
+            fine = ~counted | frequent.holds(level)
 
 
-def _counter(lengths: range, now, failed=None):
-    """The task function of a pass; ``now`` and ``failed`` are broadcast filter words or None."""
+def _counter(lengths: range, now, *above):
+    """The task function of a pass; ``now`` and ``above`` are broadcast filter words, ``now`` may be None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, missed = (Filter(f.value) if f is not None else None for f in (now, failed))
+        known, *filters = (Filter(f.value) if f is not None else None for f in (now, *above))
         for batch in chunks(batches, "text", CHUNK_BYTES):
             words = Words(batch.column(1), batch.column(0))
             if not words.n:
                 continue
-            if missed is not None:
-                yield from count_above(words, lengths.stop - 1, missed, known)
+            if filters:
+                yield from count_above(words, lengths.stop - 1, known, *filters)
                 continue
             if 1 in lengths:
                 totals = np.bincount(words.lang, minlength=len(words.langs))
@@ -266,8 +272,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, sample
     """
     context = docs.sparkSession.sparkContext
 
-    def counts(part: DataFrame, lengths: range, now: Filter | None, failed: Filter | None = None) -> DataFrame:
-        shared = [context.broadcast(f.words) if f is not None else None for f in (now, failed)]
+    def counts(part: DataFrame, lengths: range, *filters: Filter | None) -> DataFrame:
+        shared = [context.broadcast(f.words) if f is not None else None for f in filters]
         found = part.select("lang", "text").mapInArrow(_counter(lengths, *shared), "lang string, phrase string, n long")
         return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -286,8 +292,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, sample
     n_failures = failures.count()
     if not n_failures:
         return found
-    failed = build_filter(failures, filter_bits(n_failures))
-    return found.unionByName(cut(counts(docs, range(2, longest + 1), now, failed).filter(F.col("n") >= least)))
+    failed, frequent = build_filter(failures, filter_bits(n_failures)), build_filter(shorter, bits)
+    return found.unionByName(cut(counts(docs, range(2, longest + 1), now, failed, frequent).filter(F.col("n") >= least)))
 
 
 def collocations(
