@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +30,18 @@ LONGEST = 5  # words of a phrase
 SAMPLE = 10  # one document in so many proposes
 LOWERED = 1.0  # share of the expected sample count that a proposal needs
 FILTER_BITS = (1 << 22, 1 << 28)  # least and most bits of the filter: 0.5 to 32 MB
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
 ROW_BYTES = 2 << 20  # phrase bytes of one output batch
 SALTS = 32
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-_PIECE_END = np.isin(np.arange(256), [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])
-_BLANK = np.isin(np.arange(256), [0x20, 0x09])
+_KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: blank, 2: ends a piece
+_KIND[[0x20, 0x09]] = 1
+_KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_LOWER[0x09] = 0x20
 
 
 def word_hashes(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
@@ -110,39 +113,48 @@ class Words:
 
     def __init__(self, texts: pa.Array, langs: pa.Array) -> None:
         data, offsets = buffers(texts)
-        inside = ~(_PIECE_END | _BLANK)[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        starts = np.flatnonzero(inside & (~before | edge[:-1]))
-        ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self.n = len(starts)
-        rows = np.searchsorted(offsets, starts, "right") - 1
-        stops = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(_PIECE_END[data], out=stops[1:])
-        # The first word of the next piece.
-        first = np.ones(self.n, bool)
-        if self.n:
-            first[1:] = (rows[1:] != rows[:-1]) | (stops[starts[1:]] != stops[ends[:-1]])
-        heads = np.append(np.flatnonzero(first), self.n)
+        kind = _KIND[data]
+        if (kind == 1).any():
+            # One blank between words: blanks after a blank go, so that a phrase is a slice of the bytes.
+            blank = kind == 1
+            keep = np.ones(len(data), bool)
+            keep[1:] = ~(blank[1:] & blank[:-1])
+            if not keep.all():
+                kept = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(keep, out=kept[1:])
+                data, kind, offsets = data[keep], kind[keep], kept[offsets]
+        self.flat = _LOWER[data]
+        inside = kind == 0
+        turn = np.zeros(len(data) + 1, bool)  # where words begin or end
+        turn[1:-1] = inside[1:] != inside[:-1]
+        if len(data):
+            turn[0], turn[-1] = inside[0], inside[-1]
+        # A word that runs over a row's end is two.
+        border = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+        border = np.unique(border[inside[border - 1] & inside[border]])
+        marks = np.flatnonzero(turn)
+        if len(border):
+            marks = np.sort(np.concatenate([marks, border, border]))
+        self.starts, self.ends = marks[::2], marks[1::2]
+        self.n = len(self.starts)
+        row = np.repeat(np.arange(len(langs)), np.diff(np.searchsorted(self.starts, offsets)))
+        # The first word of the next piece: a piece ends at a row's end or a mark that ends it.
+        cuts = np.sort(np.concatenate([np.flatnonzero(kind == 2), offsets]))
+        heads = np.unique(np.append(np.searchsorted(self.starts, cuts), self.n))
+        heads = heads if self.n and heads[0] == 0 else np.append(0, heads)
         self.piece_end = np.repeat(heads[1:], np.diff(heads))
-        sizes = ends - starts
-        letters = _LOWER[data[inside]]
-        # All words with one blank after each: a phrase is a slice of it.
-        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
-        self.ends = self.starts + sizes
-        self.flat = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
-        self.flat[np.arange(len(letters)) + np.repeat(np.arange(self.n), sizes)] = letters
+        sizes = self.ends - self.starts
         bounds = np.zeros(self.n + 1, np.int64)
         np.cumsum(sizes, out=bounds[1:])
+        letters = self.flat[inside]
         column = pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(bounds), pa.py_buffer(letters))
         coded = column.dictionary_encode()
         self.words = np.array(coded.dictionary.to_pylist(), object)
         self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         names = langs.dictionary_encode()
-        self.langs = np.array(names.dictionary.to_pylist(), object)
-        self.lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[rows] if self.n else np.zeros(0, np.int64)
+        self.names = names.dictionary.cast(pa.string())
+        self.langs = np.array(self.names.to_pylist(), object)
+        self.lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
 
     def runs(self, at: np.ndarray, k: int) -> np.ndarray:
         """Whether the ``k`` words from each place on stand in one piece."""
@@ -153,7 +165,7 @@ class Words:
         return word_hashes(self.words[self.word[at]], self.langs[self.lang[at]])
 
     def rows(self, first: np.ndarray, k: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``lang, phrase, n`` rows of the phrases of ``k`` words that begin at ``first``."""
+        """``key, n`` rows (:func:`keys`) of the phrases of ``k`` words that begin at ``first``."""
         start, stop = self.starts[first], self.ends[first + k - 1]
         sizes = stop - start
         cuts = np.searchsorted(np.cumsum(sizes), np.arange(ROW_BYTES, sizes.sum() + ROW_BYTES, ROW_BYTES)) + 1
@@ -165,8 +177,13 @@ class Words:
             np.cumsum(size, out=bounds[1:])
             at = np.repeat(start[a:b] - bounds[:-1], size) + np.arange(bounds[-1])
             text = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(self.flat[at]))
-            lang = pa.array(self.langs[self.lang[first[a:b]]], pa.string())
-            yield pa.RecordBatch.from_arrays([lang, text.cast(pa.string()), pa.array(counts[a:b])], names=["lang", "phrase", "n"])
+            yield keys(text.cast(pa.string()), self.names.take(pa.array(self.lang[first[a:b]])), counts[a:b])
+
+
+def keys(phrases: pa.Array, langs: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """``key, n`` rows; a key is the phrase, which holds no line end, a line end and the language."""
+    key = pa.compute.binary_join_element_wise(phrases, langs, "\n")
+    return pa.RecordBatch.from_arrays([key, pa.array(counts)], names=["key", "n"])
 
 
 def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,9 +267,7 @@ def _counter(lengths: range, now, *above):
                 continue
             if 1 in lengths:
                 totals = np.bincount(words.lang, minlength=len(words.langs))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.langs, pa.string()), pa.array([""] * len(totals)), pa.array(totals)], names=["lang", "phrase", "n"]
-                )
+                yield keys(pa.array([""] * len(totals)), words.names, totals)
             yield from count_phrases(words, lengths, known)
 
     return run
@@ -272,28 +287,30 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, sample
     """
     context = docs.sparkSession.sparkContext
 
-    def counts(part: DataFrame, lengths: range, *filters: Filter | None) -> DataFrame:
+    def counts(part: DataFrame, needed: int, lengths: range, *filters: Filter | None) -> DataFrame:
         shared = [context.broadcast(f.words) if f is not None else None for f in filters]
-        found = part.select("lang", "text").mapInArrow(_counter(lengths, *shared), "lang string, phrase string, n long")
-        return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        rows = part.select("lang", "text").mapInArrow(_counter(lengths, *shared), "key string, n long")
+        sums = rows.groupBy("key").agg(F.sum("n").alias("n")).filter((F.col("n") >= needed) | F.col("key").startswith("\n"))
+        phrase = F.substring_index("key", "\n", 1)
+        return cut(sums.select(F.substring("key", F.length(phrase) + 2, F.length("key")).alias("lang"), phrase.alias("phrase"), "n"))
 
     some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0)
     needed = max(1, round(least / sample * lowered))
-    proposed = cut(counts(some, range(1, 3), None).filter((F.col("n") >= needed) & (F.col("phrase") != "")))
+    proposed = counts(some, needed, range(1, 3), None).filter("phrase <> ''")
     bits = filter_bits(2 * proposed.count())
     now = build_filter(proposed, bits)
     for k in range(3, longest):
-        more = cut(counts(some, range(k, k + 1), now).filter((F.col("n") >= needed) & (F.col("phrase") != "")))
+        more = counts(some, needed, range(k, k + 1), now)
         now, proposed = build_filter(more, bits, now), proposed.unionByName(more)
 
-    found = cut(counts(docs, range(1, longest + 1), now).filter((F.col("n") >= least) | (F.col("phrase") == "")))
+    found = counts(docs, least, range(1, longest + 1), now)
     shorter = found.filter("phrase <> ''").filter(F.size(F.split("phrase", " ")) < longest)
     failures = cut(shorter.join(proposed, ["lang", "phrase"], "left_anti"))
     n_failures = failures.count()
     if not n_failures:
         return found
     failed, frequent = build_filter(failures, filter_bits(n_failures)), build_filter(shorter, bits)
-    return found.unionByName(cut(counts(docs, range(2, longest + 1), now, failed, frequent).filter(F.col("n") >= least)))
+    return found.unionByName(counts(docs, least, range(2, longest + 1), now, failed, frequent))
 
 
 def collocations(
