@@ -9,6 +9,7 @@ from legation.llm.common import table
 from legation.llm.collocations import collocations
 from legation.llm.decontam import benchmark_matches
 from legation.llm.exact_dup import exact_duplicates
+from legation.llm.html_text import main_text
 from legation.llm.licenses import license_scan
 from legation.llm.mixing import mix_by_source
 from legation.llm.near_dup import near_duplicates
@@ -98,6 +99,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -116,6 +121,7 @@ QUERIES = {
         op9_exact_duplicates,
         op10_quality,
         op11_collocations,
+        op12_main_text,
         op13_prefix_trie,
     )
 }
