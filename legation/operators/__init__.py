@@ -11,6 +11,12 @@ from legation.operators.clean import (
     profile,
     unmatched_codes,
 )
+from legation.operators.intervals import (
+    in_post,
+    join_as_of,
+    tenure_spells,
+    validity,
+)
 from legation.operators.joins import (
     active_members,
     complete,
@@ -18,6 +24,7 @@ from legation.operators.joins import (
     enrich_both,
     inactive_members,
 )
+from legation.operators.keys import keys_and_dependencies
 from legation.operators.measures import (
     bilateral_matrix,
     count_by,
@@ -60,7 +67,10 @@ __all__ = [
     "enrich",
     "enrich_both",
     "filter_appointments",
+    "in_post",
     "inactive_members",
+    "join_as_of",
+    "keys_and_dependencies",
     "latest_per_key",
     "marginals",
     "melt",
@@ -72,8 +82,10 @@ __all__ = [
     "rollup_counts",
     "share_by",
     "share_of_total",
+    "tenure_spells",
     "top_k",
     "top_n_per_group",
     "unmatched_codes",
+    "validity",
     "whole_row_changes",
 ]

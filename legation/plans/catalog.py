@@ -33,7 +33,10 @@ from legation.operators import (
     enrich,
     enrich_both,
     filter_appointments,
+    in_post,
     inactive_members,
+    join_as_of,
+    keys_and_dependencies,
     marginals,
     melt,
     merge_versions,
@@ -44,9 +47,11 @@ from legation.operators import (
     rollup_counts,
     share_by,
     share_of_total,
+    tenure_spells,
     top_k,
     top_n_per_group,
     unmatched_codes,
+    validity,
     whole_row_changes,
 )
 from legation.plans.flagship import category_share_ranking
@@ -528,6 +533,55 @@ def u2_whole_row_changes(spark: SparkSession, d: str) -> DataFrame:
     return whole_row_changes(_customers_before(star), new)
 
 
+# ------------------------------------- J6, W5, A10: beginnings and ends; Q4: keys
+
+VERSION_DAYS = 14  # a version of a state that no other replaces lapses after so many days
+
+
+def j6_version_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Every order with the version of its sending state valid on its date.
+
+    The versions of a state begin on the dates of its urgent orders and lapse,
+    which leaves gaps.
+    """
+    star = Star.of(spark, d)
+    orders = enrich(
+        star.t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
+        star.customer_link(), "o_custkey", "c_custkey", ["c_nationkey"],
+    ).withColumnRenamed("c_nationkey", "sender")
+    dated = orders.where(F.col("o_orderpriority") == "1-URGENT").groupBy("sender", F.col("o_orderdate").alias("valid_from")).agg(
+        F.max("o_orderkey").alias("version")
+    )
+    lapses = F.col("valid_from") + F.make_dt_interval(F.lit(VERSION_DAYS))
+    versions = validity(dated, "sender", "valid_from").withColumn("valid_to", F.least("valid_to", lapses))
+    facts = orders.select("o_orderkey", "sender", "o_orderdate")
+    return join_as_of(facts, versions, "sender", "sender", "o_orderdate", "valid_from", "valid_to")
+
+
+def _postings(star: Star) -> DataFrame:
+    """Lines as postings: they begin when shipped and last a day per line number."""
+    lines = star.t("lineitem").select("l_suppkey", "l_shipdate", "l_linenumber", "l_linestatus")
+    return lines.withColumn("until", F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber")))
+
+
+def w5_tenure_spells(spark: SparkSession, d: str) -> DataFrame:
+    return tenure_spells(_postings(Star.of(spark, d)), "l_suppkey", "l_shipdate", "until")
+
+
+def a10_in_post(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in post per receiving state; those of status O have not ended."""
+    star = Star.of(spark, d)
+    posted = enrich(_postings(star), star.supplier_link(), "l_suppkey", "s_suppkey", ["s_nationkey"])
+    posted = posted.withColumn("until", F.when(F.col("l_linestatus") != OTHER, F.col("until")))
+    return in_post(posted.withColumnRenamed("s_nationkey", "receiver"), "receiver", "l_shipdate", "until")
+
+
+def q4_keys_and_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    star = Star.of(spark, d)
+    found = [keys_and_dependencies(star.t(t)).select(F.lit(t).alias("table_name"), "*") for t in ("customer", "orders")]
+    return found[0].unionByName(found[1])
+
+
 # ---------------------------------------------------------------- F1: flagship
 
 
@@ -596,12 +650,39 @@ QUERIES: dict[str, Query] = {
     "u1_merge_versions": u1_merge_versions,
     "u2_diff_versions": u2_diff_versions,
     "u2_whole_row_changes": u2_whole_row_changes,
+    "j6_version_as_of": j6_version_as_of,
+    "w5_tenure_spells": w5_tenure_spells,
+    "a10_in_post": a10_in_post,
+    "q4_keys_and_dependencies": q4_keys_and_dependencies,
     "f1_category_share_ranking": f1_category_share_ranking,
 }
 
 
 # ---------------------------------------------------------------- oracle SQL (DuckDB)
 
+
+def _lattice_sql(table: str, columns: str) -> str:
+    """Keys and dependencies of a table from the distinct rows of every column set, named by bit masks."""
+    names = columns.split()
+    sets = [[i for i in range(len(names)) if mask >> i & 1] for mask in range(1 << len(names))]
+    counts = " UNION ALL ".join(
+        f"SELECT {mask} AS m, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(names[i] for i in s) or '1'} FROM {table})) AS d, "
+        f"'{','.join(names[i] for i in s)}' AS label"
+        for mask, s in enumerate(sets)
+    )
+    bits = ", ".join(f"({1 << i}, '{n}')" for i, n in enumerate(names))
+    return f"""
+WITH c AS ({counts}), b(bit, name) AS (VALUES {bits}),
+k AS (SELECT m, label FROM c WHERE d = (SELECT count(*) FROM {table})),
+f AS (SELECT c.m, c.label, b.bit, b.name FROM c JOIN b ON c.m & b.bit = 0 JOIN c w ON w.m = c.m + b.bit WHERE w.d = c.d)
+SELECT '{table}' AS table_name, 'key' AS kind, label AS columns, NULL AS determines FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k s WHERE s.m <> k.m AND s.m & k.m = s.m)
+UNION ALL
+SELECT '{table}', 'dependency', label, name FROM f
+WHERE NOT EXISTS (SELECT 1 FROM f s WHERE s.bit = f.bit AND s.m <> f.m AND s.m & f.m = s.m)"""
+
+
+
 _COUNTRIES = (
     "countries AS (SELECT n_nationkey, n_name, r_name "
     "FROM nation LEFT JOIN region ON n_regionkey = r_regionkey)"
@@ -872,6 +953,39 @@ WITH {_VERSIONS}
 SELECT *, 'old' AS side, count(*) AS n FROM (SELECT * FROM old_v EXCEPT ALL SELECT * FROM new_v) GROUP BY ALL
 UNION ALL
 SELECT *, 'new' AS side, count(*) AS n FROM (SELECT * FROM new_v EXCEPT ALL SELECT * FROM old_v) GROUP BY ALL""",
+    "j6_version_as_of": f"""
+WITH f AS (SELECT o_orderkey, c_nationkey AS sender, o_orderdate, o_orderpriority FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT sender, o_orderdate AS valid_from, max(o_orderkey) AS version FROM f WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+v AS (SELECT *, least(lead(valid_from) OVER (PARTITION BY sender ORDER BY valid_from),
+                      valid_from + INTERVAL {VERSION_DAYS} DAY) AS valid_to FROM s),
+j AS (SELECT f.o_orderkey, f.sender, f.o_orderdate, v.valid_from, v.version, v.valid_to
+      FROM f ASOF LEFT JOIN v ON f.sender = v.sender AND f.o_orderdate >= v.valid_from)
+SELECT o_orderkey, sender, o_orderdate, CASE WHEN o_orderdate < valid_to THEN valid_from END AS valid_from,
+       CASE WHEN o_orderdate < valid_to THEN version END AS version, CASE WHEN o_orderdate < valid_to THEN valid_to END AS valid_to
+FROM j""",
+    "w5_tenure_spells": """
+WITH p AS (SELECT l_suppkey, l_shipdate AS b, l_shipdate + to_days(l_linenumber) AS e FROM lineitem),
+r AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM p),
+s AS (SELECT *, sum((reached IS NULL OR b > reached)::INT) OVER (PARTITION BY l_suppkey ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS spell
+      FROM r)
+SELECT l_suppkey, min(b) AS spell_start, max(e) AS spell_end, count(*) AS n_postings FROM s GROUP BY l_suppkey, spell""",
+    "a10_in_post": """
+WITH p AS (SELECT s_nationkey AS receiver, l_shipdate AS b,
+                  CASE WHEN l_linestatus <> 'O' THEN l_shipdate + to_days(l_linenumber) END AS e
+           FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey),
+t AS (SELECT receiver, b AS at FROM p UNION SELECT receiver, e FROM p WHERE e IS NOT NULL),
+q AS (SELECT receiver, b, e, count(*) AS n FROM p GROUP BY ALL)
+SELECT t.receiver, t.at, CAST(coalesce(sum(n) FILTER (b = t.at), 0) AS BIGINT) AS n_begin,
+       CAST(coalesce(sum(n) FILTER (e = t.at), 0) AS BIGINT) AS n_end,
+       CAST(coalesce(sum(n) FILTER (b <= t.at AND (e IS NULL OR e > t.at)), 0) AS BIGINT) AS n_in_post
+FROM t JOIN q ON q.receiver IS NOT DISTINCT FROM t.receiver GROUP BY t.receiver, t.at""",
+    "q4_keys_and_dependencies": " UNION ALL ".join(
+        f"SELECT * FROM ({_lattice_sql(t, c)})"
+        for t, c in (
+            ("customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"),
+            ("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
+        )
+    ),
     "f1_category_share_ranking": f"""
 WITH {_COUNTRIES},
 sh AS (SELECT r_name, n_name, {_SHARE} FROM {_BY_SENDER} GROUP BY r_name, n_name)
