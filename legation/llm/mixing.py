@@ -13,9 +13,11 @@ still fit, and subset sums over a small pool of each pattern close the rest.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +137,11 @@ def seeded(id_col: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _order() -> list[Column]:
+    """The seeded order; rows that tie in all of it have one id and text, so it does not matter which is taken."""
+    return [F.col("u"), F.col("id").asc_nulls_last(), F.col("size"), F.col("h")]
+
+
 def _cut_bucket(rows: DataFrame, bucket: Column, left: DataFrame, level: int) -> DataFrame:
     """Per pattern the first bucket whose running total reaches what is left, and what is left before it."""
     sums = rows.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
@@ -159,7 +166,7 @@ def _mark(rows: DataFrame, left: DataFrame, keep: tuple) -> DataFrame:
     )
     last = (first == F.col("cut1")) & (second == F.col("cut2"))
     before = (first < F.col("cut1")) | ((first == F.col("cut1")) & (second < F.col("cut2")))
-    running = Window.partitionBy("pattern").orderBy("u", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("pattern").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
     within = placed.filter(last).withColumn("upto", F.sum("size").over(running))
     within = within.withColumn("chosen", (F.col("upto") <= F.col("rest")).cast("long"))
     # Without a cut the rest, if any, holds every row.
@@ -192,9 +199,9 @@ def best_fill(sizes: list[int], room: int, copies: int) -> list[int]:
     return out
 
 
-def _close(pool: list, gap: int, copies: int, most_words: int) -> list[tuple[int, int]]:
+def _close(pool: list[dict], gap: int, copies: int, most_words: int) -> list[tuple[int, int]]:
     """``(row, times)`` for the documents of a pattern's pool, chosen anew together with the gap."""
-    pool = sorted(pool, key=lambda d: (d["u"], d["size"], d["row"]))
+    pool = sorted(pool, key=lambda d: (d["u"], d["id"] is None, d["id"], d["size"], d["h"]))
     room, open_ = gap, []
     for i in sorted(range(len(pool)), key=lambda i: pool[i]["size"]):
         chosen = pool[i]["size"] * pool[i]["chosen"]
@@ -208,13 +215,26 @@ def _close(pool: list, gap: int, copies: int, most_words: int) -> list[tuple[int
     return [(pool[i]["row"], n) for i, n in zip(open_, times)]
 
 
+def _closer(most_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``gap, copies, pool`` rows to ``fixed, times`` rows, a pool at a time."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pattern = {name: batch.column(name)[i].as_py() for name in ("gap", "copies", "pool")}
+                found = _close(pattern["pool"], pattern["gap"], pattern["copies"], most_words)
+                fixed, times = ([x[k] for x in found] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(fixed, pa.int64()), pa.array(times, pa.int64())], names=["fixed", "times"])
+
+    return run
+
+
 def _per_pattern(spark, rows: list, columns: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, f"pattern string, {columns}"))
 
 
 def _go_on(marked: DataFrame, gaps: dict[str, int], level: int, repeats: int) -> tuple[DataFrame, dict[str, int]]:
     """The cut again over documents taken ``level`` times that still fit, until none does; and what is left then."""
-    gaps, open_, more, columns = dict(gaps), gaps, [], ("row", "id", "pattern", "size", "u")
+    gaps, open_, more, columns = dict(gaps), gaps, [], ("row", "id", "pattern", "size", "u", "h")
     spare = marked.filter((F.col("chosen") == level) & (F.col("passes") + level < repeats) & (F.col("size") > 0)).select(*columns)
     while open_:
         left = _per_pattern(marked.sparkSession, list(open_.items()), "rest long")
@@ -254,10 +274,9 @@ def _fill(marked: DataFrame, plan: list[tuple[str, int, int]], counts: dict[str,
     facts = [(p, gap, repeats - passes[p] if counts[p] <= pool else 1, min(1.0, 2 * pool / counts[p])) for p, gap in gaps.items()]
     few = marked.filter("size > 0").join(_per_pattern(marked.sparkSession, facts, "gap long, copies long, share double"), "pattern")
     few = few.withColumn("drawn", F.col("u").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).filter("drawn < share")
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy("pattern").orderBy("drawn", "size", "row"))).filter(F.col("n") <= pool)
-    pools = few.groupBy("pattern", "gap", "copies").agg(F.collect_list(F.struct("row", "size", "u", "chosen")).alias("pool"))
-    close = F.udf(lambda docs, gap, copies: _close(docs, gap, copies, most_words), "array<struct<fixed long, times long>>")
-    closed = cut(pools.select(F.inline(close("pool", "gap", "copies"))), narrow=True)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("pattern").orderBy("drawn", *_order()))).filter(F.col("n") <= pool)
+    pools = few.groupBy("pattern", "gap", "copies").agg(F.collect_list(F.struct("row", "id", "size", "u", "h", "chosen")).alias("pool"))
+    closed = cut(pools.select("gap", "copies", "pool").mapInArrow(_closer(most_words), "fixed long, times long"), narrow=True)
     marked = marked.join(closed, marked["row"] == closed["fixed"], "left")
     marked = cut(marked.withColumn("chosen", F.coalesce("times", "chosen")).drop("fixed", "times"))
 
@@ -305,16 +324,20 @@ def mix_sources(
 
     The driver holds one count per pattern; more than ``max_patterns``
     patterns are refused. Null or blank texts have size 0 and take 0; a
-    document without sources takes 0; repeated rows count each, in a fixed
-    order; an empty table gives no rows and no targets. Other columns are
-    ignored.
+    document without sources takes 0; repeated rows count each; rows without
+    an id are drawn by their text. Documents are ordered by the draw, id, size
+    and a hash of the text, whatever the partitioning, so reruns agree; rows
+    equal in all of these are interchangeable. An empty table gives no rows
+    and no targets. Other columns are ignored.
     """
     sized = cut(docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.to_json(F.struct(F.array_sort(F.array_distinct(sources_of)).alias("s"))).alias("pattern"),
         F.array_sort(F.array_distinct(sources_of)).alias("members"),
         word_count(text_col).alias("size"),
-        seeded(F.col(id_col), seed).alias("u"),
+        # Rows without an id are spread by their text.
+        seeded(F.coalesce(F.col(id_col).cast("string"), F.md5(text_of(text_col).cast("binary"))), seed).alias("u"),
+        F.xxhash64(text_of(text_col)).alias("h"),
         F.monotonically_increasing_id().alias("row"),  # fixed once written
     ))
     found = sized.groupBy("pattern").agg(
@@ -343,7 +366,7 @@ def mix_sources(
     schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("passes", T.LongType()), T.StructField("rest", T.LongType())])
     passes = spark.createDataFrame(plan, schema)
 
-    marked = _mark(sized, passes.select("pattern", "rest"), ("row", "id", "pattern", "members", "size", "u"))
+    marked = _mark(sized, passes.select("pattern", "rest"), ("row", "id", "pattern", "members", "size", "u", "h"))
     marked = marked.join(F.broadcast(passes.select("pattern", "passes")), "pattern")
     if fill:
         counts = {row["pattern"]: row["docs"] for row in found}
@@ -355,7 +378,7 @@ def mix_sources(
     used = marked.groupBy("pattern").agg(F.sum(F.col("size") * F.col("chosen")).alias("used"))
     gap = used.join(F.broadcast(passes), "pattern").select("pattern", (F.col("rest") - F.col("used")).alias("gap"))
     spare = marked.filter("chosen = 0 and size > 0").join(F.broadcast(gap), "pattern").filter("size <= gap")
-    filler = spare.groupBy("pattern").agg(F.max(F.struct("size", (-F.col("u")).alias("v"), "row")).alias("best"))
+    filler = spare.groupBy("pattern").agg(F.max(F.struct("size", (-F.col("u")).alias("v"), "id", "h", "row")).alias("best"))
     filler = filler.select(F.col("best.row").alias("fill"))  # a row per pattern
     filled = marked.join(F.broadcast(filler), marked["row"] == filler["fill"], "left")
     times = F.col("passes") + F.col("chosen") + F.col("fill").isNotNull().cast("long")

@@ -14,50 +14,6 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
-# Every document has one source, so each source is its own pattern and its
-# flow is its quota: whole passes, then documents in seeded order, then the
-# largest that still fits. Targets: sources above 3 times their size per unit
-# of weight are full; they are a prefix in the order of size / weight.
-_MIX = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u
-  FROM documents
-), s AS (
-  SELECT source, sum(size)::BIGINT AS words,
-         (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END) AS w
-  FROM d GROUP BY source
-), r AS (
-  SELECT *, row_number() OVER (ORDER BY words / w, source NULLS LAST) AS k FROM s WHERE words > 0
-), c AS (
-  SELECT a.k, sum(b.words) FILTER (b.k < a.k) AS full_words, sum(b.w) FILTER (b.k >= a.k) AS open_w,
-         (SELECT sum(words) FROM s) AS total
-  FROM r a CROSS JOIN r b GROUP BY a.k
-), u AS (
-  SELECT c.k, (total - 3 * coalesce(full_words, 0))::DOUBLE / open_w AS unit FROM c
-), f AS (
-  SELECT min(u.k) AS k FROM u JOIN r USING (k) WHERE unit * w <= 3 * words
-), g AS (
-  SELECT r.source, r.words, CASE WHEN r.k >= f.k THEN u.unit * r.w ELSE (3 * r.words)::DOUBLE END AS target
-  FROM r, f JOIN u ON u.k = f.k
-), t AS (
-  SELECT d.doc_id, d.size, d.u, d.source, s.words AS source_size, coalesce(g.target, 0.0) AS target,
-         CASE WHEN s.words > 0 THEN floor(coalesce(g.target, 0))::BIGINT // s.words ELSE 0 END AS passes,
-         CASE WHEN s.words > 0 THEN floor(coalesce(g.target, 0))::BIGINT % s.words ELSE 0 END AS rest
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source
-), p AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM t
-), q AS (
-  SELECT *, upto <= rest AND rest > 0 AS chosen, rest - coalesce(sum(size) FILTER (upto <= rest) OVER (PARTITION BY source), 0) AS gap
-  FROM p
-), x AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY (NOT chosen AND size > 0 AND size <= gap) DESC, size DESC, u) AS n FROM q
-)
-SELECT doc_id, size, source_size, target,
-       (size * (passes + chosen::INT + (n = 1 AND NOT chosen AND size > 0 AND size <= gap)::INT))::BIGINT AS taken
-FROM x
-"""
-
 _URLS = r"""
 WITH p AS (
   SELECT page_id, url, regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages
@@ -239,7 +195,6 @@ FROM n LEFT JOIN n up ON up.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN s ON s.
 ORACLE = {
     "op5_url_verdicts": _URLS,
     "op6_secret_scan": _secrets(),
-    "op7_mix_sources": _MIX,
     "op8_archive": _ARCHIVE,
     "op9_exact_duplicates": _EXACT,
     "op11_collocations": _PHRASES,

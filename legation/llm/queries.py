@@ -80,7 +80,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_by_source(table(spark, sf_dir, "documents"))
+    return mix_by_source(table(spark, sf_dir, "documents"), fill=True)
 
 
 def op8_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

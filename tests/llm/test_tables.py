@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -173,6 +174,49 @@ def test_mix_goes_on_behind_a_document_that_does_not_fit(spark):
     assert not fits and all(0 <= g < 20 for g in gap.values())
 
 
+def best_total(sizes, room, copies):
+    """The largest total within ``room`` of sizes taken up to ``copies`` times each."""
+    sums = {0}
+    for size in sizes:
+        sums |= {x + n * size for x in sums for n in range(1, copies + 1) if x + n * size <= room}
+    return max(sums)
+
+
+@needs_tables
+def test_mix_query_against_plain_python(spark):
+    """Targets by water filling; each source takes the largest total that its documents can make of its part."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in docs.items()}
+    of = {}
+    for i, r in docs.items():
+        of.setdefault(r.source, []).append(i)
+    order = sorted(s for s in of if s is not None) + [None] * (None in of)
+    words = {s: sum(size[i] for i in of[s]) for s in order}
+    goal = brute_targets(words, {s: [5, 2, 1][k % 3] for k, s in enumerate(order)})
+    out = {r.doc_id: r for r in QUERIES["op7_mix_sources"](spark, SMOKE_DIR).collect()}
+    assert out.keys() == docs.keys()
+    for s in order:
+        passes, rest = divmod(int(goal[s] + 1e-6), words[s])
+        taken = sum(out[i].taken for i in of[s])
+        assert taken == passes * words[s] + best_total([size[i] for i in of[s]], rest, 3 - passes)
+        for i in of[s]:
+            r = out[i]
+            assert (r.size, r.source_size) == (size[i], words[s]) and abs(r.target - goal[s]) < 1e-6 * max(1, goal[s])
+            assert r.taken % max(r.size, 1) == 0 and passes * r.size <= r.taken <= 3 * r.size
+
+
+def test_mix_reruns_agree_without_ids(spark):
+    """Null and repeated ids: the same rows are taken however the rows are dealt."""
+    rows = [(None if i % 3 else i % 20, prose(i, 1 + i * 13 % 70), f"s{i % 2}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("text_too", F.col("text"))
+    results = set()
+    for n in (1, 5, 16):
+        for options in ({"fill": True}, {"fill": True, "pool": 20}, {}):
+            out = mixing.mix_by_source(frame.repartition(n), **options).collect()
+            results.add((str(options), str(sorted(out, key=str))))
+    assert len(results) == 3
+
+
 @needs_tables
 def test_pipeline_mix_comes_near_its_targets(spark):
     docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
@@ -334,5 +378,5 @@ def test_stages_on_messy_and_empty_input(spark, messy, stage):
 
 def test_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES}
-    assert numbers == set(range(1, 11)) and {*QUERIES, "pipeline"} <= set(queries())
+    assert numbers == set(range(1, 14)) and {*QUERIES, "pipeline"} <= set(queries())
     assert set(ORACLE) <= set(oracle_sql())
