@@ -33,6 +33,25 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return df.checkpoint()
 
 
+def row_keys(docs: DataFrame, id_col: str, name: str = "__key") -> DataFrame:
+    """``docs`` with a number of its own for every row in ``name``.
+
+    It is the id where only one row has it. Rows that share an id, or have
+    none, are written once to the shared folder and numbered there, above the
+    largest id, so that every later step sees the same numbers and decides
+    per row.
+    """
+    key = F.col(id_col).cast("long")
+    shared = docs.groupBy(key.alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 or __id is null")
+    shared = cut(shared.select("__id"), narrow=True)
+    if shared.isEmpty():
+        return docs.withColumn(name, key)
+    same = key.eqNullSafe(F.col("__id"))
+    top = docs.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
+    numbered = docs.join(shared, same, "left_semi").withColumn(name, F.lit(top + 1).cast("long") + F.monotonically_increasing_id())
+    return docs.join(shared, same, "left_anti").withColumn(name, key).unionByName(cut(numbered))
+
+
 def text_of(col: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legation.llm.common import chunks, text_of
+from legation.llm.common import chunks, row_keys, text_of
 
 
 def folded(text: str) -> str:
@@ -100,7 +100,7 @@ class Matcher:
             found = self._verify(index, sorted(guesses), text)
             if found:
                 out.append((self.items[index][0], *found))
-        return sorted(out, key=lambda m: (m[0], m[2]))
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, m[2]))
 
     def _verify(self, index: int, guesses: list[int], text: str) -> tuple[int, int, int, int] | None:
         _, item, budget, forward, backward = self.items[index]
@@ -134,8 +134,7 @@ class Matcher:
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most ``block_chars`` characters (one item at least)."""
     block, size = [], 0
-    rows = items.select(F.col(id_col).cast("long"), text_of(text_col)).filter(F.col(id_col).isNotNull())
-    for item_id, text in rows.toLocalIterator():
+    for item_id, text in items.select(F.col(id_col).cast("long"), text_of(text_col)).toLocalIterator():
         text = folded(text)
         if block and size + len(text) > block_chars:
             yield block
@@ -170,8 +169,8 @@ def benchmark_matches(
     Items are held in blocks of ``block_chars`` characters; each block is one
     scan of the documents, so a benchmark of any size is matched against all
     rows. Null or blank items never match, null or empty documents contain
-    none, rows without an id are scanned and reported with a null id; items
-    without an id are left out. Equal items are reported under each id, and
+    none, rows and items without an id are scanned and reported with a null
+    id. Equal items are reported under each id, and
     repeated (document, item) rows once each per input row.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -198,9 +197,11 @@ def benchmark_matches(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without any benchmark match, all columns unchanged.
+    """The rows without any benchmark match, all columns unchanged.
 
-    Rows without an id are kept: they cannot be named in a match list.
+    Every row is judged by its own text: rows without an id go if their text
+    matches, and a clean row stays though a row with its id goes.
     """
-    hit = benchmark_matches(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    keyed = row_keys(docs, id_col)
+    hit = benchmark_matches(keyed, items, "__key", text_col, **options).select(F.col("__key").alias("__hit")).distinct()
+    return keyed.join(hit, F.col("__key") == F.col("__hit"), "left_anti").drop("__key")

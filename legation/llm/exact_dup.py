@@ -15,7 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legation.llm.common import cut, text_of
@@ -119,7 +119,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, all columns unchanged.
 
     Kept (id, digest) pairs select rows; only where a kept pair occurs more
-    than once (repeated rows) are those rows, and no others, numbered.
+    than once (repeated rows) are those rows, and no others, numbered, in the
+    order of a hash of all their columns: which of them stays does not depend
+    on row order.
     """
     found = cut(exact_duplicates(docs, id_col, text_col))
     kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
@@ -133,7 +135,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return docs.join(kept, same, "left_semi")
     once = docs.join(kept, same, "left_semi")
     plain, again = once.join(repeated, same, "left_anti"), once.join(repeated, same, "left_semi")
-    one_each = again.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    order = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    place = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(order))
+    one_each = again.withColumn("__place", place).filter("__place = 1").drop("__place")
     return plain.unionByName(one_each)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legation.llm.common import chunks, cut, text_of
+from legation.llm.common import chunks, cut, row_keys, text_of
 from legation.llm.components import components
 from legation.llm.words import mix, shingles, word_hashes
 
@@ -368,6 +368,13 @@ def _result(hashed: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay (one per class), all columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("__id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """The rows that stay (one per class), all columns unchanged.
+
+    Every row is a document of its own here: rows that share an id, or have
+    none, are compared and dropped one by one (:func:`row_keys`). The row with
+    the smallest id of a class stays, one without an id of its own only where
+    no other is.
+    """
+    keyed = row_keys(docs, id_col)
+    gone = near_duplicates(keyed, "__key", text_col, **options).filter("not kept").select(F.col("__key").alias("__gone"))
+    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")

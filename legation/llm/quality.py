@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legation.llm.common import chunks, cut, text_of
+from legation.llm.common import chunks, cut, row_keys, text_of
 from legation.llm.words import IS_WORD, buffers, word_hashes, word_spans
 
 # Shares enter as log odds after adding PRIOR_CHARS or PRIOR_WORDS of ordinary
@@ -90,26 +90,24 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, x`` (array of :data:`STATISTICS`) for every row; null text is empty."""
+def document_statistics(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """``id, row, x`` (array of :data:`STATISTICS`) for every row; null text is empty, ``row`` null if not asked for."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             x = statistics(batch.column(1))
             values = pa.array(x.ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["id", "row", "x"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return source.mapInArrow(rows, "id long, x array<double>")
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), row.alias("row"))
+    return source.mapInArrow(rows, "id long, row long, x array<double>")
 
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Two Gaussians: per class the mean, inverse Cholesky factor, log determinant and log prior.
-
-    ``weight`` scales the log-density difference before the logistic link.
-    """
+    """Two Gaussians: per class the mean, inverse Cholesky factor, log determinant and log prior."""
 
     means: np.ndarray
     factors: np.ndarray
@@ -152,10 +150,11 @@ def fit(labelled: DataFrame, shrinkage: float = 0.1) -> Discriminant:
 
     parts = labelled.select("x", F.col("y").cast("int").alias("y")).mapInArrow(moments, "y int, m array<double>")
     at = F.posexplode("m").alias("at", "v")
-    sums = parts.select("y", at).groupBy("y", "at").agg(F.sum("v").alias("v")).collect()  # 2 (1 + d + d^2) rows
+    # Summed as decimals, so that the order in which tasks end changes nothing. 2 (1 + d + d^2) rows.
+    sums = parts.select("y", at).groupBy("y", "at").agg(F.sum(F.col("v").cast("decimal(38,12)")).alias("v")).collect()
     total = np.zeros((2, 1 + d + d * d))
     for row in sums:
-        total[row["y"], row["at"]] = row["v"]
+        total[row["y"], row["at"]] = float(row["v"])
     n = total[:, 0]
     pooled = total.sum(axis=0)
     size = max(pooled[0], 1.0)
@@ -192,8 +191,9 @@ def classify(
     label_col: str = "quality",
     threshold: float = 0.3,
     shrinkage: float = 0.1,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``<id>, held_out, score, predicted``.
+    """One row per document: ``<id>, held_out, score, predicted``, and ``row_col`` if given.
 
     The score depends on the text alone. Labels are learnt from rows that are
     not held out; an id labelled 0 as well as 1 is not learnt from, labels
@@ -201,7 +201,7 @@ def classify(
     count once. Null text is empty and is scored like any other; without any
     usable label every score is the same. Other columns are ignored.
     """
-    stats = cut(document_statistics(docs, id_col, text_col))
+    stats = cut(document_statistics(docs, id_col, text_col, row_col))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).filter("y in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
     train = stats.filter(~held_out(F.col("id"))).join(known, "id")
@@ -209,13 +209,26 @@ def classify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["id", "score"])
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], names=["id", "row", "score"])
 
-    scored = stats.select("id", "x").mapInArrow(score, "id long, score double")
+    scored = stats.select("id", "row", "x").mapInArrow(score, "id long, row long, score double")
     return scored.select(
         F.col("id").alias(id_col),
+        *([F.col("row").alias(row_col)] if row_col else []),
         held_out(F.col("id")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that :func:`classify` predicts 1, all columns unchanged.
+
+    Every row is judged by its own text: rows without an id go if rejected,
+    and an accepted row stays though a row with its id goes.
+    """
+    keyed = row_keys(docs, id_col)
+    judged = classify(keyed, labels, id_col, text_col, row_col="__key", **options)
+    gone = judged.filter("predicted = 0").select(F.col("__key").alias("__gone"))
+    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")

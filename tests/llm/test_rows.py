@@ -1,0 +1,160 @@
+"""Stages decide per row: null, shared and repeated ids; the classifier against plain Python."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import rows
+from llm_helpers import messy, prose, words  # noqa: F401
+
+from legation.llm.common import row_keys
+from legation.llm.decontam import benchmark_matches, drop_contaminated
+from legation.llm.exact_dup import drop_exact_duplicates
+from legation.llm.near_dup import drop_near_duplicates
+from legation.llm.quality import PRIOR_CHARS, PRIOR_LINES, PRIOR_WORDS, STATISTICS, USUAL, USUAL_SQUARE, USUAL_WORD
+from legation.llm.quality import classify, drop_rejected, statistics
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def frame(spark, data):
+    return spark.createDataFrame([(*r, "x") if len(r) == 2 else r for r in data], SCHEMA)
+
+
+def bad(i):
+    return prose(i, 50).upper().replace(" ", " $$$ ") + "!!"
+
+
+def good(i):
+    return prose(i, 50).capitalize() + "."
+
+
+def test_row_keys(spark):
+    data = [(i % 90 if i % 10 else None, f"t{i}") for i in range(300)]
+    keyed = row_keys(frame(spark, data).repartition(7), "doc_id").collect()
+    assert len({r["__key"] for r in keyed}) == 300 and sorted(r.text for r in keyed) == sorted(t for _, t in data)
+    count = Counter(i for i, _ in data)
+    assert all((r["__key"] == r.doc_id) == (count[r.doc_id] == 1 and r.doc_id is not None) for r in keyed)
+    alone = row_keys(frame(spark, [(i, "t") for i in range(9)]), "doc_id")
+    assert all(r["__key"] == r.doc_id for r in alone.collect())
+
+
+def test_rejected_rows_go_and_clean_rows_stay(spark):
+    train = [(i, good(i) if i % 3 else bad(i)) for i in range(1, 400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in train], "doc_id long, quality int")
+    more = [(None, bad(1000)), (None, good(1001)), (5, bad(1002)), (6, good(1003)), (6, good(1003))]
+    left = rows(drop_rejected(frame(spark, train + more), labels), "doc_id", "text")
+    want = [(i, t) for i, t in train + more if "$$$" not in t]
+    assert left == sorted(want, key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def test_contaminated_rows_go_and_clean_rows_stay(spark):
+    passage = prose(77, 30)
+    items = spark.createDataFrame([(None, passage), (4, prose(78, 30))], "item_id long, text string")
+    data = [(1, f"{prose(1, 9)} {passage} end"), (1, prose(2, 40)), (None, passage), (None, prose(3, 40)), (2, prose(78, 30)), (3, None)]
+    assert rows(drop_contaminated(frame(spark, data), items), "doc_id", "text") == rows(frame(spark, [data[1], data[3], data[5]]), "doc_id", "text")
+    found = benchmark_matches(frame(spark, data), items).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in found) == [(0, 0), (1, 0), (2, 4)]
+
+
+def test_near_duplicates_by_row(spark):
+    """Rows that share an id are compared each: one is a copy of another document, the other is not."""
+    a, b = prose(1, 60), prose(2, 60)
+    data = [(1, a), (1, b), (2, b + " extra"), (None, a + " more"), (None, prose(3, 60)), (None, None), (None, None), (7, "")]
+    left = [r.text for r in drop_near_duplicates(frame(spark, data)).collect()]
+    assert sum(t in (a, a + " more") for t in left) == 1 and sum(t in (b, b + " extra") for t in left) == 1
+    assert prose(3, 60) in left and left.count(None) == 2 and "" in left and len(left) == 6
+    # A row with an id of its own is preferred.
+    assert b + " extra" in left
+
+
+def test_exact_duplicates_keep_a_fixed_row(spark):
+    data = [(1, "same", c) for c in "xzyx"] + [(None, "other", c) for c in "ba"] + [(None, "other", None)]
+    kept = set()
+    for order in (data, data[::-1], data[2:] + data[:2]):
+        for parts in (1, 4):
+            kept.add(str(rows(drop_exact_duplicates(frame(spark, order).repartition(parts)))))
+    assert len(kept) == 1 and len(eval(kept.pop())) == 2
+
+
+def test_messy_rows_by_stage(spark, messy):  # noqa: F811
+    data = [(r.doc_id, r.text) for r in messy.collect()]
+    items = spark.createDataFrame([(1, prose(500, 40)), (None, None)], "item_id long, text string")
+    assert rows(drop_contaminated(messy, items)) == rows(messy)
+    exact = drop_exact_duplicates(messy)
+    first = {}
+    for i, t in sorted(data, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
+    assert rows(exact, "doc_id") == sorted([(i,) for i, _ in first.values()], key=lambda r: (r[0] is not None, r[0]))
+    near = drop_near_duplicates(messy).collect()
+    texts = Counter(" ".join(words(r.text or "")) for r in near)
+    assert all(n == 1 for t, n in texts.items() if t) and set(texts) == {" ".join(words(t or "")) for _, t in data}
+    assert texts[""] == sum(not words(t or "") for _, t in data)
+    for stage in (drop_exact_duplicates, drop_near_duplicates):
+        assert stage(messy.limit(0)).collect() == []
+
+
+# -- the classifier, recomputed
+
+
+def plain_statistics(text):
+    text = text or ""
+    found, data = words(text), text.encode()
+    n, sizes = len(found), [len(w.encode()) for w in words(text)]
+    mean = (sum(sizes) + PRIOR_WORDS * USUAL_WORD) / (n + PRIOR_WORDS)
+    square = (sum(s * s for s in sizes) + PRIOR_WORDS * USUAL_SQUARE) / (n + PRIOR_WORDS)
+    count = {
+        "upper": sum(0x41 <= b <= 0x5A for b in data),
+        "digit": sum(0x30 <= b <= 0x39 for b in data),
+        "stop_mark": sum(b in b".,;:!?" for b in data),
+        "symbol": sum(0x21 <= b < 0x80 and not chr(b).isalnum() and b not in b".,;:!?'\"()-" for b in data),
+        "non_ascii": sum(b >= 0x80 for b in data),
+    }
+    lines = [x for x in data.split(b"\n") if x]
+    parts = {k: (v, len(data), PRIOR_CHARS) for k, v in count.items()}
+    parts["short_words"] = (sum(s <= 3 for s in sizes), n, PRIOR_WORDS)
+    parts["distinct_words"] = (len(set(found)), n, PRIOR_WORDS)
+    parts["top_word"] = (max(Counter(found).values(), default=0), n, PRIOR_WORDS)
+    parts["distinct_lines"] = (len(set(lines)), len(lines) if lines else 0, PRIOR_LINES)
+    out = [math.log1p(mean), math.log1p(math.sqrt(max(square - mean * mean, 0)))]
+    for name in STATISTICS[2:]:
+        part, whole, weight = parts[name]
+        out.append(math.log((part + weight * USUAL[name]) / (max(whole - part, 0) + weight * (1 - USUAL[name]))))
+    return out
+
+
+TEXTS = [None, "", "a", "\n\n\n", "é ☃ été", "A b\nA b\nC $%^ 12 12", *[good(i) for i in range(5)], *[bad(i) for i in range(5)]]
+
+
+def test_statistics_against_plain_python():
+    got = statistics(pa.array(TEXTS))
+    assert np.allclose(got, [plain_statistics(t) for t in TEXTS], rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("shrinkage", [0.1, 0.6])
+def test_scores_against_plain_discriminant(spark, shrinkage):
+    data = [(i, good(i) if i % 3 else bad(i)) for i in range(1, 200)] + [(500, None), (501, "short"), (502, "Mixed $$$ text HERE")]
+    truth = {i: int(i % 3 > 0) for i in range(1, 200)}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    got = {r.doc_id: r for r in classify(frame(spark, data), labels, shrinkage=shrinkage).collect()}
+    x = {i: np.array(plain_statistics(t)) for i, t in data}
+    train = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
+    pooled = np.cov(np.array([x[i] for i in train]).T, bias=True)
+    floor = np.diag(np.maximum(np.diag(pooled), 0) * 1e-3 + 1e-6)
+    model = []
+    for label in (0, 1):
+        own = np.array([x[i] for i in train if truth[i] == label])
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov)) + floor
+        model.append((own.mean(axis=0), cov, math.log((len(own) + 1) / (len(train) + 2))))
+    for i, row in got.items():
+        logs = [p - 0.5 * (np.linalg.slogdet(c)[1] + (x[i] - m) @ np.linalg.solve(c, x[i] - m)) for m, c, p in model]
+        score = 1 / (1 + math.exp(-max(-700, min(700, logs[1] - logs[0]))))
+        assert row.score == pytest.approx(score, rel=1e-5, abs=1e-9)
+        assert row.predicted == int(row.score >= 0.3) and row.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
