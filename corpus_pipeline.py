@@ -3,46 +3,47 @@
 ``run(spark, sf_dir)`` applies the stages to ``documents``. Every stage but
 the last returns the columns of its input and only the rows that stay; the
 last returns one row per remaining document with the words the mix takes.
-Null and empty texts pass through every stage by the rules of its operator.
+Every stage decides row by row: rows without an id, or that share one, are
+judged by their own text. Null and empty texts pass through every stage by the
+rules of its operator. Each run leaves one copy of what every stage kept in
+the shared folder; remove the run's folder when it is not needed any more.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from legation.llm.common import table
 from legation.llm.decontam import drop_contaminated
 from legation.llm.exact_dup import drop_exact_duplicates
 from legation.llm.mixing import mix_by_source
 from legation.llm.near_dup import drop_near_duplicates
-from legation.llm.quality import classify
+from legation.llm.quality import drop_rejected
 from legation.session import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    rejected = classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("__id"))
-    return docs.join(rejected.distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    """Rows that the classifier accepts, each by its own text."""
+    return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One row of each text: the smallest id, null last; of rows with one id and text, the least by a hash of all columns."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One row of each class of near-duplicates: the smallest id, rows without an id of their own last."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Rows without a benchmark passage, each by its own text; items without an id count too."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words the mix takes of every remaining document."""
+    """The words the mix takes of every remaining row; rows without an id are drawn by their text."""
     return mix_by_source(docs, fill=True)
 
 
