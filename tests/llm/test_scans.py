@@ -222,10 +222,12 @@ def test_match_rows_and_blocks(spark, messy):
         "item_id long, text string",
     )
     whole = benchmark_matches(messy, items)
-    got = sorted((r.doc_id or 0, r.item_id, r.distance) for r in whole.collect())
-    assert got == sorted([(d, i, 0) for d in (0, 1, 2, 3) for i in (1, 5)] + [(d, 4, 0) for d in (8, 9, 9)])
+    # The item without an id is matched too, and reported as null.
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.distance) for r in whole.collect())
+    assert got == sorted([(d, i, 0) for d in (0, 1, 2, 3) for i in (0, 1, 5)] + [(d, 4, 0) for d in (8, 9, 9)])
     blocks = benchmark_matches(messy, items, block_chars=1)
     assert sorted(map(str, blocks.collect())) == sorted(map(str, whole.collect()))
     kept = drop_contaminated(messy, items)
     assert kept.columns == messy.columns and {r.doc_id for r in kept.collect()} == {None, 4, 5, 6, 10, 11}
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [None]  # the other one holds an item
     assert benchmark_matches(messy.limit(0), items).collect() == [] == benchmark_matches(messy, items.limit(0)).collect()
