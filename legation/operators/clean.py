@@ -98,7 +98,9 @@ def decode(
 
     ``labels`` is either a small mapping (compiled into a literal map, no
     join) or a DataFrame of ``label_key`` -> ``label_col`` joined after a
-    size check (broadcast when small). Unknown codes give a null label.
+    size check (broadcast when small). Unknown codes give a null label. Keys
+    of ``labels`` must be unique: a repeated one repeats the rows of its code
+    (``duplicate_keys`` reports them).
     """
     if isinstance(labels, Mapping):
         lookup = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -203,10 +203,12 @@ def s2_reloaded_rows(spark: SparkSession, d: str) -> DataFrame:
     table = shared_dir(spark, "s2-loaded")
     for source in (wrong, fixed, wrong):
         load_with_rejects(spark, source, orders.schema, table)
-    good = good_rows(spark, table).select(*[F.col(c).cast("string").alias(c) for c in orders.columns if c != "o_totalprice"], F.col("o_totalprice").alias("price"))
-    bad = rejected_rows(spark, table)
-    bad = bad.select(*[c for c in good.columns if c != "price"], F.lit(None).cast("double").alias("price"), "_reject_reason")
-    return good.withColumn("_reject_reason", F.lit(None).cast("string")).unionByName(bad).drop("o_orderdate")
+    dated = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate")
+    good = good_rows(spark, table).withColumn("price", F.col("o_totalprice"))
+    good = good.select(*[F.col(c).cast("string").alias(c) for c in orders.columns if c != "o_orderdate"], dated, "price")
+    # Rejected rows keep their text as it stood in the file.
+    bad = rejected_rows(spark, table).select(*orders.columns, F.lit(None).cast("double").alias("price"), "_reject_reason")
+    return good.withColumn("_reject_reason", F.lit(None).cast("string")).unionByName(bad)
 
 
 def s3_loaded_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +291,7 @@ def r5_parity_by_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_assign_names(spark: SparkSession, d: str) -> DataFrame:
-    orders = Star.of(spark, d).t("orders").drop("o_totalprice")
+    orders = Star.of(spark, d).t("orders")
     return assign_names(
         orders,
         {
@@ -741,7 +743,7 @@ GROUP BY ALL""",
     "s4_export_feed": _CROSSTAB,
     "p1_assign_names": """
 SELECT o_orderkey AS appointment_id, o_custkey AS person_id, o_orderstatus AS category,
-       o_orderdate AS appointed_on, o_orderpriority AS posting
+       o_orderdate AS appointed_on, o_orderpriority AS posting, o_totalprice
 FROM orders""",
     "p2_conform_types": """
 SELECT o_orderkey, o_custkey, o_orderstatus,
@@ -995,6 +997,8 @@ SELECT r_name, n_name, n_total, n_category, share,
 FROM sh""",
     "s2_reloaded_rows": """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       CASE WHEN o_orderstatus = 'P' THEN replace(CAST(o_totalprice AS VARCHAR), '.', ',') ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice,
        CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price,
        CASE WHEN o_orderstatus = 'P' THEN 'bad o_totalprice' END AS _reject_reason
 FROM orders""",
