@@ -11,7 +11,7 @@ import pytest
 from llm_helpers import messy, prose, words  # noqa: F401
 from pyspark.sql import functions as F
 
-from legation.llm.decontam import Matcher, benchmark_matches, drop_contaminated, folded, masks, myers, pieces
+from legation.llm.decontam import Matcher, ancestors, benchmark_matches, drop_contaminated, folded, masks, myers, pieces
 from legation.llm.licenses import BASE_PHRASES, NOTICE_PHRASES, Scanner, evaluate, license_scan
 from legation.llm.secrets import secret_scan
 from legation.llm.tokens import UnigramCounter, load_vocabulary, token_counts
@@ -189,15 +189,27 @@ def test_myers_is_the_edit_distance():
     assert pieces(10, 3) == [(0, 2), (2, 5), (5, 7), (7, 10)]
 
 
-def test_matches_against_brute_force():
+def test_ancestors():
+    """Every leaf's runs grow by neighbours up to the whole, and runs of one level tile the leaves."""
+    for n in range(1, 60):
+        chains = ancestors(n)
+        for leaf, runs in enumerate(chains):
+            sizes = [(leaf, leaf + 1), *runs]
+            assert all(a <= b < c <= d and (b, c) != (a, d) for (b, c), (a, d) in zip(sizes, sizes[1:]))
+        first = sorted({runs[0] for runs in chains if runs})
+        assert not first or [x for run in first for x in range(*run)] == list(range(n))
+
+
+@pytest.mark.parametrize("rate", [0.08, 0.14, 0.3])
+def test_matches_against_brute_force(rate):
     r = random.Random(9)
     items = [(i, folded(prose(100 + i, 12))) for i in range(12)] + [(50, "short"), (51, "")]
-    matcher = Matcher(items, 0.08)
+    matcher = Matcher(items, rate)
     for n in range(150):
         text = list(prose(1000 + n, 30))
         for _ in range(r.randint(0, 2)):
             item = list(r.choice(items)[1])
-            for _ in range(r.randint(0, 9)):
+            for _ in range(r.randint(0, 9 if rate < 0.1 else 30)):
                 if item:
                     at = r.randrange(len(item))
                     item[at : at + r.randint(0, 1)] = r.choice(["", "x", "yz"])
@@ -207,7 +219,7 @@ def test_matches_against_brute_force():
         want = {}
         for item_id, item in items:
             best = min(edit_distance_ends(item, text), default=99) if item else 99
-            if item and best <= int(len(item) * 0.08):
+            if item and best <= int(len(item) * rate):
                 want[item_id] = best
         got = matcher.matches(text)
         assert {m[0]: m[1] for m in got} == want
