@@ -36,6 +36,7 @@ from legation.operators.measures import (
     rollup_counts,
     share_by,
 )
+from legation.operators.quantiles import quantiles_by
 from legation.operators.versions import (
     diff_versions,
     latest_per_key,
@@ -78,6 +79,7 @@ __all__ = [
     "normalise_keys",
     "parity_ratio",
     "profile",
+    "quantiles_by",
     "rank_within",
     "rollup_counts",
     "share_by",

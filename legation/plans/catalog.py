@@ -43,6 +43,7 @@ from legation.operators import (
     normalise_keys,
     parity_ratio,
     profile,
+    quantiles_by,
     rank_within,
     rollup_counts,
     share_by,
@@ -584,6 +585,23 @@ def q4_keys_and_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+# ---------------------------------------------------------------- A11: medians and quantiles
+
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+def a11_share_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles, per sending state, of the share of the category among each customer's orders."""
+    star = Star.of(spark, d)
+    shares = share_by(star.t("orders"), "o_custkey", "o_orderstatus", CATEGORY)
+    linked = enrich(shares, star.customer_link(), "o_custkey", "c_custkey", ["c_nationkey"])
+    return quantiles_by(linked, "c_nationkey", "share", QUANTILES, name="share")
+
+
+def a11_price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles_by(Star.of(spark, d).t("orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice", QUANTILES, name="price")
+
+
 # ---------------------------------------------------------------- F1: flagship
 
 
@@ -656,6 +674,8 @@ QUERIES: dict[str, Query] = {
     "w5_tenure_spells": w5_tenure_spells,
     "a10_in_post": a10_in_post,
     "q4_keys_and_dependencies": q4_keys_and_dependencies,
+    "a11_share_quantiles": a11_share_quantiles,
+    "a11_price_quantiles": a11_price_quantiles,
     "f1_category_share_ranking": f1_category_share_ranking,
 }
 
@@ -988,6 +1008,17 @@ FROM t JOIN q ON q.receiver IS NOT DISTINCT FROM t.receiver GROUP BY t.receiver,
             ("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
         )
     ),
+    "a11_share_quantiles": f"""
+WITH s AS (SELECT o_custkey, {_SHARE} FROM orders GROUP BY o_custkey),
+l AS (SELECT c_nationkey, share FROM s LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT c_nationkey, 0.1::DOUBLE AS quantile, quantile_disc(share, 0.1) AS share, count(share) AS n FROM l GROUP BY c_nationkey
+UNION ALL SELECT c_nationkey, 0.5::DOUBLE, quantile_disc(share, 0.5), count(share) FROM l GROUP BY c_nationkey
+UNION ALL SELECT c_nationkey, 0.9::DOUBLE, quantile_disc(share, 0.9), count(share) FROM l GROUP BY c_nationkey""",
+    "a11_price_quantiles": " UNION ALL ".join(
+        f"SELECT o_orderstatus, o_orderpriority, {q}::DOUBLE AS quantile, quantile_disc(o_totalprice, {q}) AS price, "
+        "count(o_totalprice) AS n FROM orders GROUP BY ALL"
+        for q in QUANTILES
+    ),
     "f1_category_share_ranking": f"""
 WITH {_COUNTRIES},
 sh AS (SELECT r_name, n_name, {_SHARE} FROM {_BY_SENDER} GROUP BY r_name, n_name)

@@ -1,0 +1,83 @@
+"""Exact quantiles against sorting in plain Python."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from legation.operators import quantiles as module
+from legation.operators import quantiles_by
+
+QS = (0.0, 0.1, 0.5, 0.75, 1.0)
+
+
+def brute(data, qs=QS):
+    by = {}
+    for g, v in data:
+        if v is not None:
+            by.setdefault(g, []).append(float(v))
+    out = {}
+    for g, values in by.items():
+        values.sort(key=lambda v: (math.isnan(v), v))
+        n = len(values)
+        for q in qs:
+            out[g, q] = (values[max(1, n - math.floor(n - q * n)) - 1], n)
+    return out
+
+
+def got(spark, data, **more):
+    df = quantiles_by(spark.createDataFrame(data, "g string, v double"), "g", "v", QS, **more)
+    return {(r.g, r.quantile): (r.value, r.n) for r in df.collect()}
+
+
+def same(a, b):
+    return a.keys() == b.keys() and all(
+        x[1] == y[1] and (x[0] == y[0] or (math.isnan(x[0]) and math.isnan(y[0]))) for x, y in ((a[k], b[k]) for k in a)
+    )
+
+
+def draws(kind, r):
+    return {
+        "even": lambda: r.random() * 100,
+        "ties": lambda: float(r.randint(0, 4)),
+        "spread": lambda: r.choice([-1, 1]) * 10.0 ** r.uniform(-300, 300),
+        "close": lambda: 1e9 + r.randint(0, 50) * 2e-7,
+        "ends": lambda: r.choice([float("inf"), float("-inf"), float("nan"), None, 0.0, -0.0, 1e308, -1e308, 5e-324, r.random()]),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "spread", "close", "ends"])
+def test_matches_sorting(spark, kind):
+    r = random.Random(kind)
+    draw = draws(kind, r)
+    data = [(r.choice(["hot", "hot", "a", "b", None]), draw()) for _ in range(600)] + [("one", draw()), ("none", None)]
+    assert same(got(spark, data), brute(data))
+
+
+def test_without_broadcast_and_with_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(module, "BUCKETS", 3)
+    r = random.Random(2)
+    data = [(r.choice("ab"), r.gauss(0, 5)) for _ in range(150)]
+    assert same(got(spark, data), brute(data))
+
+
+def test_hot_group_whole(spark):
+    """A third of all rows in one group: the median is exact."""
+    df = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("g"), ((F.col("id") * 7919) % 90_001).alias("v"))
+    row = quantiles_by(df, "g", "v").where("g = 'hot'").first()
+    values = sorted((i * 7919) % 90_001 for i in range(0, 90_000, 3))
+    assert (row.value, row.n) == (values[14_999], 30_000)
+
+
+def test_several_groups_names_and_empty(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), ("a", 2, 9), (None, None, 4)], "g string, h int, v int")
+    out = quantiles_by(df, ["g", "h"], "v", [0.5], "q", "median", "rows")
+    assert out.columns == ["g", "h", "q", "median", "rows"]
+    assert {tuple(r) for r in out.collect()} == {("a", 1, 0.5, 5.0, 2), ("a", 2, 0.5, 9.0, 1), (None, None, 0.5, 4.0, 1)}
+    assert quantiles_by(df.limit(0), "g", "v").collect() == []
+    with pytest.raises(ValueError):
+        quantiles_by(df, "g", "v", [1.5])
