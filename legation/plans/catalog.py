@@ -986,11 +986,11 @@ SELECT o_orderkey, sender, o_orderdate, CASE WHEN o_orderdate < valid_to THEN va
        CASE WHEN o_orderdate < valid_to THEN version END AS version, CASE WHEN o_orderdate < valid_to THEN valid_to END AS valid_to
 FROM j""",
     "w5_tenure_spells": """
-WITH p AS (SELECT l_suppkey, l_shipdate AS b, l_shipdate + to_days(l_linenumber) AS e FROM lineitem),
+WITH p AS (SELECT l_suppkey, l_shipdate AS b, l_shipdate + to_days(l_linenumber) AS e, count(*) AS c FROM lineitem GROUP BY ALL),
 r AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM p),
 s AS (SELECT *, sum((reached IS NULL OR b > reached)::INT) OVER (PARTITION BY l_suppkey ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS spell
       FROM r)
-SELECT l_suppkey, min(b) AS spell_start, max(e) AS spell_end, count(*) AS n_postings FROM s GROUP BY l_suppkey, spell""",
+SELECT l_suppkey, min(b) AS spell_start, max(e) AS spell_end, CAST(sum(c) AS BIGINT) AS n_postings FROM s GROUP BY l_suppkey, spell""",
     "a10_in_post": """
 WITH p AS (SELECT s_nationkey AS receiver, l_shipdate AS b,
                   CASE WHEN l_linestatus <> 'O' THEN l_shipdate + to_days(l_linenumber) END AS e
