@@ -25,6 +25,7 @@ from legation.operators.joins import (
     inactive_members,
 )
 from legation.operators.keys import keys_and_dependencies
+from legation.operators.matching import suggested_matches
 from legation.operators.measures import (
     bilateral_matrix,
     count_by,
@@ -84,6 +85,7 @@ __all__ = [
     "rollup_counts",
     "share_by",
     "share_of_total",
+    "suggested_matches",
     "tenure_spells",
     "top_k",
     "top_n_per_group",

@@ -48,6 +48,7 @@ from legation.operators import (
     rollup_counts,
     share_by,
     share_of_total,
+    suggested_matches,
     tenure_spells,
     top_k,
     top_n_per_group,
@@ -585,6 +586,29 @@ def q4_keys_and_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+# ---------------------------------------------------------------- Q5: suggested matches
+
+MATCH_DISTANCE = 2  # edits between a name and its suggestion
+
+
+def q5_suggested_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelt names without a counterpart, with every reference name within two edits.
+
+    A reference name is a part's name and a code of its key. The other names
+    are the same with up to three characters lost, added or replaced.
+    """
+    code = F.substr(F.md5(F.col("p_partkey").cast("string")), F.lit(1), F.lit(8))
+    reference = Star.of(spark, d).t("part").select("p_partkey", F.concat("p_name", F.lit(" "), code).alias("name"))
+    at = (F.col("p_partkey") % 5 + 2).cast("int")
+    lost = F.concat(F.substr("name", F.lit(1), at - 1), F.substr("name", at + 1))
+    added = F.concat(F.substr("name", F.lit(1), at + 3), F.lit("x"), F.substr("name", at + 4))
+    replaced = F.concat(F.lit("#"), F.substr(lost, F.lit(2)))
+    kinds = [F.col("name"), lost, added, replaced, F.concat(replaced, F.lit("s")), F.concat(F.lit("b"), replaced, F.lit("s"))]
+    spelt = F.element_at(F.array(*kinds), (F.col("p_partkey") % len(kinds) + 1).cast("int"))
+    misspelt = unmatched_codes(reference.select(spelt.alias("name")), reference, "name", "name")
+    return suggested_matches(misspelt, reference, "name", "name", MATCH_DISTANCE)
+
+
 # ---------------------------------------------------------------- A11: medians and quantiles
 
 QUANTILES = (0.1, 0.5, 0.9)
@@ -674,6 +698,7 @@ QUERIES: dict[str, Query] = {
     "w5_tenure_spells": w5_tenure_spells,
     "a10_in_post": a10_in_post,
     "q4_keys_and_dependencies": q4_keys_and_dependencies,
+    "q5_suggested_matches": q5_suggested_matches,
     "a11_share_quantiles": a11_share_quantiles,
     "a11_price_quantiles": a11_price_quantiles,
     "f1_category_share_ranking": f1_category_share_ranking,
@@ -1008,6 +1033,16 @@ FROM t JOIN q ON q.receiver IS NOT DISTINCT FROM t.receiver GROUP BY t.receiver,
             ("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
         )
     ),
+    "q5_suggested_matches": f"""
+WITH r AS (SELECT p_partkey AS k, p_name || ' ' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS name FROM part),
+l AS (SELECT k, name, substr(name, 1, k % 5 + 1) || substr(name, k % 5 + 3) AS lost FROM r),
+m AS (SELECT DISTINCT CASE k % 6 WHEN 0 THEN name WHEN 1 THEN lost
+        WHEN 2 THEN substr(name, 1, k % 5 + 5) || 'x' || substr(name, k % 5 + 6)
+        WHEN 3 THEN '#' || substr(lost, 2) WHEN 4 THEN '#' || substr(lost, 2) || 's'
+        ELSE 'b#' || substr(lost, 2) || 's' END AS name FROM l),
+u AS (SELECT name FROM m WHERE name NOT IN (SELECT name FROM r))
+SELECT u.name, b.name AS suggestion, CAST(levenshtein(u.name, b.name) AS INTEGER) AS distance
+FROM u JOIN (SELECT DISTINCT name FROM r) b ON levenshtein(u.name, b.name) <= {MATCH_DISTANCE}""",
     "a11_share_quantiles": f"""
 WITH s AS (SELECT o_custkey, {_SHARE} FROM orders GROUP BY o_custkey),
 l AS (SELECT c_nationkey, share FROM s LEFT JOIN customer ON o_custkey = c_custkey)
