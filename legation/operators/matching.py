@@ -20,10 +20,9 @@ from legation.session import shared_dir
 _HEAD, _TAIL = "\x01", "\x02"
 
 
-def _grams(name: Column, q: int) -> Column:
-    """The grams of a name in order: its length + q - 1 of them."""
-    padded = F.concat(F.lit(_HEAD * (q - 1)), name, F.lit(_TAIL * (q - 1)))
-    return F.transform(F.sequence(F.lit(1), F.char_length(name) + (q - 1)), lambda i: F.substr(padded, i, F.lit(q)))
+def _padded(name: Column, q: int) -> Column:
+    """The name with ends of its own: it has its length + q - 1 grams."""
+    return F.concat(F.lit(_HEAD * (q - 1)), name, F.lit(_TAIL * (q - 1)))
 
 
 def _without(texts: Column) -> Column:
@@ -39,22 +38,26 @@ def _without(texts: Column) -> Column:
 def _keys(names: DataFrame, d: int, q: int) -> DataFrame:
     """``names`` (name, left, right) with its length ``n`` and join keys ``keys``."""
     base = ["name", "left", "right"]
-    grams = names.select(*base, F.explode(_grams(F.col("name"), q)).alias("gram"))
+    starts = F.sequence(F.lit(1), F.char_length("name") + (q - 1))
+    cut = names.select(*base, _padded(F.col("name"), q).alias("text"), F.explode(starts).alias("i"))
+    grams = cut.select(*base, F.substr("text", F.col("i"), F.lit(q)).alias("gram"))
     counted = grams.groupBy(*base, "gram").agg(F.count(F.lit(1)).alias("c"))
     # Grams are of one length, so gram and number cannot be confused.
     tokens = counted.select(*base, F.explode(F.sequence(F.lit(1), "c")).alias("k"), "gram").select(
         *base, F.concat(F.lit("g"), "gram", F.col("k").cast("string")).alias("token")
     )
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct("f", "token"))), 1, q * d + 1)["token"]
-    ranked = tokens.join(often, "token").groupBy(*base).agg(rarest.alias("tokens"))
-    n = F.char_length("name")
+    short = F.char_length("name") + (q - 1) <= q * d
     rest = F.array("name")
     for _ in range(d):
         rest = _without(rest)
-    left_over = F.when(n + (q - 1) <= q * d, F.transform(rest, lambda s: F.concat(F.lit("d"), s)))
-    keys = F.concat("tokens", F.coalesce(left_over, F.array().cast("array<string>")))
-    return ranked.select(*base, n.alias("n"), keys.alias("keys"))
+    left_over = names.where(short).select(*base, F.lit(0).cast("long").alias("f"), F.explode(rest).alias("rest"))
+    left_over = left_over.select(*base, "f", F.concat(F.lit("d"), "rest").alias("token"))
+    ranked = tokens.join(often, "token").select(*base, "f", "token").unionByName(left_over)
+    keys = F.sort_array(F.collect_list(F.struct("f", "token")))["token"]
+    keyed = ranked.groupBy(*base).agg(keys.alias("keys"))
+    n = F.char_length("name").alias("n")
+    return keyed.select(*base, n, F.when(short, F.col("keys")).otherwise(F.slice("keys", 1, q * d + 1)).alias("keys"))
 
 
 def suggested_matches(
@@ -87,13 +90,17 @@ def suggested_matches(
     right = reference.select(F.col(reference_name).alias("name"), F.lit(False).alias("left"), F.lit(True).alias("right"))
     names = left.unionByName(right).where(F.col("name").isNotNull())
     names = names.groupBy("name").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    keyed = _keys(names, d, q).checkpoint(eager=True)  # read twice below
+    # Few bytes make many grams and pairs, so partitions must not be merged by their size.
+    parts = int(unmatched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = names.repartition(parts, "name").checkpoint(eager=True)  # each is read more than once
+    keyed = _keys(names, d, q).repartition(parts, "name").checkpoint(eager=True)
 
     a = keyed.where("left").select(F.col("name").alias("a"), F.col("n").alias("n"), F.col("keys").alias("a_keys"), F.explode("keys").alias("key"))
     b = keyed.where("right").select(F.col("name").alias("b"), F.col("n").alias("b_n"), F.col("keys").alias("b_keys"), F.explode("keys").alias("key"))
     b = b.withColumn("n", F.explode(F.sequence(F.col("b_n") - d, F.col("b_n") + d)))
-    pairs = a.join(b, ["key", "n"]).where(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key"))
-    near = pairs.withColumn("e", F.levenshtein("a", "b", d)).where("e >= 0")
+    # The edit distance within a bound is cheaper than the keys' intersection and rules out nearly all pairs.
+    near = a.join(b, ["key", "n"]).withColumn("e", F.levenshtein("a", "b", d)).where("e >= 0")
+    near = near.where(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key"))
     if nearest:
         best = near.groupBy("a").agg(F.min(F.struct("e", "b")).alias("best"))
         near = best.select("a", "best.b", "best.e")
