@@ -1,5 +1,6 @@
 """DataFrame operators (DataFrame in, DataFrame out)."""
 
+from legation.operators.bootstrap import share_intervals
 from legation.operators.clean import (
     assign_names,
     conform_types,
@@ -84,6 +85,7 @@ __all__ = [
     "rank_within",
     "rollup_counts",
     "share_by",
+    "share_intervals",
     "share_of_total",
     "suggested_matches",
     "tenure_spells",

@@ -11,6 +11,7 @@ session's shared checkpoint folder and read them back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,7 @@ from legation.operators import (
     rank_within,
     rollup_counts,
     share_by,
+    share_intervals,
     share_of_total,
     suggested_matches,
     tenure_spells,
@@ -626,6 +628,29 @@ def a11_price_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles_by(Star.of(spark, d).t("orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice", QUANTILES, name="price")
 
 
+# ---------------------------------------------------------------- A12: confidence intervals
+
+REPLICATES = 200
+
+
+def _orders_by_state(spark: SparkSession, d: str) -> DataFrame:
+    star = Star.of(spark, d)
+    orders = star.t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return enrich(orders, star.customer_link(), "o_custkey", "c_custkey", ["c_nationkey"])
+
+
+def a12_share_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the category per sending state with a 95 % interval; orders are drawn."""
+    return share_intervals(_orders_by_state(spark, d), "c_nationkey", "o_orderstatus", CATEGORY, "o_orderkey", replicates=REPLICATES)
+
+
+def a12_parity_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio of two categories per posting with a 90 % interval; customers are drawn with all their orders."""
+    return share_intervals(
+        _orders_by_state(spark, d), "o_orderpriority", "o_orderstatus", CATEGORY, "o_custkey", OTHER, REPLICATES, 0.9
+    )
+
+
 # ---------------------------------------------------------------- F1: flagship
 
 
@@ -701,6 +726,8 @@ QUERIES: dict[str, Query] = {
     "q5_suggested_matches": q5_suggested_matches,
     "a11_share_quantiles": a11_share_quantiles,
     "a11_price_quantiles": a11_price_quantiles,
+    "a12_share_intervals": a12_share_intervals,
+    "a12_parity_intervals": a12_parity_intervals,
     "f1_category_share_ranking": f1_category_share_ranking,
 }
 
@@ -708,6 +735,25 @@ QUERIES: dict[str, Query] = {
 # ---------------------------------------------------------------- oracle SQL (DuckDB)
 
 
+def _intervals_sql(group: str, unit: str, counted: str, level: float) -> str:
+    """Poisson draws from 16 bits of MD5 per replicate, then the replicates' ratios by rank."""
+    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    draw = " + ".join(f"(u >= {math.floor(65536 * p)})::INT" for p in cdf if math.floor(65536 * p) < 65535)
+    return f"""
+WITH f AS (SELECT {group} AS g, CAST({unit} AS VARCHAR) AS unit, coalesce({counted}, false) AS den,
+                  coalesce(o_orderstatus = '{CATEGORY}', false) AS num FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+u AS (SELECT unit, r, ('0x' || substr(md5(unit || ':' || CAST(r // 8 AS VARCHAR)), CAST(r % 8 * 4 + 1 AS INT), 4))::BIGINT AS u
+      FROM (SELECT DISTINCT unit FROM f), range({REPLICATES}) t(r)),
+s AS (SELECT g, r, sum(w) FILTER (num) AS num, sum(w) FILTER (den) AS den
+      FROM f JOIN (SELECT unit, r, {draw} AS w FROM u) USING (unit) GROUP BY g, r),
+v AS (SELECT g, list_sort(list(coalesce(num, 0)::DOUBLE / den::DOUBLE) FILTER (den > 0)) AS v FROM s GROUP BY g),
+n AS (SELECT g, count(*) FILTER (den) AS n_denominator, count(*) FILTER (num) AS n_numerator FROM f GROUP BY g)
+SELECT n.g AS {group}, n_denominator, n_numerator, n_numerator::DOUBLE / nullif(n_denominator, 0)::DOUBLE AS value,
+       v[greatest(1, ceil(len(v) * {(1 - level) / 2!r}::DOUBLE)::INT)] AS low,
+       v[greatest(1, ceil(len(v) * {(1 + level) / 2!r}::DOUBLE)::INT)] AS high, CAST(coalesce(len(v), 0) AS INTEGER) AS n_replicates
+FROM n LEFT JOIN v ON v.g IS NOT DISTINCT FROM n.g"""
+
+
 def _lattice_sql(table: str, columns: str) -> str:
     """Keys and dependencies of a table from the distinct rows of every column set, named by bit masks."""
     names = columns.split()
@@ -1054,6 +1100,8 @@ UNION ALL SELECT c_nationkey, 0.9::DOUBLE, quantile_disc(share, 0.9), count(shar
         "count(o_totalprice) AS n FROM orders GROUP BY ALL"
         for q in QUANTILES
     ),
+    "a12_share_intervals": _intervals_sql("c_nationkey", "o_orderkey", "o_orderstatus IS NOT NULL", 0.95),
+    "a12_parity_intervals": _intervals_sql("o_orderpriority", "o_custkey", f"o_orderstatus = '{OTHER}'", 0.9),
     "f1_category_share_ranking": f"""
 WITH {_COUNTRIES},
 sh AS (SELECT r_name, n_name, {_SHARE} FROM {_BY_SENDER} GROUP BY r_name, n_name)
