@@ -30,11 +30,12 @@ def poisson_thresholds() -> list[int]:
 
 
 def _draw(hashed: Column, at: int) -> Column:
-    u = F.conv(F.substr(hashed, F.lit(4 * at + 1), F.lit(4)), 16, 10).cast("int")
-    weight = F.lit(0)
-    for times, bound in enumerate(poisson_thresholds(), 1):
-        weight = F.when(u >= bound, times).otherwise(weight)
-    return weight
+    u = F.substr(hashed, F.lit(4 * at + 1), F.lit(4))  # hex digits of one width compare as their numbers do
+    bounds = poisson_thresholds()
+    weight = F.when(u < f"{bounds[0]:04x}", 0)
+    for times, bound in enumerate(bounds[1:], 1):
+        weight = weight.when(u < f"{bound:04x}", times)
+    return weight.otherwise(len(bounds))
 
 
 def share_intervals(
