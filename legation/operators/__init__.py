@@ -26,6 +26,7 @@ from legation.operators.joins import (
     inactive_members,
 )
 from legation.operators.keys import keys_and_dependencies
+from legation.operators.maintained import fold_batches, maintained_counts, record_changes, signed_changes
 from legation.operators.matching import suggested_matches
 from legation.operators.measures import (
     bilateral_matrix,
@@ -70,11 +71,13 @@ __all__ = [
     "enrich",
     "enrich_both",
     "filter_appointments",
+    "fold_batches",
     "in_post",
     "inactive_members",
     "join_as_of",
     "keys_and_dependencies",
     "latest_per_key",
+    "maintained_counts",
     "marginals",
     "melt",
     "merge_versions",
@@ -83,10 +86,12 @@ __all__ = [
     "profile",
     "quantiles_by",
     "rank_within",
+    "record_changes",
     "rollup_counts",
     "share_by",
     "share_intervals",
     "share_of_total",
+    "signed_changes",
     "suggested_matches",
     "tenure_spells",
     "top_k",

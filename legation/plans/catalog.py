@@ -34,10 +34,12 @@ from legation.operators import (
     enrich,
     enrich_both,
     filter_appointments,
+    fold_batches,
     in_post,
     inactive_members,
     join_as_of,
     keys_and_dependencies,
+    maintained_counts,
     marginals,
     melt,
     merge_versions,
@@ -46,10 +48,12 @@ from legation.operators import (
     profile,
     quantiles_by,
     rank_within,
+    record_changes,
     rollup_counts,
     share_by,
     share_intervals,
     share_of_total,
+    signed_changes,
     suggested_matches,
     tenure_spells,
     top_k,
@@ -539,6 +543,30 @@ def u2_whole_row_changes(spark: SparkSession, d: str) -> DataFrame:
     return whole_row_changes(_customers_before(star), new)
 
 
+def u3_maintained_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Subtotals by posting and category after three versions of the orders, from their differences alone.
+
+    The second version adds later orders and settles open ones, the third
+    drops some and is the last. The second batch is replayed, before and
+    after the first two are folded.
+    """
+    keys = ["o_orderpriority", "o_orderstatus"]
+    orders = Star.of(spark, d).t("orders").select("o_orderkey", "o_orderdate", *keys)
+    settled = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 7 == 0), "F").otherwise(F.col("o_orderstatus"))
+    first = orders.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"))
+    second = orders.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp")).withColumn("o_orderstatus", settled)
+    third = orders.where(F.col("o_orderkey") % 11 != 0)
+    path = shared_dir(spark, "u3-counts")
+    record_changes(first.withColumn("n", F.lit(1)), path, keys, 0)
+    later = signed_changes(whole_row_changes(first, second))
+    record_changes(later, path, keys, 1)
+    record_changes(later, path, keys, 1)
+    fold_batches(spark, path, keys, 1)
+    record_changes(later, path, keys, 1)
+    record_changes(signed_changes(whole_row_changes(second, third)), path, keys, 2)
+    return rollup_counts(maintained_counts(spark, path, keys), keys, weight="n")
+
+
 # ------------------------------------- J6, W5, A10: beginnings and ends; Q4: keys
 
 VERSION_DAYS = 14  # a version of a state that no other replaces lapses after so many days
@@ -719,6 +747,7 @@ QUERIES: dict[str, Query] = {
     "u1_merge_versions": u1_merge_versions,
     "u2_diff_versions": u2_diff_versions,
     "u2_whole_row_changes": u2_whole_row_changes,
+    "u3_maintained_counts": u3_maintained_counts,
     "j6_version_as_of": j6_version_as_of,
     "w5_tenure_spells": w5_tenure_spells,
     "a10_in_post": a10_in_post,
@@ -1046,6 +1075,10 @@ WITH {_VERSIONS}
 SELECT *, 'old' AS side, count(*) AS n FROM (SELECT * FROM old_v EXCEPT ALL SELECT * FROM new_v) GROUP BY ALL
 UNION ALL
 SELECT *, 'new' AS side, count(*) AS n FROM (SELECT * FROM new_v EXCEPT ALL SELECT * FROM old_v) GROUP BY ALL""",
+    "u3_maintained_counts": """
+SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(grouping(o_orderpriority) AS INTEGER) AS g_o_orderpriority,
+       CAST(grouping(o_orderstatus) AS INTEGER) AS g_o_orderstatus
+FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""",
     "j6_version_as_of": f"""
 WITH f AS (SELECT o_orderkey, c_nationkey AS sender, o_orderdate, o_orderpriority FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 s AS (SELECT sender, o_orderdate AS valid_from, max(o_orderkey) AS version FROM f WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
