@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 
-from legation.operators import suggested_matches
+from legation.operators import matching, suggested_matches
 
 
 def edits(a, b):
@@ -79,3 +80,41 @@ def test_rejects_wrong_parameters(spark):
     for more in ({"max_distance": -1}, {"q": 1}):
         with pytest.raises(ValueError):
             suggested_matches(df, df, "name", "name", **more)
+
+
+def sides(spark, left, right):
+    rows = [(x, x in left, x in right) for x in {*left, *right}]
+    return spark.createDataFrame(rows, "name string, left boolean, right boolean")
+
+
+def test_windows_and_grams_equal_all_pairs(spark):
+    r = random.Random(8)
+    right = ["".join(r.choice("aab ") for _ in range(r.randint(0, 12))) for _ in range(40)]
+    left = [changed(r.choice(right), r, r.randint(0, 3)) for _ in range(40)]
+    names, expected = sides(spark, left, right), brute(left, right, 2)
+    for p, tail in ((3, False), (7, True), (20, False)):
+        found = [tuple(x) for x in matching._by_windows(names, 2, p, tail).collect()]
+        assert len(found) == len(expected) and set(found) == expected
+    found = [tuple(x) for x in matching._by_grams(matching._keys(names, 2, 3), 2).collect()]
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_names_hot_at_both_ends(spark):
+    """Windows at either end are shared by all: grams or longer windows take over and lose nothing."""
+    codes = [f"{i * 7919 % 100003:05d}" for i in range(120)]
+    right, left = ([f"Republic of the {change(c)} united lands" for c in codes] for change in (str, lambda c: changed(c, random.Random(c), 2)))
+    names = sides(spark, left, right)
+    assert min(matching._window_pairs(names, 2, 10, tail) for tail in (False, True)) > 46 * names.count()
+    assert got(spark, left, right) == brute(left, right, 2)
+
+
+def test_pairs_follow_the_names_and_no_side_is_broadcast(spark):
+    """Few words and a code: the words are frequent, and so are the code's grams as names grow in number."""
+    right = [f"{'large ring hot bolt'.split()[i % 4]} {hashlib.md5(str(i).encode()).hexdigest()[:8]}" for i in range(6000)]
+    left = ["#" + x[1:] for x in right]
+    names = sides(spark, left, right)
+    assert matching._window_pairs(names, 2, 10, True) < 46 * names.count()
+    a, b = (spark.createDataFrame([(x,) for x in some], "name string") for some in (left, right))
+    out = suggested_matches(a, b, "name", "name")
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    assert out.where("distance = 1").count() >= 6000
