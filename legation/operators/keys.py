@@ -6,7 +6,9 @@ e(X) = e(X with A). Classes of one row add nothing to an error, so only the
 others are summed. Sets grow by one column per level; sets that hold a key are
 not measured, nor those whose error follows from a known dependency. The sets
 of a level are measured together by grouping sets, which combine in the map
-tasks; the driver receives one number per set.
+tasks; the driver receives one number per set. The distinct rows are kept in
+the shared folder in small partitions, and a pass measures as many sets as
+leave a task a bounded number of classes.
 """
 
 from __future__ import annotations
@@ -16,14 +18,32 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from legation.session import shared_dir
+
 SETS_PER_PASS = 32  # grouping sets of one job: bounds how often a row is expanded
+CLASSES_PER_TASK = 1 << 20  # classes that a task holds at once; with more rows per partition, those of one set
+MOSTLY_DISTINCT = 0.9  # share of distinct rows from which combining them in the map tasks saves nothing
+
+
+def _counted(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The distinct rows with their copies ``n``, written once, and how many sets a pass may measure."""
+    spark, most = df.sparkSession, max(rows, 1)
+    shared_dir(spark)  # makes sure a checkpoint folder is set
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-most // CLASSES_PER_TASK), min(shuffled, -(-most * SETS_PER_PASS // CLASSES_PER_TASK)))
+    distinct = df.agg(F.approx_count_distinct(F.xxhash64(*df.columns)).alias("n")).first()["n"]
+    if distinct >= MOSTLY_DISTINCT * most:  # so that no scan task holds all of its rows
+        df = df.repartition(parts, *df.columns)
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.repartition(parts, *df.columns).checkpoint(eager=True)
+    return counted, max(1, min(SETS_PER_PASS, CLASSES_PER_TASK * parts // most))
 
 
-def _errors(counted: DataFrame, sets: list[frozenset[int]], width: int) -> dict[frozenset[int], int]:
+def _errors(counted: DataFrame, sets: list[frozenset[int]], per_pass: int) -> dict[frozenset[int], int]:
     """e(X) of each set; ``counted`` has the columns c0, c1, ... and the copies ``n`` of each row."""
     out = {}
-    for i in range(0, len(sets), SETS_PER_PASS):
-        some = sets[i : i + SETS_PER_PASS]
+    for i in range(0, len(sets), per_pass):
+        some = sets[i : i + per_pass]
         used = sorted(set().union(*some))
         classes = counted.groupingSets([[F.col(f"c{c}") for c in sorted(s)] for s in some], *[F.col(f"c{c}") for c in used]).agg(
             F.grouping_id(*[F.col(f"c{c}") for c in used]).alias("id"), F.sum("n").alias("n")
@@ -53,8 +73,8 @@ def keys_and_dependencies(df: DataFrame, columns: list[str] | None = None, large
     if width > 60:
         raise ValueError("at most 60 columns: name the ones to look at")
     counted = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    counted = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n"))
     rows = df.count()
+    counted, per_pass = _counted(counted, rows)
     errors: dict[frozenset[int], int] = {frozenset(): max(rows - 1, 0)}
     keys: list[frozenset[int]] = []
     found: list[tuple[frozenset[int], int]] = []
@@ -85,7 +105,7 @@ def keys_and_dependencies(df: DataFrame, columns: list[str] | None = None, large
                 open_.append(s)
             else:
                 errors[s] = known
-        errors |= _errors(counted, open_, width)
+        errors |= _errors(counted, open_, per_pass)
         for s in sets:
             for a in sorted(s):
                 if errors.get(s - {a}) == errors[s]:

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from legation.operators import keys as keys_module
 from legation.operators import keys_and_dependencies
@@ -67,3 +68,22 @@ def test_hot_value(spark):
     df = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 0, id) as hot", "id % 7 as code", "(id % 7) % 2 as half")
     found = {(r.kind, r.columns, r.determines) for r in keys_and_dependencies(df).collect()}
     assert ("key", "id", None) in found and ("dependency", "code", "half") in found and ("key", "hot", None) not in found
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_tasks_hold_a_bounded_number_of_classes(spark, monkeypatch, repeats):
+    """Partitions and sets per pass follow the rows, so that rows times sets of a task stay bounded."""
+    monkeypatch.setattr(keys_module, "CLASSES_PER_TASK", 1000)
+    errors, seen = keys_module._errors, []
+
+    def spy(counted, sets, per_pass):
+        most = counted.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] or 0
+        seen.append(most * per_pass)
+        return errors(counted, sets, per_pass)
+
+    monkeypatch.setattr(keys_module, "_errors", spy)
+    r = random.Random(5)
+    data = [(str(i), str(r.randint(0, 99)), str(i % 7), str(i % 7 % 2)) for i in range(5000)] * repeats
+    found = got(spark, data, list("abcd"))
+    assert found == brute(data, list("abcd"))
+    assert max(seen) < 1500  # hashing deals rows only about evenly
