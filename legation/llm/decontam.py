@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -71,25 +72,32 @@ def myers(where: dict[str, int], length: int, text: str, anchored: bool = False)
 
 
 def occurs(where: dict[str, int], length: int, text: str, budget: int) -> bool:
-    """Whether some substring of ``text`` is within ``budget`` edits of the pattern; ends at the first."""
+    """Whether some substring of ``text`` is within ``budget`` edits of the pattern; ends when that is certain."""
+    if length <= budget:
+        return True
     full, high = (1 << length) - 1, 1 << (length - 1)
     up, down, score = full, 0, length
-    get = where.get
-    for char in text:
-        eq = get(char, 0)
+    # A character lowers the score by one at most; spare is how many more need not.
+    spare = len(text) + budget - length
+    for eq in map(where.get, text, repeat(0)):
         diagonal = (((eq & up) + up) ^ up) | eq | down
         plus = down | (full & ~(diagonal | up))
         minus = up & diagonal
-        if plus & high:
-            score += 1
-        elif minus & high:
+        if minus & high:
             score -= 1
             if score <= budget:
                 return True
+        else:
+            if plus & high:
+                score += 1
+                spare -= 1
+            spare -= 1
+            if spare < 0:
+                return False
         plus = (plus << 1) & full
         up = ((minus << 1) & full) | (full & ~(diagonal | plus))
         down = plus & diagonal
-    return length <= budget
+    return False
 
 
 def ancestors(leaves: int) -> list[list[tuple[int, int]]]:
@@ -123,18 +131,19 @@ def neighbour(text: str, cuts: list[tuple[int, int]], leaf: int, runs: list[tupl
 
 
 def surroundings(text: str, cuts: list[tuple[int, int]], leaf: int, runs: list[tuple[int, int]], known: bool) -> list[tuple]:
-    """The larger runs around a piece, ``start, end, budget, signs, low, high`` each.
+    """The larger runs around a piece, ``start, end, budget, signs`` each.
 
     ``signs`` are slices of what the run has beyond the run before, one more
-    than its budget: one of them stands whole between ``low`` and ``high``.
+    than its budget: one of them stands whole, moved by no more than the
+    budget. Each is given as ``slice, low, high``, the characters to look in.
     """
     out, inner = [], runs[0] if known else (leaf, leaf + 1)
     for run in runs[known:]:
         budget = run[1] - run[0] - 1
         sides = [(cuts[run[0]][0], cuts[inner[0]][0]), (cuts[inner[1] - 1][1], cuts[run[1] - 1][1])]
         (a, b) = max(sides, key=lambda side: side[1] - side[0])
-        signs = tuple(text[a + i : a + j] for i, j in pieces(b - a, budget))
-        out.append((cuts[run[0]][0], cuts[run[1] - 1][1], budget, signs, a - budget, b + budget))
+        signs = tuple((text[a + i : a + j], a + i - budget, a + j + budget) for i, j in pieces(b - a, budget))
+        out.append((cuts[run[0]][0], cuts[run[1] - 1][1], budget, signs))
         inner = run
     return out
 
@@ -161,7 +170,8 @@ class Matcher:
                 near, near_at, far, far_at = neighbour(text, cuts, leaf, runs)
                 self.margin = max(self.margin, 1 - far_at)
                 larger = surroundings(text, cuts, leaf, runs, bool(near or far))
-                hits.setdefault(text[slice(*cuts[leaf])], []).append((near, near_at, far, far_at, index, cuts[leaf][0], larger))
+                place = (near, near_at, far, far_at - 1, far_at + 1 + len(far), index, cuts[leaf][0], larger)
+                hits.setdefault(text[slice(*cuts[leaf])], []).append(place)
         self.automaton = ahocorasick.Automaton()
         for piece, places in hits.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -175,15 +185,17 @@ class Matcher:
         starts: dict[int, set[int]] = {}
         margin = self.margin
         padded = "\0" * margin + text  # so that places before the text need no test
-        beside = padded.startswith
+        beside, found_in = padded.startswith, padded.find
         for end, (size, places) in self.automaton.iter(text):
             at = end + 1 - size
             base = at + margin
-            for near, near_at, far, far_at, index, offset, larger in places:
-                if not beside(near, base + near_at):
-                    place = base + far_at
-                    if not (beside(far, place) or beside(far, place - 1) or beside(far, place + 1)):
-                        continue
+            for near, near_at, far, far_low, far_high, index, offset, larger in places:
+                if not beside(near, base + near_at) and found_in(far, base + far_low, base + far_high) < 0:
+                    continue
+                guesses = starts.get(index)
+                # All untouched pieces of an occurrence give one start; its runs are tested once.
+                if guesses and at - offset in guesses:
+                    continue
                 if self._grows(index, at - offset, larger, text):
                     starts.setdefault(index, set()).add(at - offset)
         out = []
@@ -195,9 +207,13 @@ class Matcher:
 
     def _grows(self, index: int, base: int, larger: list[tuple], text: str) -> bool:
         """Whether every run occurs where it must within its budget, for an item that begins at ``base``."""
-        for start, end, budget, signs, low, high in larger:
-            around = text[max(0, base + low) : max(0, base + high)]
-            if not any(sign in around for sign in signs):
+        find = text.find
+        for start, end, budget, signs in larger:
+            for sign, low, high in signs:
+                low += base
+                if find(sign, low if low > 0 else 0, max(0, base + high)) >= 0:
+                    break
+            else:
                 return False
             where = self.parts.get((index, start, end))
             if where is None:  # the masks of a run are made when first needed

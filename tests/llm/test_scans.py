@@ -11,6 +11,7 @@ import pytest
 from llm_helpers import messy, prose, words  # noqa: F401
 from pyspark.sql import functions as F
 
+from legation.llm import decontam
 from legation.llm.decontam import Matcher, ancestors, benchmark_matches, drop_contaminated, folded, masks, myers, pieces
 from legation.llm.licenses import BASE_PHRASES, NOTICE_PHRASES, Scanner, evaluate, license_scan
 from legation.llm.secrets import secret_scan
@@ -228,6 +229,25 @@ def test_matches_against_brute_force(rate):
             assert edit_distance_ends(item + "\0" * 0, text[start:end])[-1] == distance
 
 
+def test_runs_are_tested_once_per_start(monkeypatch):
+    """All pieces of an occurrence name one start: its runs are not tested again for each of them."""
+    calls, occurs = [], decontam.occurs
+    monkeypatch.setattr(decontam, "occurs", lambda *a: calls.append(a) or occurs(*a))
+    item = folded(prose(7, 40))
+    leaves = int(len(item) * 0.14) + 1
+    assert Matcher([(1, item)], 0.14).matches(f"so {item} on") == [(1, 0, 3, 3 + len(item), 1)]
+    assert 0 < len(calls) < leaves
+
+
+def test_occurs_gives_up_only_when_certain():
+    r = random.Random(11)
+    for _ in range(1500):
+        pattern = "".join(r.choice("ab") for _ in range(r.randint(1, 12)))
+        text, budget = "".join(r.choice("abc") for _ in range(r.randint(0, 20))), r.randint(0, 5)
+        best = min([len(pattern), *edit_distance_ends(pattern, text)])
+        assert decontam.occurs(masks(pattern), len(pattern), text, budget) == (best <= budget)
+
+
 def test_match_rows_and_blocks(spark, messy):
     items = spark.createDataFrame(
         [(1, "SAME text  here"), (2, None), (3, " "), (4, prose(1, 20_000)[50:300]), (None, "same text here"), (5, "same text here")],
