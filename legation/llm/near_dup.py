@@ -98,7 +98,7 @@ def _bands(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     salts = mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             words, first = word_hashes(batch.column(1))
             same, out = [], []
             for i in range(batch.num_rows):
@@ -129,8 +129,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for half in chunks([whole], "text_a"):
-                for batch in chunks([half], "text_b"):
+            for half in chunks([whole], "text_a", 1 << 20):
+                for batch in chunks([half], "text_b", 1 << 20):
                     sides = []
                     for column in (2, 3):
                         words, first = word_hashes(batch.column(column))
@@ -197,7 +197,7 @@ def _bitmaps(texts: DataFrame, k: int, words_: int = 32) -> DataFrame:
     """``id, bits``: per bit, whether an odd number of the text's shingles fall on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             words, first = word_hashes(batch.column(1))
             bits = []
             for i in range(batch.num_rows):

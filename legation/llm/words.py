@@ -29,19 +29,18 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += _U(32)
 _VALUE = mix(_LOWER * _BASE + _U(1))
 
-_powers: list[np.ndarray] = []
+# Words are hashed from blocks of so many bytes, so that what is held for a text does not grow with it.
+BLOCK = 1 << 18
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n, kept for the next call."""
-    if not _powers or len(_powers[0]) < n:
-        tables = []
-        for step in (_BASE, _INVERSE):
-            t = np.full(max(n, 1 << 16), step, np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: np.uint64) -> np.ndarray:
+    """``base**i`` modulo 2**64 for i < BLOCK."""
+    table = np.full(BLOCK, base, np.uint64)
+    table[0] = 1
+    return np.cumprod(table, dtype=np.uint64)
+
+
+_POWER, _INVERSE_POWER = _powers(_BASE), _powers(_INVERSE)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,16 +71,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The sum of one word of more than a block."""
+    total = 0
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        total += int((_VALUE[part] * _POWER[: len(part)]).sum()) * pow(int(_BASE), at, 1 << 64)
+    return np.array([total % (1 << 64)], np.uint64)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every (lower-cased) word, and each text's first word (n + 1 bounds)."""
     data, offsets = buffers(texts)
     starts, ends, first = word_spans(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    power, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + _U(7)), first
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        until = max(at + 1, int(np.searchsorted(ends, low + BLOCK, "right")))  # the words of a block, or one longer word
+        own = data[low : ends[until - 1]]
+        if len(own) > BLOCK:
+            total = _long_word(own)
+        else:
+            begin, end = starts[at:until] - low, ends[at:until] - low
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_VALUE[own] * _POWER[: len(own)], out=sums[1:])
+            total = (sums[end] - sums[begin]) * _INVERSE_POWER[begin]
+        out[at:until] = mix(total + _U(7))
+        at = until
+    return out, first
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ from llm_helpers import messy, prose, words  # noqa: F401
 
 from legation.llm.components import components
 from legation.llm.near_dup import drop_near_duplicates, near_duplicates, signature, similarity, weighted_shingles
-from legation.llm.words import word_hashes
+from legation.llm.words import BLOCK, word_hashes
 
 
 def brute_similarity(x: dict, y: dict) -> float:
@@ -52,6 +53,25 @@ def test_words_and_hashes():
     assert hashes[0] == hashes[3] and hashes[1] == hashes[4] and hashes[2] != hashes[5]
 
 
+def test_words_that_cross_blocks_and_exceed_them():
+    long_word = "".join(random.Random(2).choices("abcdefghij", k=5 * BLOCK // 2))
+    spread = [long_word, "x" * (BLOCK - 3), "ab", "cdefgh", "y" * BLOCK, prose(4, 60_000)]
+    alone = np.concatenate([word_hashes(pa.array([w]))[0] for w in " ".join(spread).split()])
+    together, first = word_hashes(pa.array(["", "- " + " ".join(spread), None, long_word[:-1] + "!", long_word]))
+    assert np.array_equal(together[: len(alone)], alone) and first.tolist() == [0, 0, len(alone), len(alone), len(alone) + 1, len(alone) + 2]
+    assert together[-1] == alone[0] != together[-2]
+
+
+def test_hashing_holds_little_more_than_the_text():
+    text = pa.array([prose(6, 100_000) * 20])
+    size = len(text[0].as_py())
+    tracemalloc.start()
+    hashes, _ = word_hashes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hashes) > size / 10 and peak < 16 * size + 16 * BLOCK * 8  # spans and hashes, no table as long as the text
+
+
 def test_similarity_is_the_definition():
     r = random.Random(3)
     for _ in range(20):
